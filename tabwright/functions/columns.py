@@ -84,3 +84,18 @@ def correlation(x: Column, y: Column, complete: bool = False) -> Column:
     """
     vx, vy = (x, y) if complete else (F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
     return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(vx) * F.var_pop(vy)))
+
+
+def none_missing(names: Iterable[str]) -> Column:
+    """All columns have values, as separate conditions.
+
+    One predicate over many computed columns (such as ``dropna`` makes) lets the
+    optimizer infer a constraint for every mix of column and expression, 2^n of
+    them; a conjunction keeps that linear.
+    """
+    return all_of([quoted(n).isNotNull() for n in names])
+
+
+def as_one(condition: Column) -> Column:
+    """A condition over many columns that the optimizer neither moves nor derives constraints from."""
+    return F.when(F.rand() >= 0, condition)

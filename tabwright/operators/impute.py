@@ -11,8 +11,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from tabwright.functions.columns import (categorical_columns, is_numeric, melt, null_flag, numeric_columns, quoted,
-                                         require_columns)
+from tabwright.functions.columns import (as_one, categorical_columns, is_numeric, melt, none_missing, null_flag,
+                                         numeric_columns, quoted, require_columns)
 from tabwright.operators.missing import missing_shares
 from tabwright.operators.profile import STATISTICS, describe_numeric
 from tabwright.operators.stats import (Lookup, aggregate_once, grouped_modes, grouped_quantiles, join_on_keys, modes,
@@ -21,7 +21,10 @@ from tabwright.operators.stats import (Lookup, aggregate_once, grouped_modes, gr
 
 def drop_missing_rows(df: DataFrame, thresh: int = 0) -> DataFrame:
     """Rows without missing values, or with at least ``thresh`` values when it is not 0."""
-    return df.dropna(thresh=thresh) if thresh else df.dropna(how="any")
+    if not thresh:
+        return df.where(none_missing(df.columns))
+    present = sum((quoted(c).isNotNull().cast("int") for c in df.columns), F.lit(0))
+    return df.where(as_one(present >= thresh))
 
 
 def drop_missing_cols(df: DataFrame, thresh: int = 0) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabwright.functions.columns import all_of, any_of, as_double, is_numeric, numeric_columns, quoted, require_columns
+from tabwright.functions.columns import (all_of, any_of, as_double, as_one, is_numeric, numeric_columns, quoted,
+                                         require_columns)
 from tabwright.operators.stats import aggregate_once, row_positions
 
 COMPARISONS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge,
@@ -28,8 +29,8 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list
 
 def search_rows(df: DataFrame, term: str) -> DataFrame:
     """Rows in which the text of any column matches the regular expression, ignoring case."""
-    return df.where(any_of([F.coalesce(quoted(c).cast("string").rlike(f"(?i){term}"), F.lit(False))
-                            for c in df.columns]))
+    return df.where(as_one(any_of([F.coalesce(quoted(c).cast("string").rlike(f"(?i){term}"), F.lit(False))
+                                   for c in df.columns])))
 
 
 def condition(df: DataFrame, column: str, comparison: str, value) -> Column:

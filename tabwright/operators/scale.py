@@ -197,13 +197,13 @@ def scaling_stages(df: DataFrame, features: Sequence[str], scaler: str = "standa
     """
     if scaler in ("none", "normalizer"):
         raw = output if scaler == "none" else f"_{output}_raw"
-        stages = [VectorAssembler(inputCols=list(features), outputCol=raw, handleInvalid="skip")]
+        stages = [VectorAssembler(inputCols=list(features), outputCol=raw, handleInvalid="keep")]
         return stages if scaler == "none" else [*stages, Normalizer(inputCol=raw, outputCol=output, p=2.0)]
     fitted = fit_linear(df, features, scaler)
     names = [f"_{output}_{i}" for i in range(len(fitted))]
     statement = "SELECT *, " + ", ".join(f"{t.sql()} AS {n}" for t, n in zip(fitted, names)) + " FROM __THIS__"
     return [SQLTransformer(statement=statement),
-            VectorAssembler(inputCols=names, outputCol=output, handleInvalid="skip")]
+            VectorAssembler(inputCols=names, outputCol=output, handleInvalid="keep")]
 
 
 def assemble_scale(df: DataFrame, features: Sequence[str], scaler: str = "standard") -> DataFrame:
