@@ -25,17 +25,16 @@ def adaboost_classifier(trees: int = 50, rate: float = 1.0, depth: int = 1) -> F
     """Each round weighs the misclassified rows up; the vote of a tree is rate (ln((1 - e) / e) + ln(K - 1))."""
     def fit(data: DataFrame, task: Task) -> list[Transformer]:
         classes = max(2, task.classes)
-        rows = data.withColumn("_w", F.lit(1.0))
+        rows = data.select(FEATURES, LABEL, F.lit(1.0).alias("_w"))
         stages, votes = [], []
         for t in range(trees):
-            total = aggregate_once(rows, {"w": F.sum("_w")})["w"]
-            rows = rows.withColumn("_w", F.col("_w") / total)
             tree = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="_w", maxDepth=depth,
                                           predictionCol=f"_p{t}", rawPredictionCol=f"_raw{t}",
                                           probabilityCol=f"_prob{t}", seed=task.seed + t).fit(rows)
             missed = (F.col(f"_p{t}") != F.col(LABEL)).cast("double")
             judged = tree.transform(rows).withColumn("_miss", missed).drop(f"_p{t}", f"_raw{t}", f"_prob{t}")
-            error = aggregate_once(judged, {"e": F.sum(F.col("_w") * F.col("_miss"))})["e"]
+            s = aggregate_once(judged, {"e": F.sum(F.col("_w") * F.col("_miss")), "w": F.sum("_w")})
+            error = s["e"] / s["w"]
             if error >= 1 - 1 / classes:
                 if not stages:
                     stages, votes = [tree], [1.0]
@@ -45,7 +44,7 @@ def adaboost_classifier(trees: int = 50, rate: float = 1.0, depth: int = 1) -> F
                 votes.append(1.0 if len(votes) == 0 else 10 * max(votes))
                 break
             votes.append(rate * (log((1 - error) / error) + log(classes - 1)))
-            rows = judged.withColumn("_w", F.col("_w") * F.exp(votes[-1] * F.col("_miss"))).drop("_miss")
+            rows = judged.withColumn("_w", F.col("_w") * F.exp(votes[-1] * F.col("_miss")) / s["w"]).drop("_miss")
             if (t + 1) % ROUNDS_PER_CHECKPOINT == 0:
                 rows = checkpointed(rows)
         scores = ", ".join(" + ".join(
@@ -62,7 +61,7 @@ def adaboost_regressor(trees: int = 50, rate: float = 1.0, depth: int = 3, loss:
         raise ValueError(f"unknown loss {loss}")
 
     def fit(data: DataFrame, task: Task) -> list[Transformer]:
-        rows = data.withColumn("_w", F.lit(1.0))
+        rows = data.select(FEATURES, LABEL, F.lit(1.0).alias("_w"))
         stages, weights = [], []
         for t in range(trees):
             tree = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, weightCol="_w", maxDepth=depth,

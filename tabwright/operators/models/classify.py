@@ -58,21 +58,20 @@ def decision_tree(depth: int = 15, min_split: int = 2, min_leaf: int = 1, impuri
         minInstancesPerNode=max(min_leaf, min_split // 2), seed=task.seed), class_weight)
 
 
-def one_per_class(base: Estimator, task: Task) -> Estimator:
+def one_per_class(base: Estimator, task: Task, features: str = FEATURES) -> Estimator:
     """A two-class estimator as is, or one model per class."""
+    base = base.setRawPredictionCol("_raw")
     if task.classes <= 2:
-        return base
-    return OneVsRest(classifier=base, **COLUMNS, rawPredictionCol="_raw", parallelism=4)
+        return base.setPredictionCol("_prediction")
+    return OneVsRest(classifier=base, featuresCol=features, labelCol=LABEL, predictionCol="_prediction",
+                     rawPredictionCol="_raw", parallelism=4)
 
 
 def gradient_boosting(trees: int = 100, rate: float = 0.1, depth: int = 3, min_leaf: int = 1,
                       subsample: float = 1.0) -> Fit:
-    def make(rows: DataFrame, task: Task) -> Estimator:
-        outputs = {"probabilityCol": "_probability", "rawPredictionCol": "_raw"} if task.classes <= 2 else {}
-        columns = COLUMNS if task.classes <= 2 else {"featuresCol": FEATURES, "labelCol": LABEL}
-        return one_per_class(GBTClassifier(**columns, **outputs, maxIter=trees, stepSize=rate, maxDepth=depth,
-                                           minInstancesPerNode=min_leaf, subsamplingRate=subsample, seed=task.seed), task)
-    return direct(make)
+    return direct(lambda rows, task: one_per_class(GBTClassifier(
+        featuresCol=FEATURES, labelCol=LABEL, maxIter=trees, stepSize=rate, maxDepth=depth, minInstancesPerNode=min_leaf,
+        subsamplingRate=subsample, seed=task.seed).setProbabilityCol("_probability"), task))
 
 
 def svm(C: float = 1.0, kernel: str = "linear", degree: int = 3, dimensions: int = 100, max_iter: int = 100) -> Fit:
@@ -92,10 +91,5 @@ def svm(C: float = 1.0, kernel: str = "linear", degree: int = 3, dimensions: int
         column = "_wide" if stages else FEATURES
         base = LinearSVC(featuresCol=column, labelCol=LABEL, maxIter=max_iter, regParam=1.0 / (C * row_count(data)),
                          standardization=False)
-        if task.classes <= 2:
-            base = base.copy({base.predictionCol: "_prediction", base.rawPredictionCol: "_raw"})
-            return [*stages, base.fit(rows)]
-        ovr = OneVsRest(classifier=base, featuresCol=column, labelCol=LABEL, predictionCol="_prediction",
-                        rawPredictionCol="_raw", parallelism=4)
-        return [*stages, ovr.fit(rows)]
+        return [*stages, one_per_class(base, task, column).fit(rows)]
     return fit

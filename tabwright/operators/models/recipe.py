@@ -15,6 +15,7 @@ from tabwright.operators.neighbors import smote
 from tabwright.operators.scale import scaling_stages
 from tabwright.operators.split import fold_of, split_tables
 from tabwright.operators.stats import aggregate_once
+from tabwright.session import checkpointed
 
 LABEL, PREDICTED = "_label", "prediction"
 FEATURES = "features"
@@ -66,8 +67,12 @@ def scalers(train: DataFrame, task: Task) -> PipelineModel:
 
 
 def train_classifier(df: DataFrame, task: Task, fit: Fit, balance: bool = False) -> Fitted:
-    """Fit on the training part of ``df`` and report precision, recall and F1 on the rest."""
-    train, test = split_tables(prepare(df, task, True), task.key, task.test_share, task.seed)
+    """Fit on the training part of ``df`` and report precision, recall and F1 on the rest.
+
+    The prepared rows are cached, so that the source is read once however many
+    passes the learner makes.
+    """
+    train, test = split_tables(prepare(df, task, True).persist(), task.key, task.test_share, task.seed)
     model = fit_classifier(train, task, fit, balance)
     predictions = drop_helpers(model.transform(test))
     return Fitted(model, classification_report(predictions, task.target, PREDICTED), predictions)
@@ -75,22 +80,21 @@ def train_classifier(df: DataFrame, task: Task, fit: Fit, balance: bool = False)
 
 def fit_classifier(train: DataFrame, task: Task, fit: Fit, balance: bool = False) -> PipelineModel:
     if balance:
-        train = smote(train, task.key, task.features, task.target, seed=task.seed).withColumn(
-            task.key, F.md5(F.concat_ws("/", *[quoted(f) for f in task.features], "synthetic")))
+        train = checkpointed(smote(train, task.key, task.features, task.target, seed=task.seed).withColumn(
+            task.key, F.md5(F.concat_ws("/", *[quoted(f) for f in task.features], "synthetic"))))
     indexer = StringIndexer(inputCol=task.target, outputCol=LABEL, stringOrderType="alphabetAsc",
                             handleInvalid="skip").fit(train)
     scale = scalers(train, task)
-    data = chain([indexer, scale], train).drop(task.target).persist()
+    data = chain([indexer, scale], train).drop(task.target)
     task = Task(**{**task.__dict__, "classes": len(indexer.labels)})
     stages = fit(data, task)
-    data.unpersist()
     back = IndexToString(inputCol="_prediction", outputCol=PREDICTED, labels=indexer.labels)
     return PipelineModel([scale, *stages, back])
 
 
 def train_regressor(df: DataFrame, task: Task, fit: Fit) -> Fitted:
     """Fit on the training part of ``df`` and report R2, MAE and MSE on the rest."""
-    train, test = split_tables(prepare(df, task, False), task.key, task.test_share, task.seed)
+    train, test = split_tables(prepare(df, task, False).persist(), task.key, task.test_share, task.seed)
     model = fit_regressor(train, task, fit)
     predictions = drop_helpers(model.transform(test))
     return Fitted(model, r2_mae(predictions, task.target, PREDICTED), predictions)
@@ -98,9 +102,7 @@ def train_regressor(df: DataFrame, task: Task, fit: Fit) -> Fitted:
 
 def fit_regressor(train: DataFrame, task: Task, fit: Fit) -> PipelineModel:
     scale = scalers(train, task)
-    data = scale.transform(train).withColumnRenamed(task.target, LABEL).persist()
-    stages = fit(data, task)
-    data.unpersist()
+    stages = fit(scale.transform(train).withColumnRenamed(task.target, LABEL), task)
     return PipelineModel([scale, *stages, projection(f"_prediction AS {PREDICTED}")])
 
 

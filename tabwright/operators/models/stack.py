@@ -18,8 +18,8 @@ Members = dict[str, Callable[[Task], object]]  # name -> unfitted estimator
 
 
 def _classifier(cls, name: str, **params):
-    return cls(featuresCol=FEATURES, labelCol=LABEL, predictionCol=f"_{name}_p", probabilityCol=f"_{name}_prob",
-               rawPredictionCol=f"_{name}_raw", **params)
+    return cls(featuresCol=FEATURES, labelCol=LABEL, predictionCol=f"_{name}_p", **params).setProbabilityCol(
+        f"_{name}_prob").setRawPredictionCol(f"_{name}_raw")
 
 
 def _regressor(cls, name: str, **params):

@@ -50,12 +50,12 @@ CLASSIFIERS = {
     "clf_logistic": (vectors, CLASSES, lambda: classify.logistic()),
     "clf_random_forest": (vectors, CLASSES, lambda: classify.random_forest(trees=30, depth=8)),
     "clf_decision_tree": (vectors, CLASSES, lambda: classify.decision_tree()),
-    "clf_svm": (vectors, CLASSES, lambda: classify.svm(max_iter=20)),
+    "clf_svm": (vectors, CLASSES, lambda: classify.svm(max_iter=10)),
     "clf_svm_rbf": (judged_texts, QUALITY, lambda: classify.svm(kernel="rbf", dimensions=50, max_iter=30)),
     "clf_svm_poly": (judged_texts, QUALITY, lambda: classify.svm(kernel="poly", degree=2, max_iter=30)),
     "clf_gradient_boosting": (judged_texts, QUALITY, lambda: classify.gradient_boosting(trees=20)),
     "clf_adaboost": (judged_texts, QUALITY, lambda: boost.adaboost_classifier(trees=10)),
-    "clf_adaboost_classes": (vectors, CLASSES, lambda: boost.adaboost_classifier(trees=8, depth=3)),
+    "clf_adaboost_classes": (vectors, CLASSES, lambda: boost.adaboost_classifier(trees=5, depth=3)),
     "clf_stacking": (judged_texts, QUALITY, lambda: stack.stack_classifiers(stack.default_classifiers(20, 6), 3)),
 }
 REGRESSORS = {
