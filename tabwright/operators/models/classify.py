@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Estimator, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import PolynomialExpansion
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tabwright.operators.models.kernels import fourier_stages
-from tabwright.operators.models.recipe import FEATURES, LABEL, Fit, Task, balanced_weights, row_count
+from tabwright.operators.models.recipe import (FEATURES, LABEL, Fit, Task, balanced_weights, chain, projection,
+                                              row_count, scaled_names, sql_number)
 
 MAX_TREE_DEPTH = 30
 COLUMNS = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": "_prediction"}
@@ -81,15 +84,33 @@ def svm(C: float = 1.0, kernel: str = "linear", degree: int = 3, dimensions: int
 
     def fit(data: DataFrame, task: Task) -> list[Transformer]:
         stages: list[Transformer] = []
+        names = scaled_names(task) if kernel == "linear" and task.scaler != "normalizer" else None
         if kernel == "poly":
             stages = [PolynomialExpansion(degree=degree, inputCol=FEATURES, outputCol="_wide")]
         elif kernel == "rbf":
-            stages = fourier_stages(data, task, dimensions, "_wide")
-        rows = data
-        for s in stages:
-            rows = s.transform(rows)
+            stages, names = fourier_stages(data, task, dimensions, "_wide"), [f"_wide_{d}" for d in range(dimensions)]
         column = "_wide" if stages else FEATURES
         base = LinearSVC(featuresCol=column, labelCol=LABEL, maxIter=max_iter, regParam=1.0 / (C * row_count(data)),
                          standardization=False)
-        return [*stages, one_per_class(base, task, column).fit(rows)]
+        rows = chain(stages, data)
+        if task.classes <= 2 or names is None:
+            return [*stages, one_per_class(base, task, column).fit(rows)]
+        return [*stages, *widest_margin(base, rows.select(column, LABEL), names, task.classes)]
     return fit
+
+
+def widest_margin(base: LinearSVC, rows: DataFrame, names: list[str], classes: int) -> list[Transformer]:
+    """One linear machine per class; the class with the largest margin wins.
+
+    The margins are written as a projection of the named inputs, which keeps scoring inside the JVM.
+    """
+    table = rows.persist()
+
+    def margin(k: int) -> str:
+        m = base.fit(table.withColumn(LABEL, (F.col(LABEL) == k).cast("double")))
+        return " + ".join([sql_number(m.intercept), *[f"{sql_number(c)} * `{n}`" for c, n in zip(m.coefficients, names)]])
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        margins = list(pool.map(margin, range(classes)))
+    table.unpersist()
+    return [projection(f"array({', '.join(margins)}) AS _margins"),
+            projection("CAST(array_position(_margins, array_max(_margins)) - 1 AS DOUBLE) AS _prediction")]

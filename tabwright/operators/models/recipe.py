@@ -136,5 +136,6 @@ def row_count(data: DataFrame) -> int:
     return aggregate_once(data, {"n": F.count(F.lit(1))})["n"]
 
 
-def folds(data: DataFrame, task: Task, k: int) -> DataFrame:
-    return data.withColumn("_fold", fold_of(task.key, k, task.seed))
+def folds(data: DataFrame, task: Task, k: int, level: int = 1) -> DataFrame:
+    """Add ``_fold``; folds inside folds take another ``level``, so that the two are independent."""
+    return data.withColumn("_fold", fold_of(task.key, k, task.seed + level))

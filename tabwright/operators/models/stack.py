@@ -47,7 +47,7 @@ def default_regressors(forest: int = 350, boosted: int = 100, extra: int = 25, d
 
 def _out_of_fold(data: DataFrame, task: Task, members: Members, k: int) -> DataFrame:
     """Every row with the members' outputs, each computed without that row's fold."""
-    split = folds(data, task, k)
+    split = folds(data, task, k, level=2)
     parts = None
     for f in range(k):
         train, rest = split.where(F.col("_fold") != f), split.where(F.col("_fold") == f)
