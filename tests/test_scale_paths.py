@@ -119,7 +119,7 @@ def test_smote_balances_and_interpolates(spark):
     small = np.array([(r[1], r[2]) for r in rows if r[3] == "small"])
     for r in out.where("synthetic = 1").collect():
         p = np.array([r["x"], r["y"]])
-        ends = [(a, b) for a in small for b in small if abs(np.cross(b - a, p - a)) < 1e-9
+        ends = [(a, b) for a in small for b in small if abs((b - a)[0] * (p - a)[1] - (b - a)[1] * (p - a)[0]) < 1e-9
                 and min(a[0], b[0]) - 1e-9 <= p[0] <= max(a[0], b[0]) + 1e-9]
         assert ends
     again = neighbors.smote(df, "id", ["x", "y"], "c").where("synthetic = 1").orderBy("x").collect()
