@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tabwright.plans import QUERIES
@@ -45,6 +46,7 @@ def main() -> None:
             if attempt:
                 best = elapsed if best is None else min(best, elapsed)
         times[name] = round(best, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()

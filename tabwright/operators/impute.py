@@ -147,21 +147,23 @@ def impute_interpolate_linear(df: DataFrame, column: str, order_by: Sequence[str
     v = quoted(column).cast("double")
     placed = row_positions(df, order_by, by, "_pos", keep_slab=True)
     known = F.when(v.isNotNull(), F.struct(F.col("_pos").alias("p"), v.alias("x")))
-    inside = Window.partitionBy(*by, "_slab").orderBy("_pos")
+    # looking ahead is a running frame in reverse order: frames that end at the last row cost n^2
+    inside = Window.partitionBy(*by, "_slab").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside_back = Window.partitionBy(*by, "_slab").orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, 0)
     summary = placed.groupBy(*by, "_slab").agg(F.min("_pos").alias("_start"), F.min(known).alias("_first"),
                                                F.max(known).alias("_last"))
-    across = Window.partitionBy(*by, F.lit(0)).orderBy("_start")
+    across, across_back = (Window.partitionBy(*by, F.lit(0)).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                           for o in (F.asc("_start"), F.desc("_start")))
     carry = summary.select(
         *[quoted(k) for k in by], "_slab",
-        F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_prev"),
-        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_next"))
+        F.last("_last", True).over(across).alias("_carry_prev"),
+        F.last("_first", True).over(across_back).alias("_carry_next"))
     if not by:
         carry = F.broadcast(carry)  # one row per slab
     rows = join_on_keys(placed, carry, [*by, "_slab"])
     rows = rows.withColumns({
-        "_prev": F.coalesce(F.last(known, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_carry_prev"),
-        "_next": F.coalesce(F.first(known, True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
-                            "_carry_next")})
+        "_prev": F.coalesce(F.last(known, True).over(inside), "_carry_prev"),
+        "_next": F.coalesce(F.last(known, True).over(inside_back), "_carry_next")})
     prev, nxt, i = F.col("_prev"), F.col("_next"), F.col("_pos")
     line = F.when(prev.isNotNull() & nxt.isNotNull(),
                   prev.x + (nxt.x - prev.x) * (i - prev.p) / F.nullif(nxt.p - prev.p, F.lit(0))).otherwise(
