@@ -78,7 +78,7 @@ def _label_tree(spark, sf):
     """Documents as one file per (lang, source), in folders named after the language."""
     path = scratch_path(spark, "documents")
     docs = load_table(spark, sf, "documents").select("lang", F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("line"))
-    docs.repartition("lang").write.partitionBy("lang").text(path)
+    docs.write.partitionBy("lang").text(path)
     return path
 
 
