@@ -17,9 +17,14 @@ ENCODINGS = ("utf-8", "latin-1", "ISO-8859-1")
 REPLACEMENT = "�"
 
 
-def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table, with NULL as the only missing value."""
-    return nan_to_null(spark.read.parquet(f"{folder}/{name}.parquet"))
+def load_table(spark: SparkSession, folder: str, name: str, nan_is_missing: bool = False) -> DataFrame:
+    """One Parquet table.
+
+    Parquet has NULL for missing values. ``nan_is_missing`` turns NaN into NULL as
+    well, at the price of filters on those columns no longer reaching the scan.
+    """
+    table = spark.read.parquet(f"{folder}/{name}.parquet")
+    return nan_to_null(table) if nan_is_missing else table
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
