@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
-from tabwright.llm import (ann, decontamination, language_id, packing, quality, secrets, token_counts,  # noqa: F401
-                           warc)
+from tabwright.llm import (ann, decontamination, language_id, near_dedup, packing, quality, secrets,  # noqa: F401
+                           token_counts, warc)
 from tabwright.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
