@@ -22,10 +22,26 @@ def texts(df: DataFrame, *columns: str, key: str = "doc_id", text: str = "text")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning.
+
+    The shuffle files that made it have no further use and go at once.
+    """
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``written`` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
