@@ -9,7 +9,8 @@ pairs that are clearly below the threshold go no further. The rest are confirmed
 Documents of one shingle set are one node. Within a band, members are first compared with its smallest member only, and
 links are contracted to components. Only bands whose members are still in several components are looked at again: there
 the members outside the first member's component meet all members in blocks of bounded size. No pair within a component
-needs a look, since it could not change the result, and no bucket is cut short.
+needs a look, since it could not change the result, and no bucket is cut short. First each of them names its two
+most similar partners of a block; after those links are contracted, all that is left between components is confirmed.
 """
 
 from __future__ import annotations
@@ -78,19 +79,22 @@ def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (within(n) * within(m)).sum(1) / (1 << MANTISSA_BITS)
 
 
-def estimates(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Corrected similarity of register rows, and the number of buckets it rests on."""
+def estimates(a: np.ndarray, b: np.ndarray, by_chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity of register rows, corrected for chance agreement, and the number of buckets it rests on."""
     used = np.maximum(((a > 0) | (b > 0)).sum(-1), 1)
     agree = ((a == b) & (a > 0)).sum(-1)
-    chance = chance_agreement(n, m) * BUCKETS / used
+    chance = by_chance * BUCKETS / used
     return np.clip((agree / used - chance) / np.maximum(1 - chance, 1e-9), 0, 1), used
 
 
-def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs whose set sizes allow the threshold and whose estimate is within six standard errors of it."""
-    estimate, used = estimates(a, b, n, m)
-    slack = 6 * np.sqrt(threshold * (1 - threshold) / used)
-    return (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (estimate >= threshold - slack)
+def plausible(estimate: np.ndarray, used: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs whose set sizes allow the threshold and whose estimate is within five standard errors of it.
+
+    The buckets used are a sample of the union without repetition, hence the correction for a finite population.
+    """
+    union = np.maximum((n + m) / (1 + threshold), used)
+    error = np.sqrt(threshold * (1 - threshold) / used * (1 - used / (union + 1)))
+    return (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (estimate >= threshold - 5 * error - 1 / used)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -135,7 +139,8 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> Da
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                keep = plausible(_registers_of(f.ra), _registers_of(f.rb), f.na.to_numpy(), f.nb.to_numpy(), threshold)
+                n, m = f.na.to_numpy(), f.nb.to_numpy()
+                keep = plausible(*estimates(_registers_of(f.ra), _registers_of(f.rb), chance_agreement(n, m)), n, m, threshold)
                 yield f.loc[keep, ["a", "b"]]
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
@@ -167,11 +172,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _across_blocks(members: DataFrame, threshold: float, block: int) -> DataFrame:
+def _across_blocks(members: DataFrame, threshold: float, block: int, best: int | None) -> DataFrame:
     """Plausible pairs of different components within the bands of ``members`` (band, value, node, n, bands, component).
 
     In each band the members outside the first member's component are dealt into blocks of about ``block`` rows, and so
-    are all members; every outer block meets every block of all.
+    are all members; every outer block meets every block of all. A pair is looked at in its first common band only.
+    With ``best``, a member names just its so many most similar partners of a block.
     """
     band = ["band", "value"]
     sizes = members.groupBy(*band).agg(F.min(F.struct("node", "component")).getField("component").alias("main"),
@@ -194,10 +200,17 @@ def _across_blocks(members: DataFrame, threshold: float, block: int) -> DataFram
         out, y = [], y.rename(columns=lambda c: c.removeprefix("right_"))
         if len(x) and len(y):
             ry, ny, cy, iy = _registers_of(y.bands), y.n.to_numpy(), y.component.to_numpy(), y.node.to_numpy()
+            wide, band_no = ry.view(np.int64), int(x.band.iloc[0])
             for r, n, c, i in zip(_registers_of(x.bands), x.n.to_numpy(), x.component.to_numpy(), x.node.to_numpy()):
-                other = np.flatnonzero(cy != c)
-                keep = other[plausible(r[None], ry[other], np.full(len(other), n), ny[other], threshold)] if len(other) else other
-                out += [(min(i, k), max(i, k)) for k in iy[keep].tolist()]
+                before = r.view(np.int64)[:band_no]
+                earlier = ((wide[:, :band_no] == before) & (before != 0)).any(1)
+                other = np.flatnonzero((cy != c) & ~earlier)
+                if len(other):  # sizes that matter differ little, so one figure of chance serves them all
+                    estimate, used = estimates(r[None], ry[other], chance_agreement(np.array([n]), np.array([n])))
+                    keep = np.flatnonzero(plausible(estimate, used, np.full(len(other), n), ny[other], threshold))
+                    if best is not None:
+                        keep = keep[np.argsort(-estimate[keep], kind="stable")[:best]]
+                    out += [(min(i, k), max(i, k)) for k in iy[other[keep]].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     on = [*band, "i", "j"]
     return left.groupBy(*on).cogroup(right.groupBy(*[f"right_{c}" for c in on])).applyInPandas(meet, "a long, b long").distinct()
@@ -227,20 +240,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1_024) -> D
         F.col("doc_id").alias("a"), F.col("node").alias("b"))
     first = connected_components(links.union(same))
 
-    # bands that still have several components
     def with_component(df: DataFrame, parts: DataFrame) -> DataFrame:
         return df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = with_component(nodes.select("node", "n", "bands"), first)
-    members = placed.select("node", "component", F.posexplode("bands").alias("band", "value")).where("value <> 0")
-    # a band of two members has been looked at in full
-    mixed_bands = members.groupBy("band", "value").agg(F.min("component").alias("c"), F.max("component").alias("d"),
-                                                       F.count("*").alias("size")).where("c < d and size > 2")
-    again = members.join(mixed_bands.select("band", "value"), ["band", "value"]).join(nodes.select("node", "n", "bands"), "node")
-    more = written(_across_blocks(again, threshold, block).join(pairs, ["a", "b"], "left_anti"), "dedup-more")
-    parts = first
-    if not more.isEmpty():
+
+    def undecided(parts: DataFrame, best: int | None, known: DataFrame) -> DataFrame:
+        """Plausible pairs between components, in bands of more than two members (two have met already)."""
+        members = with_component(bands, parts)
+        mixed_bands = members.groupBy("band", "value").agg(F.min("component").alias("c"), F.max("component").alias("d"),
+                                                           F.count("*").alias("size")).where("c < d and size > 2")
+        again = members.join(mixed_bands.select("band", "value"), ["band", "value"]).join(nodes.select("node", "n", "bands"), "node")
+        return written(_across_blocks(again, threshold, block, best).join(known, ["a", "b"], "left_anti"), "dedup-more")
+    parts, known = first, pairs
+    # first the most similar partners, which settle nearly all; then whatever is still between components
+    for best in (2, None):
+        more = undecided(parts, best, known)
+        if more.isEmpty():
+            continue
         found = _confirmed(more, nodes, docs, percent)
-        parts = connected_components(links.union(same).union(found))
+        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+        known = known.union(more)
     place = with_component(nodes.select("key", "node"), parts).select("key", "component")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(place, "key", "left")
     component = F.coalesce("component", "doc_id")

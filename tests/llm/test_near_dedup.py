@@ -56,7 +56,7 @@ def test_estimate_follows_similarity():
     for _ in range(40):
         shared, own = rng.integers(0, 2**63, 3_000, np.uint64), rng.integers(0, 2**63, (2, 500), np.uint64)
         a, b = (np.unique(np.concatenate([shared, o]) * np.uint64(2)) for o in own)
-        got.append(estimates(registers(a)[None], registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0][0])
+        got.append(estimates(registers(a)[None], registers(b)[None], chance_agreement(np.array([len(a)]), np.array([len(b)])))[0][0])
     assert abs(np.mean(got) - 0.75) < 0.02
     far = [registers(np.unique(rng.integers(0, 2**64 - 1, 4_000, np.uint64))) for _ in range(200)]
     agree = np.mean([(far[i] == far[i + 1]).mean() for i in range(199)])
