@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -27,8 +28,11 @@ def label_codes(df: DataFrame, column: str) -> Lookup:
 def encode_label(df: DataFrame, column: str, codes: Lookup | None = None) -> DataFrame:
     """Replace a column by the number of its value; NULL stays NULL."""
     codes = codes or label_codes(df, column)
-    joined = codes.attach(df, [column])
-    return joined.withColumn(column, F.col("code")).select(*[quoted(c) for c in df.columns])
+    own = f"_{column}_{uuid.uuid4().hex}"  # keeps a column of the table that has the name of the code
+    plain = df.withColumnRenamed("code", own) if column != "code" else df
+    joined = codes.attach(plain, [column])
+    return joined.select(*[F.col("code").alias(c) if c == column else quoted(own if c == "code" else c).alias(c)
+                           for c in df.columns])
 
 
 def encode_label_inverse(df: DataFrame, column: str, codes: Lookup) -> DataFrame:

@@ -122,7 +122,7 @@ def svr(C: float = 1000.0, epsilon: float = 0.1, kernel: str = "rbf", dimensions
         s = aggregate_once(table, {"m": F.avg("y"), "d": F.stddev_pop("y"), "n": F.count("y")})
         width, mean, spread = len(names), s["m"], s["d"] or 1.0
         smooth = 0.05  # in units of the label's deviation
-        eps, scale = epsilon / spread, C * s["n"]
+        eps, scale = epsilon / spread, C * s["n"] / spread  # weights are in units of the label's deviation
 
         def evaluate(w: np.ndarray) -> tuple[float, np.ndarray]:
             def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

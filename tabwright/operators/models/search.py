@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwright.functions.columns import quoted
 from tabwright.operators.evaluate import classification_report, r2_mae
@@ -198,9 +198,8 @@ def ranked_trials(trials: DataFrame) -> DataFrame:
 
 def optimization_history(trials: DataFrame) -> DataFrame:
     """(trial, value, best_so_far)."""
-    earlier = trials.select(F.col("trial").alias("_t"), F.col("value").alias("_v"))
-    return trials.join(F.broadcast(earlier), F.col("_t") <= F.col("trial")).groupBy("trial", "value").agg(
-        F.max("_v").alias("best_so_far"))
+    so_far = Window.orderBy("trial").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row per trial
+    return trials.select("trial", "value", F.max("value").over(so_far).alias("best_so_far"))
 
 
 def parallel_coordinates(trials: DataFrame) -> DataFrame:

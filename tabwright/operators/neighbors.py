@@ -24,11 +24,11 @@ from tabwright.operators.split import hash_bucket
 from tabwright.operators.stats import aggregate_once, quantiles, row_positions
 from tabwright.session import checkpointed, setting
 
-MAX_PIVOTS = 4_096  # over all groups; the pivots travel with the task closures
+MAX_PIVOTS = 65_536  # over all groups; the pivots travel with the task closures
 PIVOTS_PER_GROUP = 512
 QUERY_BLOCK = 4_096  # vectors of one block pair
 DONOR_BLOCK = 16_384
-TIE_DIGITS = 9  # squared distances equal to this many digits are ties, settled by id
+TIE_DIGITS = 12  # squared distances equal to this many significant digits are ties, settled by id
 SLACK = 1e-9  # relative margin of the pruning bounds against rounding
 
 
@@ -206,7 +206,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 hits = pd.DataFrame({"at": np.repeat(row, n) + start, "donor_id": ids[np.repeat(starts[col], n) + within],
                                      "d2": np.repeat(part[row, col], n)})
-                hits["tie"] = hits["d2"].round(TIE_DIGITS)
+                hits["tie"] = significant(hits["d2"].to_numpy(float))
                 found.append(hits.sort_values(["at", "tie", "donor_id"]).groupby("at").head(need)[["at", "donor_id", "d2"]])
         best = pd.concat(found[1:] or found)
         at = best["at"].to_numpy(dtype=int)
@@ -218,7 +218,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         nearest, f"group {group_type}, vid {id_type}, donor_id {id_type}, d2 double")
 
     def ranked(df: DataFrame, owner: str, limit: int) -> DataFrame:
-        order = Window.partitionBy("group", owner).orderBy(F.round("d2", TIE_DIGITS), "donor_id")
+        order = Window.partitionBy("group", owner).orderBy(significant_column("d2"), "donor_id")
         return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
     best = ranked(partial, "vid", need).drop("rank")
@@ -230,6 +230,18 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     return ranked(found, "query_id", k).select("group", "query_id", "donor_id", F.sqrt("d2").alias("distance"), "rank")
 
 
+def significant(values: np.ndarray) -> np.ndarray:
+    """Values at TIE_DIGITS significant digits, whatever their scale; below 1e-280 as they are."""
+    large = values > 1e-280
+    unit = 10.0 ** (TIE_DIGITS - np.ceil(np.log10(np.where(large, values, 1.0))))
+    return np.where(large, np.round(values * unit) / unit, values)
+
+
+def significant_column(name: str) -> Column:
+    unit = F.pow(F.lit(10.0), TIE_DIGITS - F.ceil(F.log10(name)))
+    return F.when(F.col(name) > 1e-280, F.round(F.col(name) * unit) / unit).otherwise(F.col(name))
+
+
 def one_group(df: DataFrame, id_col: str, features: Column) -> DataFrame:
     return df.select(F.lit(0).alias("group"), quoted(id_col).alias("id"), features.alias("features"))
 
@@ -250,8 +262,9 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
     if not columns_used:
         return df
     width = len(columns_used)
-    mask = sum((F.when(quoted(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(columns_used)), F.lit(0))
-    rows = df.select(quoted(id_col).alias("id"), mask.cast("int").alias("_m"),
+    mask = sum((F.when(quoted(c).isNotNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+                for i, c in enumerate(columns_used)), F.lit(0).cast("long"))
+    rows = df.select(quoted(id_col).alias("id"), mask.cast("long").alias("_m"),
                      *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"_v{i}")
                        for i, c in enumerate(columns_used)])
     patterns = [r[0] for r in rows.select("_m").distinct().collect()]  # one row per combination of present columns
@@ -263,14 +276,14 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
         def side(pairs: dict, first_is_query: bool) -> DataFrame:
             table = [(m, q, d) for m, others in pairs.items() for o in others
                      for q, d in [(m, o) if first_is_query else (o, m)]]
-            plan = df.sparkSession.createDataFrame(table, "_m int, q int, d int")  # patterns only, never rows
+            plan = df.sparkSession.createDataFrame(table, "_m long, q long, d long")  # patterns only, never rows
             shared = F.col("q").bitwiseAND(F.col("d"))
             return rows.join(F.broadcast(plan), "_m").select(
                 F.concat_ws(":", "q", "d").alias("group"), "id",
                 F.array(*[F.when(shared.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_v{i}")).otherwise(0.0)
                           for i in range(width)]).alias("features"))
         near = knn_join(side(serves, True), side(wanted, False), k)
-        q, d = (F.split_part("group", F.lit(":"), F.lit(n)).cast("int") for n in (1, 2))
+        q, d = (F.split_part("group", F.lit(":"), F.lit(n)).cast("long") for n in (1, 2))
         scaled = F.pow("distance", F.lit(2)) * width / F.bit_count(q.bitwiseAND(d))
         lacking = d.bitwiseAND(F.bitwise_not(q))
         values = rows.select(F.col("id").alias("donor_id"), *[f"_v{i}" for i in range(width)])
@@ -279,7 +292,7 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
                 F.when(F.col("_lack").bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(i).alias("c"), F.col(f"_v{i}").alias("x")))
                 for i in range(width)])).alias("o")).where(F.col("o").isNotNull()).select(
             "query_id", "donor_id", "_d2", "o.c", "o.x")
-        order = Window.partitionBy("query_id", "c").orderBy(F.round("_d2", TIE_DIGITS), "donor_id")
+        order = Window.partitionBy("query_id", "c").orderBy(significant_column("_d2"), "donor_id")
         top = offers.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
         best = top.groupBy(F.col("query_id").alias("_id")).agg(*[
             F.avg(F.when(F.col("c") == i, F.col("x"))).alias(f"_k{i}") for i in range(width)])
@@ -380,7 +393,7 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, columns: Sequen
     votes = _votes(train, test, id_col, columns, target, k, scaler, weights, p)
     counted = votes.groupBy("query_id", "_y").agg(F.round(F.sum("_w"), 9).alias("_s"))
     best = counted.groupBy("query_id").agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_y").alias("y"))).alias("b"))
-    return test.join(best.select(F.col("query_id").alias(id_col), F.col("b.y").alias("prediction")), id_col)
+    return test.join(best.select(F.col("query_id").alias(id_col), F.col("b.y").alias("prediction")), id_col, "left")
 
 
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, columns: Sequence[str], target: str, k: int = 3,
@@ -388,4 +401,4 @@ def knn_regress(train: DataFrame, test: DataFrame, id_col: str, columns: Sequenc
     """Add ``prediction``: the (weighted) mean of the neighbours."""
     votes = _votes(train, test, id_col, columns, target, k, scaler, weights, p)
     mean = votes.groupBy("query_id").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
-    return test.join(mean.withColumnRenamed("query_id", id_col), id_col)
+    return test.join(mean.withColumnRenamed("query_id", id_col), id_col, "left")

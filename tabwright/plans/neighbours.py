@@ -21,13 +21,19 @@ def vectors(spark, sf):
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(VECTOR)])
 
 
+def significant(x: str, digits: int = 12) -> str:
+    """Ties to so many significant digits, whatever the scale."""
+    unit = f"pow(10.0, {digits} - ceil(log10({x})))"
+    return f"(CASE WHEN {x} > 1e-280 THEN round({x} * {unit}) / {unit} ELSE {x} END)"
+
+
 def _knn_impute_sql(columns: list[str], k: int) -> str:
     shared = " + ".join(f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in columns)
     squares = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in columns)
     parts = []
     for c in columns:
         parts.append(f"""n_{c} AS (SELECT event_id, avg(x) AS x FROM (SELECT q.event_id, d.{c} AS x, row_number() OVER (PARTITION BY q.event_id
-          ORDER BY round(({squares}) * {len(columns)}.0 / ({shared}), 9), d.event_id) AS rn
+          ORDER BY {significant(f'(({squares}) * {len(columns)}.0 / ({shared}))')}, d.event_id) AS rn
           FROM nulled q JOIN nulled d ON q.{c} IS NULL AND d.{c} IS NOT NULL AND ({shared}) > 0) WHERE rn <= {k} GROUP BY event_id)""")
     return ", ".join(parts)
 
@@ -54,9 +60,9 @@ def auto_clean_conservative(spark, sf):
     return round_doubles(impute.auto_clean(blanks(spark, sf), ["event_id"], strategy="conservative"))
 
 
-LOF = """p AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings),
+LOF = f"""p AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings),
   d AS (SELECT a.vec_id AS q, b.vec_id AS o, array_distance(a.v, b.v) AS dist FROM p a JOIN p b ON a.vec_id <> b.vec_id),
-  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist * dist, 9), o) AS rn FROM d) WHERE rn <= 20),
+  n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {significant('(dist * dist)')}, o) AS rn FROM d) WHERE rn <= 20),
   k AS (SELECT q AS o, max(dist) AS kd FROM n GROUP BY q),
   l AS (SELECT q, 1 / (avg(greatest(kd, dist)) + 1e-10) AS lrd FROM n JOIN k USING (o) GROUP BY q),
   s AS (SELECT n.q AS vec_id, avg(b.lrd) / any_value(a.lrd) AS score FROM n JOIN l b ON n.o = b.q JOIN l a ON n.q = a.q GROUP BY n.q)"""
@@ -81,8 +87,8 @@ def outlier_lof_events(spark, sf):
 
 SPLIT = """s AS (SELECT vec_id, label, embedding::DOUBLE[64] AS v,
   ('0x' || substr(md5(CAST(vec_id AS VARCHAR) || ':42'), 1, 7))::BIGINT % 1000 < 200 AS held FROM embeddings)"""
-NEAR = """n AS (SELECT * FROM (SELECT a.vec_id AS q, b.label AS label, row_number() OVER (PARTITION BY a.vec_id
-  ORDER BY round(array_distance(a.v, b.v) * array_distance(a.v, b.v), 9), b.vec_id) AS rn FROM s a JOIN s b ON a.held AND NOT b.held) WHERE rn <= {k})"""
+NEAR = f"""n AS (SELECT * FROM (SELECT a.vec_id AS q, b.label AS label, row_number() OVER (PARTITION BY a.vec_id
+  ORDER BY {significant('(array_distance(a.v, b.v) * array_distance(a.v, b.v))')}, b.vec_id) AS rn FROM s a JOIN s b ON a.held AND NOT b.held) WHERE rn <= {{k}})"""
 
 
 @query("clf_knn", f"""WITH {SPLIT}, {NEAR.format(k=5)}, c AS (SELECT q, label, count(*) AS votes FROM n GROUP BY ALL)

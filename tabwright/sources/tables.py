@@ -12,8 +12,9 @@ from tabwright.functions.columns import any_of, nan_to_null, quoted
 from tabwright.operators.missing import check_missing
 from tabwright.session import checkpoint_root
 
-# Encodings tried in this order.
-ENCODINGS = ("utf-8", "latin-1", "ISO-8859-1")
+ENCODINGS = ("UTF-8", "ISO-8859-1")  # by the names that Spark knows; the second reads any bytes
+# A quote inside a quoted cell is doubled, and such a cell may hold line breaks.
+FORM = {"quote": '"', "escape": '"'}
 REPLACEMENT = "�"
 
 
@@ -36,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     avoid the extra pass that type inference costs.
     """
     for encoding in encodings:
-        reader = spark.read.option("header", header).option("encoding", encoding)
+        reader = spark.read.option("header", header).option("encoding", encoding).options(**FORM, multiLine=True)
         if encoding.lower().replace("-", "") == "utf8":
             text = reader.csv(path)
             broken = any_of([quoted(c).contains(REPLACEMENT) for c in text.columns])
@@ -49,7 +50,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).options(**FORM).csv(path)
 
 
 def _stage(spark: SparkSession, key: str):
