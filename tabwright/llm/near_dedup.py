@@ -9,8 +9,7 @@ pairs that are clearly below the threshold go no further. The rest are confirmed
 Documents of one shingle set are one node. Within a band, members are first compared with its smallest member only, and
 links are contracted to components. Only bands whose members are still in several components are looked at again: there
 the members outside the first member's component meet all members in blocks of bounded size. No pair within a component
-needs a look, since it could not change the result, and no bucket is cut short. First each of them names its two
-most similar partners of a block; after those links are contracted, all that is left between components is confirmed.
+needs a look, since it could not change the result, and no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -251,8 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1_024) -> D
         again = members.join(mixed_bands.select("band", "value"), ["band", "value"]).join(nodes.select("node", "n", "bands"), "node")
         return written(_across_blocks(again, threshold, block, best).join(known, ["a", "b"], "left_anti"), "dedup-more")
     parts, known = first, pairs
-    # first the most similar partners, which settle nearly all; then whatever is still between components
-    for best in (2, None):
+    for best in (None,):  # a round of best partners before it cost more than it saved
         more = undecided(parts, best, known)
         if more.isEmpty():
             continue
