@@ -8,8 +8,10 @@ pairs that are clearly below the threshold go no further. The rest are confirmed
 
 Documents of one shingle set are one node. Within a band, members are first compared with its smallest member only, and
 links are contracted to components. Only bands whose members are still in several components are looked at again: there
-the members outside the first member's component meet all members in blocks of bounded size. No pair within a component
-needs a look, since it could not change the result, and no bucket is cut short.
+the members outside the first member's component meet all members in blocks of bounded size, by their registers. Members
+with a plausible partner then meet once more with their full sets, and each block gives a spanning forest of its confirmed
+links, so that a large family of texts close to the threshold makes rows in proportion to its members, not its pairs. No
+pair within a component needs a look, since it could not change the result, and no bucket is cut short.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.llm.common import LOWER, columns_of, mixed, pieces_of, table, texts, written
 from tabwright.llm.components import connected_components
@@ -144,16 +146,17 @@ def _plausible_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> Da
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union.
-
-    Sets are read again for the documents that occur in pairs; those are few beside the input.
-    """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _sets_of(ends: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes in ``ends``: sets are made again for these only, few beside the input."""
     wanted = ends.join(nodes.select("node", "key"), "node")
     chosen = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = shingle_sets(chosen).join(wanted, "key").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-    sets = written(sets, "dedup-sets")
+    return written(sets, "dedup-sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs)
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
 
@@ -171,51 +174,100 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _across_blocks(members: DataFrame, threshold: float, block: int, best: int | None) -> DataFrame:
-    """Plausible pairs of different components within the bands of ``members`` (band, value, node, n, bands, component).
+def _dealt(members: DataFrame, load: Column, block: int, least: int) -> DataFrame:
+    """(band, value, i, j, node, component, left) for bands of ``least`` members or more in several components.
 
-    In each band the members outside the first member's component are dealt into blocks of about ``block`` rows, and so
-    are all members; every outer block meets every block of all. A pair is looked at in its first common band only.
-    With ``best``, a member names just its so many most similar partners of a block.
+    In each band the members outside the first member's component are dealt into blocks of about ``block`` units of
+    ``load``, and so are all members. Cell (i, j) holds outer block i as left rows and block j of all as right rows.
     """
     band = ["band", "value"]
-    sizes = members.groupBy(*band).agg(F.min(F.struct("node", "component")).getField("component").alias("main"),
-                                       F.count("*").alias("size"))
-    rows = members.join(sizes, band)
-    outer = rows.where("component <> main").groupBy(*band).agg(F.count("*").alias("outer_size"))
-    rows = rows.join(outer, band)
+    parts = members.groupBy(*band, "component").agg(F.sum(load).alias("load"), F.count("*").alias("n"), F.min("node").alias("first"))
+    sizes = parts.groupBy(*band).agg(F.sum("load").alias("size"), F.sum("n").alias("n"),
+                                     F.min(F.struct("first", "component", "load")).alias("main")).where(
+        (F.col("size") > F.col("main.load")) & (F.col("n") >= least)).select(
+        *band, "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.load")).alias("outer_size"))
     def blocks(size):
         return F.ceil(F.col(size) / block).cast("int")
     def own(size):
         return F.pmod(F.xxhash64("node", F.lit(size)), blocks(size)).cast("int")
-    kept = [*band, "node", "n", "bands", "component"]
-    left = rows.where("component <> main").select(*kept, own("outer_size").alias("i"),
-                                                  F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("j"))
-    right = rows.select(*kept, own("size").alias("j"), F.explode(F.sequence(F.lit(0), blocks("outer_size") - 1)).alias("i"))
-
-    right = right.toDF(*[f"right_{c}" for c in right.columns])
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out, y = [], y.rename(columns=lambda c: c.removeprefix("right_"))
-        if len(x) and len(y):
-            ry, ny, cy, iy = _registers_of(y.bands), y.n.to_numpy(), y.component.to_numpy(), y.node.to_numpy()
-            wide, band_no = ry.view(np.int64), int(x.band.iloc[0])
-            for r, n, c, i in zip(_registers_of(x.bands), x.n.to_numpy(), x.component.to_numpy(), x.node.to_numpy()):
-                before = r.view(np.int64)[:band_no]
-                earlier = ((wide[:, :band_no] == before) & (before != 0)).any(1)
-                other = np.flatnonzero((cy != c) & ~earlier)
-                if len(other):  # sizes that matter differ little, so one figure of chance serves them all
-                    estimate, used = estimates(r[None], ry[other], chance_agreement(np.array([n]), np.array([n])))
-                    keep = np.flatnonzero(plausible(estimate, used, np.full(len(other), n), ny[other], threshold))
-                    if best is not None:
-                        keep = keep[np.argsort(-estimate[keep], kind="stable")[:best]]
-                    out += [(min(i, k), max(i, k)) for k in iy[other[keep]].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    on = [*band, "i", "j"]
-    return left.groupBy(*on).cogroup(right.groupBy(*[f"right_{c}" for c in on])).applyInPandas(meet, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1_024) -> DataFrame:
+    def cells(of, i, j, left):
+        return F.transform(F.sequence(F.lit(0), blocks(of) - 1), lambda k: F.struct(
+            (k if i is None else i).alias("i"), (k if j is None else j).alias("j"), F.lit(left).alias("left")))
+    right = cells("outer_size", None, own("size"), False)
+    both = F.concat(cells("size", own("outer_size"), None, True), right)
+    rows = members.join(sizes, band).select(*band, "node", "component", F.explode(
+        F.when(F.col("component") != F.col("main"), both).otherwise(right)).alias("cell"))
+    return rows.select(*band, "node", "component", "cell.*")
+
+
+def _other_pairs(left: np.ndarray, node: np.ndarray, component: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of left and right rows in different components, about ``at_once`` at a time.
+
+    Two outer members meet in both orders, in this cell or another; the order of ascending nodes counts.
+    """
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    outer = np.isin(component[y], component[x])  # a component with left rows here is an outer one
+    step = max(1, at_once // max(len(y), 1))
+    for start in range(0, len(x), step):
+        some = x[start:start + step]
+        good = (component[some][:, None] != component[y]) & (~outer | (node[some][:, None] < node[y]))
+        i, j = np.nonzero(good)
+        yield some[i], y[j]
+
+
+def _with_plausible_partner(cells: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(band, value, node) for members with a plausible partner in another component; a pair counts in its first common band."""
+    def run(t: pa.Table) -> pa.Table:
+        node, component, n, left = (t[c].to_numpy() for c in ("node", "component", "n", "left"))
+        wide = np.ascontiguousarray(t["bands"].combine_chunks().flatten().to_numpy()).reshape(len(node), -1)
+        rows, band = wide.view(np.uint16), t["band"][0].as_py()
+        marked = np.zeros(len(node), bool)
+        for x, y in _other_pairs(left.astype(bool), node, component, 8_192):
+            close = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])
+            x, y = x[close], y[close]
+            first = ~((wide[x, :band] == wide[y, :band]) & (wide[x, :band] != 0)).any(1)
+            x, y = x[first], y[first]
+            if len(x):
+                keep = plausible(*estimates(rows[x], rows[y], chance_agreement(n[x], n[y])), n[x], n[y], threshold)
+                marked[x[keep]] = marked[y[keep]] = True
+        return t.select(["band", "value", "node"]).filter(pa.array(marked))
+    rows = cells.join(placed.select("node", "n", "bands"), "node")
+    return rows.groupBy("band", "value", "i", "j").applyInArrow(run, "band int, value long, node long").distinct()
+
+
+def _confirmed_across(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on full sets: in each cell a spanning forest of them, no more rows than members."""
+    def run(t: pa.Table) -> pa.Table:
+        node, component, left = (t[c].to_numpy() for c in ("node", "component", "left"))
+        own = [np.frombuffer(h, np.uint64) for h in t["hashes"].to_pylist()]
+        size, left = np.array([len(h) for h in own]), left.astype(bool)
+        right = np.flatnonzero(~left)
+        # postings of the right rows: sorted hashes with the rows that hold them
+        hashes = np.concatenate([own[k] for k in right] or [np.zeros(0, np.uint64)])
+        holder = np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(hashes, kind="stable")
+        hashes, holder = hashes[order], holder[order]
+        parent, out = {}, []
+        def root(c):
+            while (up := parent.setdefault(c, c)) != c:
+                parent[c] = c = parent[up]
+            return c
+        for k in np.flatnonzero(left):
+            start, end = np.searchsorted(hashes, own[k], "left"), np.searchsorted(hashes, own[k], "right")
+            many = end - start
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            shared = np.bincount(holder[at], minlength=len(right))
+            linked = (100 * shared >= percent * (size[k] + size[right] - shared)) & (component[right] != component[k])
+            for m in right[linked].tolist():
+                c, d = root(component[k]), root(component[m])
+                if c != d:
+                    parent[d] = c
+                    out.append((min(node[k], node[m]), max(node[k], node[m])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    return cells.join(sets, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     Rows of one doc_id are one document. A row without id is linked with nothing, has no component and is kept; so do
@@ -237,27 +289,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1_024) -> D
     same = linked.groupBy("doc_id").agg(F.min("key").alias("k"), F.max("key").alias("l")).where("k <> l").select("doc_id").join(
         linked.select("key", "doc_id").distinct().join(nodes.select("key", "node"), "key"), "doc_id").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    first = connected_components(links.union(same))
+    parts = connected_components(links.union(same))
 
-    def with_component(df: DataFrame, parts: DataFrame) -> DataFrame:
+    def with_component(df: DataFrame) -> DataFrame:
         return df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def undecided(parts: DataFrame, best: int | None, known: DataFrame) -> DataFrame:
-        """Plausible pairs between components, in bands of more than two members (two have met already)."""
-        members = with_component(bands, parts)
-        mixed_bands = members.groupBy("band", "value").agg(F.min("component").alias("c"), F.max("component").alias("d"),
-                                                           F.count("*").alias("size")).where("c < d and size > 2")
-        again = members.join(mixed_bands.select("band", "value"), ["band", "value"]).join(nodes.select("node", "n", "bands"), "node")
-        return written(_across_blocks(again, threshold, block, best).join(known, ["a", "b"], "left_anti"), "dedup-more")
-    parts, known = first, pairs
-    for best in (None,):  # a round of best partners before it cost more than it saved
-        more = undecided(parts, best, known)
-        if more.isEmpty():
-            continue
-        found = _confirmed(more, nodes, docs, percent)
+    placed = written(with_component(nodes.select("node", "n", "bands")), "dedup-placed")
+    # bands of several components; two members have met already
+    members = placed.select("node", "component", F.posexplode("bands").alias("band", "value")).where("value <> 0")
+    marked = written(_with_plausible_partner(_dealt(members, F.lit(1), block, 3), placed, threshold), "dedup-marked")
+    if not marked.isEmpty():
+        sets = _sets_of(marked.select("node").distinct(), nodes, docs)
+        members = marked.join(placed.select("node", "n", "component"), "node")
+        found = _confirmed_across(_dealt(members, 1 + F.col("n") / 512, block, 2), sets, percent)
         parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-        known = known.union(more)
-    place = with_component(nodes.select("key", "node"), parts).select("key", "component")
+    place = with_component(nodes.select("key", "node")).select("key", "component")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(place, "key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
