@@ -174,17 +174,16 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
 
 
-def _dealt(members: DataFrame, load: Column, block: int, least: int) -> DataFrame:
-    """(band, value, i, j, node, component, left) for bands of ``least`` members or more in several components.
+def _dealt(members: DataFrame, load: Column, block: int) -> DataFrame:
+    """(band, value, i, j, node, component, left) for bands with members in several components.
 
     In each band the members outside the first member's component are dealt into blocks of about ``block`` units of
     ``load``, and so are all members. Cell (i, j) holds outer block i as left rows and block j of all as right rows.
     """
     band = ["band", "value"]
-    parts = members.groupBy(*band, "component").agg(F.sum(load).alias("load"), F.count("*").alias("n"), F.min("node").alias("first"))
-    sizes = parts.groupBy(*band).agg(F.sum("load").alias("size"), F.sum("n").alias("n"),
-                                     F.min(F.struct("first", "component", "load")).alias("main")).where(
-        (F.col("size") > F.col("main.load")) & (F.col("n") >= least)).select(
+    parts = members.groupBy(*band, "component").agg(F.sum(load).alias("load"), F.min("node").alias("first"))
+    sizes = parts.groupBy(*band).agg(F.sum("load").alias("size"), F.min(F.struct("first", "component", "load")).alias("main"),
+                                     F.count("*").alias("components")).where("components > 1").select(
         *band, "size", F.col("main.component").alias("main"), (F.col("size") - F.col("main.load")).alias("outer_size"))
     def blocks(size):
         return F.ceil(F.col(size) / block).cast("int")
@@ -267,7 +266,7 @@ def _confirmed_across(cells: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return cells.join(sets, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 4_096) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text).
 
     Rows of one doc_id are one document. A row without id is linked with nothing, has no component and is kept; so do
@@ -280,9 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512) -> Dat
     nodes = written(linked.groupBy("key").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"),
                                               F.any_value("bands").alias("bands")), "dedup-nodes")
     bands = nodes.select("node", F.posexplode("bands").alias("band", "value")).where("value <> 0")
-    hubs = bands.groupBy("band", "value").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last")
-    near = hubs.select("band", "value", "a").join(bands, ["band", "value"]).where("a < node").select(
-        "a", F.col("node").alias("b")).distinct()
+    hubs = bands.groupBy("band", "value").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1")
+    shared = written(hubs.join(bands, ["band", "value"]), "dedup-shared")
+    near = shared.where("a < node").select("a", F.col("node").alias("b")).distinct()
     pairs = written(_plausible_pairs(near, nodes, threshold), "dedup-pairs")
     links = written(_confirmed(pairs, nodes, docs, percent), "dedup-links")
     # rows of one id with different texts
@@ -295,12 +294,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 512) -> Dat
         return df.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = written(with_component(nodes.select("node", "n", "bands")), "dedup-placed")
     # bands of several components; two members have met already
-    members = placed.select("node", "component", F.posexplode("bands").alias("band", "value")).where("value <> 0")
-    marked = written(_with_plausible_partner(_dealt(members, F.lit(1), block, 3), placed, threshold), "dedup-marked")
+    members = shared.where("size > 2").select("band", "value", "node").join(placed.select("node", "component"), "node")
+    marked = written(_with_plausible_partner(_dealt(members, F.lit(1), block), placed, threshold), "dedup-marked")
     if not marked.isEmpty():
         sets = _sets_of(marked.select("node").distinct(), nodes, docs)
         members = marked.join(placed.select("node", "n", "component"), "node")
-        found = _confirmed_across(_dealt(members, 1 + F.col("n") / 512, block, 2), sets, percent)
+        found = _confirmed_across(_dealt(members, 1 + F.col("n") / 512, block), sets, percent)
         parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     place = with_component(nodes.select("key", "node")).select("key", "component")
     out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(place, "key", "left")
