@@ -15,8 +15,8 @@ from tabwright.functions.columns import (as_one, categorical_columns, is_numeric
                                          numeric_columns, quoted, require_columns)
 from tabwright.operators.missing import missing_shares
 from tabwright.operators.profile import STATISTICS, describe_numeric
-from tabwright.operators.stats import (Lookup, aggregate_once, grouped_modes, grouped_quantiles, join_on_keys, modes,
-                                       prefix_sums, quantiles, row_positions)
+from tabwright.operators.stats import (Lookup, aggregate_once, grouped_modes, grouped_quantiles, join_on_keys, mode_field,
+                                       modes, prefix_sums, quantiles, row_positions)
 
 
 def drop_missing_rows(df: DataFrame, thresh: int = 0) -> DataFrame:
@@ -111,8 +111,7 @@ def impute_grouped(df: DataFrame, group_cols: Sequence[str], columns: Sequence[s
     if others:
         found = grouped_modes(keyed, others, group_cols)
         tables.append(found.groupBy(*group_cols).agg(*[F.max(F.when(
-            F.col("column") == c,
-            F.col("mode.number") if is_numeric(df.schema[c].dataType) else F.col("mode.text"))).alias(f"_g_{c}")
+            F.col("column") == c, F.col("mode." + mode_field(df.schema[c].dataType)))).alias(f"_g_{c}")
             for c in others]))
         overall |= modes(df, others)
     result = df

@@ -7,14 +7,13 @@ partitioned, so that a key holding most of the table is spread over many slabs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabwright.functions.columns import is_numeric, melt, quoted
 from tabwright.session import checkpointed, setting
 
-NATIVE_QUANTILE_ROWS = 2_000_000  # below this, one task may hold all values of a percentile
 LOOKUP_ROWS = 100_000  # largest lookup table that is broadcast
 
 
@@ -53,24 +52,26 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def prefix_sums(df: DataFrame, weight: str, order: Sequence[str], by: Sequence[str] = (),
-                only: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
-    """Add ``_before`` (weight of earlier rows of the same key), ``_total`` and the row's ``_slab``.
+def slab_totals(rows: DataFrame, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _slab, _inside, _offset, _total): weight inside each slab, in the slabs before it, and of the whole key.
 
-    Three steps: weight per slab, running total over the slabs (at most one row
-    per slab and key), running total inside each slab. ``only`` may drop slabs by
-    (weight before, weight inside, total weight) before rows are touched again.
+    At most one row per slab and key.
     """
-    by = list(by)
-    rows = ranged(df, *by, *order)
     earlier = Window.partitionBy(*by, F.lit(0)).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by, F.lit(0))
     slabs = rows.groupBy(*by, "_slab").agg(F.sum(weight).alias("_inside"))
-    slabs = slabs.withColumns({"_offset": F.coalesce(F.sum("_inside").over(earlier), F.lit(0)),
-                               "_total": F.sum("_inside").over(whole)})
-    if only is not None:
-        slabs = slabs.where(only(F.col("_offset"), F.col("_inside"), F.col("_total")))
-    slabs = slabs.drop("_inside")
+    return slabs.withColumns({"_offset": F.coalesce(F.sum("_inside").over(earlier), F.lit(0)),
+                              "_total": F.sum("_inside").over(whole)})
+
+
+def prefix_sums(df: DataFrame, weight: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Add ``_before`` (weight of earlier rows of the same key), ``_total`` and the row's ``_slab``.
+
+    Three steps: weight per slab, running total over the slabs, running total inside each slab.
+    """
+    by = list(by)
+    rows = ranged(df, *by, *order)
+    slabs = slab_totals(rows, weight, by).drop("_inside")
     if not by:
         slabs = F.broadcast(slabs)  # one row per slab
     joined = join_on_keys(rows, slabs, [*by, "_slab"])
@@ -98,44 +99,41 @@ def average_ranks(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return prefix_sums(cells, "n", ["value"], by).withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
 
 
-def fits_natively(df: DataFrame) -> bool:
-    return df.count() <= setting(df.sparkSession, "quantile.nativeRows", NATIVE_QUANTILE_ROWS)
-
-
 def grouped_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
                       by: Sequence[str] = ()) -> DataFrame:
-    """(by, column, quantiles): exact quantiles with linear interpolation.
+    """(by, column, quantiles): exact quantiles with linear interpolation; NULL for a group without values.
 
-    Tables small enough for a single task use the built-in ``percentile``; larger
-    ones find the needed ranks by prefix sums over the counted values.
+    Values are counted, range partitioned and summed up per slab. The ranks of the
+    probabilities then become rows of the slab they fall into, and one running pass
+    over the slab gives each the value at its place. Other slabs are not read again.
     """
-    by = list(by)
-    if fits_natively(df):
-        wide = df.groupBy(*by).agg(*[F.percentile(quoted(c).cast("double"), list(probabilities)).alias(f"_q{i}")
-                                     for i, c in enumerate(columns)])
-        return melt(wide, {c: F.col(f"_q{i}") for i, c in enumerate(columns)}, by, value="quantiles")
-
-    def holds_a_rank(offset: Column, inside: Column, total: Column) -> Column:
-        found = F.lit(False)
-        for p in probabilities:
-            h = F.lit(p) * (total - 1)
-            found = found | ((F.floor(h) < offset + inside) & (F.ceil(h) >= offset))
-        return found
-
     keys = [*by, "column"]
-    cells = prefix_sums(value_counts(df, columns, by), "n", ["value"], keys, only=holds_a_rank)
-    picks = []
-    for i, p in enumerate(probabilities):
-        h = F.lit(p) * (F.col("_total") - 1)
-        for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("n"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"{side}{i}"))
-    found = cells.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    steps = []
-    for i, p in enumerate(probabilities):
-        h = F.lit(p) * (F.col("_total") - 1)
-        steps.append(F.col(f"lo{i}") + (h - F.floor(h)) * (F.col(f"hi{i}") - F.col(f"lo{i}")))
-    return found.select(*[quoted(k) for k in keys], F.array(*steps).alias("quantiles"))
+    cells = melt(df, {c: quoted(c).cast("double") for c in columns}, by)
+    # the missing values of a group count 0, but keep the group
+    counted = ranged(cells.groupBy(*keys, "value").agg(F.count("value").alias("n")), *keys, "value")
+    slabs = slab_totals(counted, "n", keys)
+    place, rank = F.col("_p") * (F.col("_total") - 1), F.col("_end._rank")
+    wanted = slabs.select("*", F.posexplode(F.lit([float(p) for p in probabilities])).alias("_i", "_p")).select(
+        *[quoted(k) for k in keys], "_slab", "_offset", "_inside", "_i", (place - F.floor(place)).alias("_part"),
+        F.explode(F.array(F.struct(F.lit(False).alias("_upper"), F.floor(place).alias("_rank")),
+                          F.struct(F.lit(True).alias("_upper"), F.ceil(place).alias("_rank")))).alias("_end")).where(
+        (rank >= F.col("_offset")) & (rank < F.col("_offset") + F.col("_inside")))
+    slab = Window.partitionBy(*keys, "_slab")
+    hit = join_on_keys(counted.where(F.col("value").isNotNull()),
+                       wanted.groupBy(*keys, "_slab", "_offset").agg(F.lit(1).alias("_hit")), [*keys, "_slab"])
+    before = F.coalesce(F.sum("n").over(slab.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = hit.select(*[quoted(k) for k in keys], "_slab", (F.col("_offset") + before).alias("_rank"), "value").unionByName(
+        wanted.select(*[quoted(k) for k in keys], "_slab", rank.alias("_rank"), "_i", "_part", "_end._upper"), True)
+    here = F.last("value", True).over(slab.orderBy("_rank", F.col("_i").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    ends = both.withColumn("value", here).where(F.col("_i").isNotNull()).groupBy(*keys, "_i").agg(
+        F.max("_part").alias("_part"), F.max(F.when(~F.col("_upper"), F.col("value"))).alias("_low"),
+        F.max(F.when(F.col("_upper"), F.col("value"))).alias("_high"))
+    step = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(
+        F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low")))
+    found = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", step.alias("q")))).getField("q").alias("quantiles"))
+    empty = slabs.where(F.col("_total") == 0).select(*[quoted(k) for k in keys]).distinct()
+    return found.unionByName(empty.withColumn("quantiles", F.lit(None).cast("array<double>")))
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
@@ -145,24 +143,34 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     return {c: found.get(c) for c in columns}
 
 
+def mode_field(dtype: T.DataType) -> str:
+    """Field of a ``mode`` struct that holds the modes of columns of this type."""
+    if isinstance(dtype, T.DecimalType):
+        return f"decimal_{dtype.precision}_{dtype.scale}"
+    if not is_numeric(dtype):
+        return "text"
+    return "number" if isinstance(dtype, T.FractionalType) else "whole"
+
+
 def grouped_modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by, column, mode): most frequent value, the smallest among ties.
+    """(by, column, mode, n): most frequent value, the smallest among ties.
 
-    ``mode`` is a struct of a number and a text; one of them is set.
+    ``mode`` is a struct with one field per kind of type, so that no value is rounded; ``mode_field`` names a column's.
     """
-    types = {f.name: f.dataType for f in df.schema}
-    cells = melt(df, {c: F.struct((quoted(c) if is_numeric(types[c]) else F.lit(None)).cast("double").alias("number"),
-                                  (F.lit(None) if is_numeric(types[c]) else quoted(c)).cast("string").alias("text"))
-                      for c in columns}, by)
-    counted = (cells.where(F.col("value.number").isNotNull() | F.col("value.text").isNotNull())
-               .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
+    fields = {c: mode_field(df.schema[c].dataType) for c in columns}
+    carriers = {"text": "string", "number": "double", "whole": "bigint"}
+    carriers |= {fields[c]: df.schema[c].dataType.simpleString() for c in columns if fields[c] not in carriers}
+    used = [f for f in carriers if f in fields.values()]
+    cells = melt(df.select(*[quoted(c) for c in dict.fromkeys([*by, *columns])]), {
+        c: F.when(quoted(c).isNotNull(), F.struct(*[(quoted(c) if f == fields[c] else F.lit(None)).cast(carriers[f]).alias(f)
+                                                    for f in used])) for c in columns}, by)
+    counted = cells.where(F.col("value").isNotNull()).groupBy(*by, "column", "value").agg(F.count("*").alias("n"))
     best = counted.groupBy(*by, "column").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("b"))
     return best.select(*[quoted(k) for k in by], "column", F.col("b.value").alias("mode"), (-F.col("b.k")).alias("n"))
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
-    found = {r["column"]: (r["mode"]["number"] if r["mode"]["number"] is not None else r["mode"]["text"])
-             for r in grouped_modes(df, columns).collect()}
+    found = {r["column"]: r["mode"][mode_field(df.schema[r["column"]].dataType)] for r in grouped_modes(df, columns).collect()}
     return {c: found.get(c) for c in columns}
 
 

@@ -21,18 +21,41 @@ def skewed(spark):
     return spark.createDataFrame(pdf), pdf
 
 
-def test_quantiles_of_large_tables(spark, skewed):
+def test_quantiles(skewed):
     df, pdf = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    spark.conf.set("tabwright.quantile.nativeRows", "10")
-    try:
-        assert stats.quantiles(df, ["v"], probs)["v"] == pytest.approx(list(pdf["v"].quantile(probs)))
-        for r in stats.grouped_quantiles(df, ["v"], probs, ["key"]).collect():
-            assert r["quantiles"] == pytest.approx(list(pdf[pdf["key"] == r["key"]]["v"].quantile(probs)))
-        got = describe_numeric(df, ["v"]).first()
-        assert got["50%"] == pytest.approx(pdf["v"].median())
-    finally:
-        spark.conf.unset("tabwright.quantile.nativeRows")
+    assert stats.quantiles(df, ["v"], probs)["v"] == pytest.approx(list(pdf["v"].quantile(probs)))
+    for r in stats.grouped_quantiles(df, ["v"], probs, ["key"]).collect():
+        assert r["quantiles"] == pytest.approx(list(pdf[pdf["key"] == r["key"]]["v"].quantile(probs)))
+    assert describe_numeric(df, ["v"]).first()["50%"] == pytest.approx(pdf["v"].median())
+
+
+def test_quantiles_of_a_fine_grid(skewed):
+    df, pdf = skewed
+    probs = np.linspace(0, 1, 1000)
+    assert stats.quantiles(df, ["v"], probs)["v"] == pytest.approx(list(pdf["v"].quantile(probs)))
+
+
+def test_quantiles_without_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", None), (None, 5.0), (None, float("inf"))], "g string, v double")
+    got = {r["g"]: r["quantiles"] for r in stats.grouped_quantiles(df, ["v"], [0.5, 1.0], ["g"]).collect()}
+    assert got == {"a": [2.0, 3.0], "b": None, None: [float("inf"), float("inf")]}
+    assert stats.quantiles(df.where("g = 'b'"), ["v"], [0.5]) == {"v": None}
+    assert stats.quantiles(df.limit(0), ["v"], [0.5]) == {"v": None}
+
+
+def test_modes_keep_the_type(spark):
+    from decimal import Decimal
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([("a", big, Decimal("1.10"), 2.5, "x"), ("a", big, Decimal("1.10"), 2.5, "x"), ("a", big - 1, Decimal("9.99"), 1.0, "y"),
+                                ("b", None, None, None, None), ("b", big + 2, Decimal("7.00"), 3.5, "z")],
+                               "g string, i long, d decimal(20,2), f double, t string")
+    assert stats.modes(df, ["i", "d", "f", "t"]) == {"i": big, "d": Decimal("1.10"), "f": 2.5, "t": "x"}
+    assert stats.modes(df.where("i is null"), ["i", "t"]) == {"i": None, "t": None}
+    filled = impute.impute_mode(df, ["i", "d"]).where("t is null").first()
+    assert (filled["i"], filled["d"]) == (big, Decimal("1.10"))
+    grouped = impute.impute_grouped(df, ["g"], ["i", "t"], "mode").where("f is null").first()
+    assert (grouped["i"], grouped["t"]) == (big + 2, "z")
 
 
 def test_positions_and_ranks(skewed):
