@@ -17,6 +17,7 @@ from tabwright.operators.missing import missing_shares
 from tabwright.operators.profile import STATISTICS, describe_numeric
 from tabwright.operators.stats import (Lookup, aggregate_once, grouped_modes, grouped_quantiles, join_on_keys, mode_field,
                                        modes, prefix_sums, quantiles, row_positions)
+from tabwright.session import checkpointed
 
 
 def drop_missing_rows(df: DataFrame, thresh: int = 0) -> DataFrame:
@@ -277,6 +278,8 @@ def impute_random_forest(df: DataFrame, columns: Sequence[str], trees: int = 100
             filled.where(quoted(c).isNotNull()).withColumn("_label", quoted(c).cast("double")))
         result = model.transform(filled).withColumn(
             c, F.coalesce(quoted(c).cast("double"), F.col("_guess"))).select(*[quoted(k) for k in df.columns])
+        if c != columns[-1]:
+            result = checkpointed(result)  # or the next forest would run this one over all rows in each of its passes
     return result
 
 
@@ -290,14 +293,17 @@ def impute_matrix_factorization(df: DataFrame, columns: Sequence[str] | None = N
     the columns, (rank + 1)^2 numbers each, leave a task. A row without any
     observed cell gets the column mean.
     """
-    columns = list(columns or [c for c in numeric_columns(df) if missing_shares(df.select(quoted(c)))[c]])
+    if not columns:
+        numbers = numeric_columns(df)
+        columns = [c for c, share in missing_shares(df.select(*[quoted(c) for c in numbers])).items() if share]
+    columns = list(columns)
     width = len(columns)
     s = aggregate_once(df, {f"{k}{i}": fn(quoted(c).cast("double")) for i, c in enumerate(columns)
                             for k, fn in (("m", F.avg), ("d", F.stddev_pop))})
     centre = [s[f"m{i}"] for i in range(width)]
     spread = [s[f"d{i}"] or 1.0 for i in range(width)]
-    cells = df.select(F.array(*[(quoted(c).cast("double") - centre[i]) / spread[i]
-                                for i, c in enumerate(columns)]).alias("z")).persist()
+    scaled = [((quoted(c).cast("double") - centre[i]) / spread[i]).alias(f"z{i}") for i, c in enumerate(columns)]
+    cells = df.select(*scaled).persist()
     start = np.random.default_rng(seed).normal(scale=0.1, size=(width, rank))
 
     def row_factors(z: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -305,14 +311,11 @@ def impute_matrix_factorization(df: DataFrame, columns: Sequence[str] | None = N
         gram = np.einsum("nc,ca,cb->nab", seen, v, v) + regularization * np.eye(rank)
         return np.linalg.solve(gram, (np.where(seen, z, 0.0) @ v)[..., None])[..., 0]
 
-    def matrix(series: pd.Series) -> np.ndarray:
-        return np.array([[np.nan if x is None else x for x in row] for row in series], dtype=float).reshape(-1, width)
-
     def equations(v: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((width, rank, rank + 1))
             for pdf in batches:
-                z = matrix(pdf["z"])
+                z = pdf.to_numpy(dtype=float)
                 if len(z):
                     u, seen = row_factors(z, v), ~np.isnan(z)
                     total[:, :, :rank] += np.einsum("nc,na,nb->cab", seen, u, u)
@@ -337,12 +340,10 @@ def impute_matrix_factorization(df: DataFrame, columns: Sequence[str] | None = N
     fitted = v
 
     @F.pandas_udf("array<double>")
-    def rebuild(z: pd.Series) -> pd.Series:
-        m = matrix(z)
-        return pd.Series(list(row_factors(m, fitted) @ fitted.T))
+    def rebuild(z: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(row_factors(z.to_numpy(dtype=float), fitted) @ fitted.T))
 
-    z = F.array(*[(quoted(c).cast("double") - centre[i]) / spread[i] for i, c in enumerate(columns)])
-    return df.withColumn("_fit", rebuild(z)).withColumns({
+    return df.withColumn("_fit", rebuild(F.struct(*scaled))).withColumns({
         c: F.coalesce(quoted(c).cast("double"), F.col("_fit")[i] * spread[i] + centre[i])
         for i, c in enumerate(columns)}).drop("_fit")
 

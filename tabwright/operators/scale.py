@@ -112,12 +112,12 @@ def power_with_exponent(df: DataFrame, column: str, method: str, lam: float) ->
 
 
 def fit_power(df: DataFrame, column: str, method: str, low: float = -5.0, high: float = 5.0,
-              points: int = 41, rounds: int = 3) -> Power:
+              points: int = 41, rounds: int = 3, widest: float = 100.0) -> Power:
     """Exponent of maximum likelihood; each pass evaluates a whole grid of exponents.
 
-    Every task sums up its own part per exponent. Each
-    round narrows the grid to the neighbours of the best point; a parabola through
-    the last three gives the exponent to about eight digits.
+    One aggregate holds the variance at every exponent. While the best point is at an end of the grid, the grid is moved
+    on past that end. Each round narrows it to the neighbours of the best point; a parabola through the last three gives
+    the exponent to about eight digits.
     """
     fn, jacobian, _ = POWERS[method]
     x = quoted(column).cast("double")
@@ -125,15 +125,24 @@ def fit_power(df: DataFrame, column: str, method: str, low: float = -5.0, high:
         raise ValueError(f"{column} has values that are not positive")
     values = df.where(x.isNotNull()).select(x.alias("x"))
     s = aggregate_once(values, {"n": F.count("x"), "j": F.sum(jacobian(F.col("x")))})
-    for _ in range(rounds):
-        grid = np.linspace(low, high, points)
-        spread = {r["i"]: r["v"] for r in values.select("x", F.posexplode(F.array(*[F.lit(float(g)) for g in grid])).alias(
-            "i", "lam")).groupBy("i").agg(F.var_pop(fn(F.col("x"), F.col("lam"))).alias("v")).collect()}
-        score = np.array([-np.inf if not spread.get(i) else -s["n"] / 2 * np.log(spread[i]) + (g - 1) * s["j"]
+    def scores(grid: np.ndarray) -> np.ndarray:
+        spread = aggregate_once(values, {str(i): F.var_pop(fn(F.col("x"), F.lit(float(g)))) for i, g in enumerate(grid)})
+        score = np.array([-np.inf if not (v := spread[str(i)]) else -s["n"] / 2 * np.log(v) + (g - 1) * s["j"]
                           for i, g in enumerate(grid)])
-        score[~np.isfinite(score)] = -np.inf
+        return np.where(np.isfinite(score), score, -np.inf)
+    grid = np.linspace(low, high, points)
+    score = scores(grid)
+    for _ in range(rounds - 1):
+        while (best := int(score.argmax())) in (0, points - 1) and np.isfinite(score[best]) and abs(grid[best]) < widest:
+            further = grid - grid[-1] + grid[1] if best == 0 else grid - grid[0] + grid[-2]
+            moved = scores(further)
+            if moved.max() <= score.max():
+                break
+            grid, score = further, moved
         best = int(np.clip(score.argmax(), 1, points - 2))
-        low, high = grid[best - 1], grid[best + 1]
+        grid = np.linspace(grid[best - 1], grid[best + 1], points)
+        score = scores(grid)
+    best = int(np.clip(score.argmax(), 1, points - 2))
     a, b, c = score[best - 1:best + 2]
     bend = a - 2 * b + c
     step = grid[1] - grid[0]
