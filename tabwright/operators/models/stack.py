@@ -10,15 +10,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.operators.models.recipe import FEATURES, LABEL, Fit, Task, folds, row_count
+from tabwright.operators.models.recipe import FEATURES, LABEL, Fit, Task, chain, folds, row_count
 from tabwright.operators.stats import aggregate_once
 from tabwright.session import checkpointed
 
-Members = dict[str, Callable[[Task], object]]  # name -> unfitted estimator
+Members = dict[str, Callable[[DataFrame, Task], list[Transformer]]]  # name -> fitted stages
 
 
-def _classifier(cls, name: str, **params):
-    return cls(featuresCol=FEATURES, labelCol=LABEL, predictionCol=f"_{name}_p", **params).setProbabilityCol(
+def _classifier(cls, name: str, label: str = LABEL, **params):
+    return cls(featuresCol=FEATURES, labelCol=label, predictionCol=f"_{name}_p", **params).setProbabilityCol(
         f"_{name}_prob").setRawPredictionCol(f"_{name}_raw")
 
 
@@ -27,22 +27,37 @@ def _regressor(cls, name: str, **params):
 
 
 def default_classifiers(trees: int = 100, depth: int = 15) -> Members:
-    return {"tree": lambda task: _classifier(DecisionTreeClassifier, "tree", maxDepth=depth, seed=task.seed),
-            "forest": lambda task: _classifier(RandomForestClassifier, "forest", numTrees=trees, maxDepth=depth, seed=task.seed)}
+    return {"tree": lambda rows, task: [_classifier(DecisionTreeClassifier, "tree", maxDepth=depth, seed=task.seed).fit(rows)],
+            "forest": lambda rows, task: [_classifier(RandomForestClassifier, "forest", numTrees=trees, maxDepth=depth,
+                                                      seed=task.seed).fit(rows)]}
+
+
+def _boosted(rows: DataFrame, task: Task, trees: int) -> list[Transformer]:
+    """Boosted trees with two outputs; beyond two classes one model per class, their outputs side by side."""
+    def one(name: str, label: str = LABEL):
+        return _classifier(GBTClassifier, name, label, maxIter=trees, maxDepth=3, stepSize=0.1, seed=task.seed)
+    if task.classes <= 2:
+        return [one("boost").fit(rows)]
+    models = [one(f"boost{k}", "_is").fit(rows.withColumn("_is", (F.col(LABEL) == k).cast("double"))) for k in range(task.classes)]
+    return [*models, VectorAssembler(inputCols=[f"_boost{k}_prob" for k in range(task.classes)], outputCol="_boost_prob")]
 
 
 def tuned_classifiers(forest_trees: int, boosted_trees: int, C: float) -> Members:
-    """Forest, boosting (two classes only) and logistic members."""
-    return {"forest": lambda task: _classifier(RandomForestClassifier, "forest", numTrees=forest_trees, seed=task.seed),
-            **({"boost": lambda task: _classifier(GBTClassifier, "boost", maxIter=boosted_trees, maxDepth=3, stepSize=0.1,
-                                                  seed=task.seed)} if boosted_trees else {}),
-            "line": lambda task: _classifier(LogisticRegression, "line", regParam=1.0 / max(C, 1e-9) / 1000)}
+    """Forest, boosting (unless ``boosted_trees`` is 0) and logistic members."""
+    return {"forest": lambda rows, task: [_classifier(RandomForestClassifier, "forest", numTrees=forest_trees,
+                                                      seed=task.seed).fit(rows)],
+            **({"boost": lambda rows, task: _boosted(rows, task, boosted_trees)} if boosted_trees else {}),
+            "line": lambda rows, task: [_classifier(LogisticRegression, "line", regParam=1.0 / (max(C, 1e-9) * row_count(rows)),
+                                                    standardization=False).fit(rows)]}
 
 
-def default_regressors(forest: int = 350, boosted: int = 100, extra: int = 25, depth: int = 5) -> Members:
-    return {"forest": lambda task: _regressor(RandomForestRegressor, "forest", numTrees=forest, maxDepth=depth, seed=task.seed),
-            "boost": lambda task: _regressor(GBTRegressor, "boost", maxIter=boosted, maxDepth=3, stepSize=0.1, seed=task.seed),
-            "quick": lambda task: _regressor(GBTRegressor, "quick", maxIter=extra, maxDepth=3, stepSize=0.3, seed=task.seed)}
+def default_regressors(forest: int = 350, boosted: int = 100, extra: int = 25, depth: int = 15) -> Members:
+    return {"forest": lambda rows, task: [_regressor(RandomForestRegressor, "forest", numTrees=forest, maxDepth=depth,
+                                                     featureSubsetStrategy="0.75", subsamplingRate=0.5, seed=task.seed).fit(rows)],
+            "boost": lambda rows, task: [_regressor(GBTRegressor, "boost", maxIter=boosted, maxDepth=3, stepSize=0.1,
+                                                    featureSubsetStrategy="0.5", seed=task.seed).fit(rows)],
+            "quick": lambda rows, task: [_regressor(GBTRegressor, "quick", maxIter=extra, maxDepth=5, stepSize=0.3,
+                                                    seed=task.seed).fit(rows)]}
 
 
 def _out_of_fold(data: DataFrame, task: Task, members: Members, k: int) -> DataFrame:
@@ -54,7 +69,7 @@ def _out_of_fold(data: DataFrame, task: Task, members: Members, k: int) -> DataF
         if rest.isEmpty():
             continue
         for make in members.values():
-            rest = make(task).fit(train).transform(rest)
+            rest = chain(make(train, task), rest)
         parts = rest if parts is None else parts.unionByName(rest)
     return checkpointed(parts)
 
@@ -63,7 +78,7 @@ def _finish(data: DataFrame, task: Task, members: Members, k: int, outputs: list
     joined = VectorAssembler(inputCols=outputs, outputCol="_meta")
     seen = joined.transform(_out_of_fold(data, task, members, k))
     top = final(seen, task).fit(seen)
-    return [*[make(task).fit(data) for make in members.values()], joined, top]
+    return [*[stage for make in members.values() for stage in make(data, task)], joined, top]
 
 
 def stack_classifiers(members: Members | None = None, k: int = 5, C: float = 1.0, final: str = "logistic") -> Fit:

@@ -53,6 +53,12 @@ def test_multi_class_svm(planted):
     assert accuracy(train_classifier(four, Task("id", ("a", "b"), "q"), classify.svm(max_iter=20))) > 0.8
 
 
+def test_multi_class_stacking(planted):
+    four = planted.withColumn("q", F.concat((F.col("a") > 0).cast("string"), (F.col("b") > 0).cast("string")))
+    fit = stack.stack_classifiers(stack.tuned_classifiers(5, 3, 1.0), 2)
+    assert accuracy(train_classifier(four, Task("id", ("a", "b"), "q"), fit)) > 0.8
+
+
 def test_ridge_matches_the_closed_form(planted):
     fitted = train_regressor(planted, Task("id", ("a", "b", "c"), "y", scaler="none", test_share=0.0), regress.ridge(50.0))
     pdf = planted.toPandas()
