@@ -13,6 +13,7 @@ A retried task writes a new file, and only the files that the finished task has
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import struct
@@ -30,7 +31,7 @@ from tabwright.llm.common import columns_of, pieces_of, table, written
 from tabwright.llm.registry import query
 from tabwright.session import scratch_path
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 BIG = 0xFFFFFFFF
 # Signatures of the archive format.
 LOCAL, DESCRIPTOR, CENTRAL, END, END64, LOCATOR = (b"PK\3\4", b"PK\7\x08", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7")
@@ -192,7 +193,10 @@ def with_duplicates(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes one archive per task under ``folder``; returns (archive, n_records), fixed in the shared folder."""
+    """Writes one archive per task under ``folder``; returns (archive, n_records), fixed in the shared folder.
+
+    Each record is a gzip member of its own inside the stored ZIP member, so a range still gives whole records.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = zipped = None
         index = []
@@ -206,7 +210,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                     out = system.open_output_stream(inner)
                     zipped = ZipWriter(out)
                     zipped.begin(DATA)
-                data = record_bytes(page_id, url, payload, digest, refers_to)
+                data = gzip.compress(record_bytes(page_id, url, payload, digest, refers_to), mtime=0)
                 index.append(f"{zipped.at - zipped.start} {len(data)}\n")
                 zipped.write(data)
         if out is not None:
@@ -253,7 +257,7 @@ def read_archives(archives: DataFrame, block: int = 4 << 20) -> DataFrame:
                 with system.open_input_file(inner) as file:
                     data, rows, at = file.read_at(sum(sizes), start), [], 0
                 for size in sizes:
-                    warc, http, payload = parse_record(data[at:at + size])
+                    warc, http, payload = parse_record(gzip.decompress(data[at:at + size]))
                     at += size
                     revisit = warc["warc-type"] == "revisit"
                     def page(field):
