@@ -1,21 +1,21 @@
 """Secret scanning through nested encodings.
 
 A worklist starts with the text itself. Each layer is scanned for secrets, then every way to unwrap it is tried:
-percent-encoding and backslash escapes over the whole layer, base64 runs one by one, and compressed data (gzip, zlib)
-inside them. What comes out is a new layer, until nothing new comes out; a layer that was seen at the same place before
-is not followed, which ends cycles. Every character of a layer knows the span of the original text it came from, so a
+percent-encoding and backslash escapes over the whole layer, base64 runs one by one (joined over line breaks, at all four
+alignments), and compressed data (gzip, zlib) anywhere inside them. The ASCII stretches of what comes out are new layers,
+until nothing new comes out; a layer that was seen at the same place before is not followed, which ends cycles. Every character of a layer knows the span of the original text it came from, so a
 hit at any depth is reported as a span of the original.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, tee
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,16 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+CODE = "A-Za-z0-9+/_-"
+BASE64 = re.compile(rf"(?<![{CODE}])[{CODE}]++(?:(?:[\x20\t]*+\r?\n[\x20\t]*+[{CODE}]++)++|(?<=[{CODE}]{{16}}))={{0,2}}")
+LINE_BREAK = re.compile(r"\s+")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")  # gzip, zlib without a preset dictionary
+# All patterns above are ASCII and the shortest secret, or code of one, has 12 characters.
+STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{12,}")
+ASCII_BYTES = bytes([*range(9, 14), *range(32, 127)])
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
+# Decompressed data comes in pieces and is scanned in windows that overlap, extended to the start of a run cut by their end.
+PIECE, WINDOW, OVERLAP, LONGEST = 1 << 20, 4 << 20, 64 << 10, 32 << 20
 
 
 def find_secrets(text: str) -> list[tuple[int, int, int]]:
@@ -117,81 +126,167 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield _rewritten(layer, edits)
 
 
-def _inflated(raw: bytes, most: int) -> bytes | None:
-    """gzip or zlib content, all members; None if it is neither or larger than ``most``."""
-    if not (raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
-    out = b""
-    while raw:
-        unpack = zlib.decompressobj(47)
-        try:
-            out += unpack.decompress(raw, most + 1 - len(out))
-        except zlib.error:
-            return out or None
-        if len(out) > most:
-            return None
-        raw = unpack.unused_data
-    return out
-
-
-def _readable(raw: bytes) -> str | None:
-    """UTF-8 text without control characters other than white space."""
+def _members(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of all gzip or zlib members, piece by piece, up to the first damage."""
+    unpack = zlib.decompressobj(47)
     try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
-
-
-def _base64(layer: Layer, most: int) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        token = m[0].rstrip("=").translate({45: 43, 95: 47})
-        if len(token) % 4 == 1:
-            continue
+        for piece in pieces:
+            while piece:
+                out = unpack.decompress(piece, PIECE)
+                if out:
+                    yield out
+                piece = unpack.unconsumed_tail
+                if unpack.eof:
+                    piece, unpack = unpack.unused_data, zlib.decompressobj(47)
+        if out := unpack.flush():
+            yield out
+    except zlib.error:
+        return
+
+
+def _peeled(pieces: Iterable[bytes]) -> Iterator[bytes] | None:
+    """What lies under all levels of gzip and zlib, piece by piece; None if there is no such level.
+
+    A level that starts as one above it did is not opened, which ends data that unpacks to itself.
+    """
+    heads: set[bytes] = set()
+    pieces = iter(pieces)
+    while True:
+        head = next(pieces, b"")
+        pieces = chain([head], pieces)
+        if not PACKED.match(head) or head in heads:
+            break
+        pieces, closed = tee(pieces)
+        opened = _members(pieces)
+        first = next(opened, None)
+        if first is None:
+            pieces = closed
+            break
+        del closed
+        heads.add(head)
+        pieces = chain([first], opened)
+    return pieces if heads else None
+
+
+def _end_of_packed(raw: bytes, at: int) -> int | None:
+    """Where the members that start at ``at`` end; None if the first is damaged or cut off."""
+    end = None
+    while PACKED.match(raw, at):
+        unpack, piece = zlib.decompressobj(47), raw[at:]
         try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4), validate=True)
-        except binascii.Error:
+            while not unpack.eof and piece:
+                unpack.decompress(piece, PIECE)
+                piece = unpack.unconsumed_tail
+        except zlib.error:
+            return end
+        if not unpack.eof:
+            return end
+        end = at = len(raw) - len(unpack.unused_data)
+    return end
+
+
+def _stretches(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The ASCII stretches of a stream; longer ones than a window come as overlapping parts."""
+    held, limit = b"", WINDOW
+    for piece in pieces:
+        held += piece
+        if len(held) < limit:
             continue
-        unpacked = _inflated(raw, most)
-        while unpacked is not None and (more := _inflated(unpacked, most)) is not None:
-            unpacked = more
-        text = _readable(raw if unpacked is None else unpacked)
-        if text is None:
+        done = keep = len(held.rstrip(ASCII_BYTES))
+        if len(held) - keep > WINDOW // 2:
+            done, keep = len(held), min(len(held) - OVERLAP, max(keep, len(held.rstrip(RUN_BYTES))))
+            if len(held) > LONGEST:
+                keep = max(keep, len(held) - OVERLAP)
+            elif len(held) - keep > WINDOW // 2:
+                limit = 2 * len(held)
+                continue
+        yield from (m[0] for m in STRETCH.finditer(held, 0, done))
+        held, limit = held[keep:], WINDOW
+    yield from (m[0] for m in STRETCH.finditer(held))
+
+
+def _base64(layer: Layer, most: int | None) -> Iterator[Layer]:
+    """Layers of each run, decoded from its first four characters on: one of these fits wherever in the run the code starts."""
+    for m in BASE64.finditer(layer.text):
+        parts, cuts, gaps = [], [0], []
+        at = m.start()
+        for part in LINE_BREAK.split(m[0].rstrip("=")):
+            at = layer.text.index(part, at)
+            gaps.append(at - cuts[-1])
+            parts.append(part)
+            cuts.append(cuts[-1] + len(part))
+            at += len(part)
+        token = "".join(parts).translate({45: 43, 95: 47})
+        if len(token) < 16:
             continue
-        if unpacked is None:  # three bytes come from four characters
-            byte = np.cumsum([0] + [len(c.encode()) for c in text])
-            first, last = byte[:-1] * 4 // 3, np.minimum(-(-byte[1:] * 4 // 3), len(token))
-            spans = [layer.span(m.start() + a, m.start() + b) for a, b in zip(first.tolist(), last.tolist())]
-        else:
-            spans = [layer.span(m.start(), m.end())] * len(text)
-        yield Layer(text, np.array([s[0] for s in spans]), np.array([s[1] for s in spans]))
-
-
-def scan(text: str, most: int = 64 << 20) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        gaps, cuts = np.array(gaps), np.array(cuts[:-1])
+
+        def place(i: np.ndarray) -> np.ndarray:
+            """Characters of the token as characters of the layer."""
+            return i + gaps[np.searchsorted(cuts, i, "right") - 1]
+        for shift in range(4):
+            size = len(token) - shift
+            size -= size % 4 == 1
+            raw = binascii.a2b_base64(token[shift:shift + size] + "=" * (-size % 4))
+            for found in STRETCH.finditer(raw):
+                byte = np.arange(found.start(), found.end() + 1)  # three bytes come from four characters
+                first = place(shift + byte[:-1] * 4 // 3)
+                last = place(shift + -(-byte[1:] * 4 // 3) - 1)
+                yield Layer(found[0].decode("ascii"), first if layer.start is None else layer.start[first],
+                            last + 1 if layer.end is None else layer.end[last])
+            done = 0
+            for found in PACKED.finditer(raw):
+                if found.start() < done or (pieces := _peeled([raw[found.start():]])) is None:
+                    continue
+                if most is not None:
+                    whole = b"".join(_first(pieces, most + 1))
+                    if len(whole) > most:
+                        continue
+                    pieces = [whole]
+                end = _end_of_packed(raw, found.start())
+                done = end or 0
+                last = m.end() if end in (None, len(raw)) else int(place(np.array([shift - (-end * 4 // 3) - 1]))[0]) + 1
+                lo, hi = layer.span(int(place(np.array([shift + found.start() * 4 // 3]))[0]), last)
+                for part in _stretches(pieces):
+                    yield Layer(part.decode("ascii"), np.broadcast_to(lo, len(part)), np.broadcast_to(hi, len(part)))
+
+
+def _first(pieces: Iterable[bytes], size: int) -> Iterator[bytes]:
+    for piece in pieces:
+        yield piece
+        size -= len(piece)
+        if size <= 0:
+            return
+
+
+def _unwrapped(layer: Layer, most: int | None) -> Iterator[Layer]:
+    if "%" in layer.text:
+        yield from _percent(layer)
+    if "\\" in layer.text:
+        yield from _escapes(layer)
+    yield from _base64(layer, most)
+
+
+def scan(text: str, most: int | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, each (start, kind number, end), sorted.
 
-    ``most`` bounds the size of one decompressed layer: larger ones are taken for decompression bombs.
+    Decompressed data of any size is scanned window by window. ``most``, if given, leaves out what is larger once unpacked.
     """
     base = find_secrets(text)
-    spans, seen, work = set(base), set(), [Layer(text)]
+    spans, seen, work = set(base), set(), [_unwrapped(Layer(text), most)]
     while work:
-        layer = work.pop()
-        if layer.start is not None:
-            for a, kind, b in find_secrets(layer.text):
-                lo, hi = layer.span(a, b)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        mark = hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), *(
+            (int(new.start.min()), int(new.end.max())) if new.text else (0, 0))
+        if new.text and mark not in seen:
+            seen.add(mark)
+            for a, kind, b in find_secrets(new.text):
+                lo, hi = new.span(a, b)
                 spans.add((lo, kind, hi))
-        unwrapped = []
-        if "%" in layer.text:
-            unwrapped += _percent(layer)
-        if "\\" in layer.text:
-            unwrapped += _escapes(layer)
-        unwrapped += _base64(layer, most)
-        for new in unwrapped:
-            mark = hashlib.blake2b(new.text.encode("utf-8", "replace"), digest_size=16).digest(), *(
-                (int(new.start.min()), int(new.end.max())) if new.text else (0, 0))
-            if new.text and mark not in seen:
-                seen.add(mark)
-                work.append(new)
+            work.append(_unwrapped(new, most))
     return base, sorted(spans)
 
 
