@@ -293,7 +293,7 @@ def impute_grouped_mode(spark, sf):
 
 @query("impute_random_forest")
 def impute_random_forest(spark, sf):
-    return impute.impute_random_forest(blanks(spark, sf).select("event_id", "value_n", "k_n"), ["value_n"], trees=20)
+    return impute.impute_random_forest(blanks(spark, sf).select("event_id", "value_n", "k_n"), ["value_n"])
 
 
 @query("impute_matrix_factorization")

@@ -48,29 +48,29 @@ LENGTH = Task("doc_id", tuple(TEXT_FEATURES), "n_chars")
 
 CLASSIFIERS = {
     "clf_logistic": (vectors, CLASSES, lambda: classify.logistic()),
-    "clf_random_forest": (vectors, CLASSES, lambda: classify.random_forest(trees=30, depth=8)),
+    "clf_random_forest": (vectors, CLASSES, lambda: classify.random_forest()),
     "clf_decision_tree": (vectors, CLASSES, lambda: classify.decision_tree()),
-    "clf_svm": (vectors, CLASSES, lambda: classify.svm(max_iter=10)),
-    "clf_svm_rbf": (judged_texts, QUALITY, lambda: classify.svm(kernel="rbf", dimensions=50, max_iter=30)),
-    "clf_svm_poly": (judged_texts, QUALITY, lambda: classify.svm(kernel="poly", degree=2, max_iter=30)),
-    "clf_gradient_boosting": (judged_texts, QUALITY, lambda: classify.gradient_boosting(trees=20)),
-    "clf_adaboost": (judged_texts, QUALITY, lambda: boost.adaboost_classifier(trees=10)),
-    "clf_adaboost_classes": (vectors, CLASSES, lambda: boost.adaboost_classifier(trees=5, depth=3)),
-    "clf_stacking": (judged_texts, QUALITY, lambda: stack.stack_classifiers(stack.default_classifiers(20, 6), 3)),
+    "clf_svm": (vectors, CLASSES, lambda: classify.svm()),
+    "clf_svm_rbf": (judged_texts, QUALITY, lambda: classify.svm(kernel="rbf")),
+    "clf_svm_poly": (judged_texts, QUALITY, lambda: classify.svm(kernel="poly")),
+    "clf_gradient_boosting": (judged_texts, QUALITY, lambda: classify.gradient_boosting()),
+    "clf_adaboost": (judged_texts, QUALITY, lambda: boost.adaboost_classifier()),
+    "clf_adaboost_classes": (vectors, CLASSES, lambda: boost.adaboost_classifier(depth=3)),
+    "clf_stacking": (judged_texts, QUALITY, lambda: stack.stack_classifiers()),
 }
 REGRESSORS = {
     "reg_linear_all": (lines, PRICE, lambda: regress.linear()),
     "reg_ridge": (lines, PRICE, lambda: regress.ridge()),
     "reg_lasso": (lines, PRICE, lambda: regress.lasso()),
     "reg_decision_tree": (lines, PRICE, lambda: regress.decision_tree()),
-    "reg_random_forest": (lines, PRICE, lambda: regress.random_forest(trees=20, depth=8)),
-    "reg_gradient_boosting": (lines, PRICE, lambda: regress.gradient_boosting(trees=15)),
-    "reg_xgboost": (lines, PRICE, lambda: regress.boosted_trees(trees=15)),
-    "reg_svr": (texts, LENGTH, lambda: regress.svr(kernel="rbf", dimensions=50, iterations=25)),
-    "reg_svr_linear": (texts, LENGTH, lambda: regress.svr(kernel="linear", iterations=25)),
-    "reg_extra_trees": (texts, LENGTH, lambda: regress.extra_trees(trees=8, depth=8)),
-    "reg_adaboost": (texts, LENGTH, lambda: boost.adaboost_regressor(trees=10)),
-    "reg_stacking": (texts, LENGTH, lambda: stack.stack_regressors(stack.default_regressors(20, 10, 5), 3)),
+    "reg_random_forest": (lines, PRICE, lambda: regress.random_forest()),
+    "reg_gradient_boosting": (lines, PRICE, lambda: regress.gradient_boosting()),
+    "reg_xgboost": (lines, PRICE, lambda: regress.boosted_trees()),
+    "reg_svr": (texts, LENGTH, lambda: regress.svr(kernel="rbf")),
+    "reg_svr_linear": (texts, LENGTH, lambda: regress.svr(kernel="linear")),
+    "reg_extra_trees": (texts, LENGTH, lambda: regress.extra_trees()),
+    "reg_adaboost": (texts, LENGTH, lambda: boost.adaboost_regressor()),
+    "reg_stacking": (texts, LENGTH, lambda: stack.stack_regressors()),
 }
 
 
@@ -96,7 +96,7 @@ def clf_xgboost(spark, sf):
     """Text columns to numbers, gaps to the mean, then boosted trees."""
     t = judged_texts(spark, sf).withColumn("words", F.when(F.col("words") > 10, F.col("words").cast("string")).otherwise("few"))
     t = coerce_numeric(t, "words")
-    return train_classifier(impute_mean(t, QUALITY.features), QUALITY, classify.gradient_boosting(trees=20)).report
+    return train_classifier(impute_mean(t, QUALITY.features), QUALITY, classify.gradient_boosting()).report
 
 
 HELD = "('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) || ':42'), 1, 7))::BIGINT % 1000 < 200"

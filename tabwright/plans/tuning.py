@@ -1,4 +1,4 @@
-"""Hyper-parameter search on the sample tables: a few trials from narrowed spaces."""
+"""Hyper-parameter search on the sample tables, over the whole default spaces."""
 
 from __future__ import annotations
 
@@ -6,40 +6,25 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import round_doubles
 from tabwright.operators.models import search
-from tabwright.operators.models.search import TUNERS, change_space, choice, log_real, real, whole
+from tabwright.operators.models.search import TUNERS, choice, log_real, real, whole
 from tabwright.plans.models import LENGTH, QUALITY, judged_texts, texts
 from tabwright.plans.registry import query, r
 from tabwright.sources import load_table
 
-# Smaller ranges than the defaults: the point of these queries is the search, not the best model.
-NARROW = {
-    "tune_rf_regression": {"trees": whole(5, 15, 5), "depth": whole(3, 6)},
-    "tune_rf_classifier": {"trees": whole(5, 15, 5), "depth": whole(3, 6)},
-    "tune_gbt_classifier": {"trees": whole(3, 6), "depth": whole(2, 3)},
-    "tune_logistic": {"max_iter": whole(10, 30, 10)},
-    "tune_dt_classifier": {"depth": whole(3, 6)},
-    "tune_adaboost_classifier": {"trees": whole(2, 4)},
-    "tune_stacking_classifier": {"forest": choice(5), "boosted": choice(3), "k": choice(2)},
-    "tune_dt_regressor": {"depth": whole(3, 8)},
-    "tune_gbt_regressor": {"trees": whole(3, 6), "depth": whole(2, 4)},
-    "tune_adaboost_regressor": {"trees": whole(2, 4)},
-    "tune_extra_trees": {"trees": whole(2, 4), "depth": whole(3, 6)},
-    "tune_svr": {"iterations": choice(8), "dimensions": choice(20), "C": log_real(0.01, 100)},
-    "tune_xgb_regressor": {"trees": whole(3, 6), "depth": whole(2, 4)},
-    "tune_stacking_regressor": {"forest": choice(5), "boosted": choice(3), "extra": choice(3), "k": choice(2)},
-}
-
-
-def run(name, spark, sf, trials=2, k=2):
+# As many trials and folds as the original's searches.
+TRIAL_COUNT, FOLDS = 30, 5
+
+
+def run(name, spark, sf, trials=TRIAL_COUNT, k=FOLDS):
     tuner = TUNERS[name]
     table, task = (judged_texts(spark, sf), QUALITY) if tuner.classify else (texts(spark, sf), LENGTH)
-    return search.search(table, task, tuner, trials=trials, k=k, space=change_space(tuner.space, NARROW.get(name)))
+    return search.search(table, task, tuner, trials=trials, k=k)
 
 
 def _register(name):
     @query(name)
     def tune(spark, sf):
-        return run(name, spark, sf, trials=1 if "stacking" in name else 2).trials
+        return run(name, spark, sf).trials
 
 
 for _name in TUNERS:
