@@ -64,11 +64,14 @@ def scatter_matrix(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
 
 
 def crosstab_counts(df: DataFrame, x: str, y: str, values: Sequence | None = None) -> DataFrame:
-    """Counts of x by y, one column per y value, 0 where a pair never occurs."""
+    """Counts of x by y, one column per y value, 0 where a pair never occurs.
+
+    Without given ``values`` and with more than 1 000 of them in y, the pairs that occur come as rows (x, y, n).
+    """
     if values is None:
         values = sorted(r[0] for r in df.select(quoted(y)).where(quoted(y).isNotNull()).distinct().limit(1001).collect())
         if len(values) > 1000:
-            raise ValueError(f"{y} has over 1000 values: too many columns")
+            return df.dropna(subset=[x, y]).groupBy(quoted(x), quoted(y)).agg(F.count(F.lit(1)).alias("n"))
     return df.dropna(subset=[x, y]).groupBy(quoted(x)).pivot(y, list(values)).agg(F.count(F.lit(1))).fillna(0)
 
 

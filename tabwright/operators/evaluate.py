@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabwright.functions.columns import quoted
 from tabwright.operators.stats import average_ranks
-
-MAX_CLASSES = 1_000
+from tabwright.session import checkpointed
 
 
 def _pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -19,12 +18,9 @@ def _pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(actual, predicted, n) for every pair of labels seen on either side, 0 included; a missing label is one of its own."""
-    counts = _pair_counts(df, actual, predicted)
-    found = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).distinct().limit(MAX_CLASSES + 1)
-    labels = sorted((r[0] for r in found.collect()), key=lambda label: (label is None, label or ""))
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"over {MAX_CLASSES} classes")
-    grid = df.sparkSession.createDataFrame([(a, p) for a in labels for p in labels], "actual string, predicted string")
+    counts = checkpointed(_pair_counts(df, actual, predicted))
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).distinct()
+    grid = labels.select(F.col("l").alias("actual")).crossJoin(labels.select(F.col("l").alias("predicted")))
     same = grid["actual"].eqNullSafe(counts["actual"]) & grid["predicted"].eqNullSafe(counts["predicted"])
     return grid.join(counts, same, "left").select(
         grid["actual"], grid["predicted"], F.coalesce("k", F.lit(0)).cast("long").alias("n"))

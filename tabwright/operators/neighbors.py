@@ -24,7 +24,7 @@ from tabwright.operators.split import hash_bucket
 from tabwright.operators.stats import aggregate_once, quantiles, row_positions
 from tabwright.session import checkpointed, setting
 
-MAX_PIVOTS = 65_536  # over all groups; the pivots travel with the task closures
+MAX_PIVOTS = 65_536  # of one round; the pivots travel with the task closures
 PIVOTS_PER_GROUP = 512
 QUERY_BLOCK = 4_096  # vectors of one block pair
 DONOR_BLOCK = 16_384
@@ -56,13 +56,13 @@ def _distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("group", "features").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _pivot_tables(vectors: DataFrame) -> dict:
-    """Per group, vectors chosen by hash: a number that grows with the square root of the group."""
+def _pivot_tables(vectors: DataFrame) -> dict | None:
+    """Per group, vectors chosen by hash: a number that grows with the square root of the group; None if one round is too small."""
     spark = vectors.sparkSession
     limit = setting(spark, "neighbors.maxPivots", MAX_PIVOTS)
     sizes = {r["group"]: r["n"] for r in vectors.groupBy("group").agg(F.count("*").alias("n")).limit(limit + 1).collect()}
     if len(sizes) > limit:
-        raise ValueError(f"over {limit} groups in a nearest-neighbour join")
+        return None
     share = max(1, min(setting(spark, "neighbors.pivotsPerGroup", PIVOTS_PER_GROUP), limit // max(1, len(sizes))))
     wanted = {g: max(1, min(share, ceil(sqrt(n) / 2))) for g, n in sizes.items()}
     order = Window.partitionBy("group").orderBy(F.xxhash64("features"), "features")
@@ -168,6 +168,8 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
                        for side in (queries, donors))
     donor_vectors = checkpointed(_distinct_vectors(donors, need))
     pivots = _pivot_tables(donor_vectors)
+    if pivots is None:
+        return _in_rounds(queries, donors, donor_vectors, k, exclude_self, p)
     query_vectors = checkpointed(_assign(queries.groupBy("group", "features").agg(F.min("id").alias("vid")), pivots, p))
     placed = _assign(donor_vectors, pivots, p)
     bounds = _bounds(query_vectors, placed, pivots, need, p)
@@ -230,6 +232,19 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     return ranked(found, "query_id", k).select("group", "query_id", "donor_id", F.sqrt("d2").alias("distance"), "rank")
 
 
+def _in_rounds(queries: DataFrame, donors: DataFrame, donor_vectors: DataFrame, k: int, exclude_self: bool, p: int) -> DataFrame:
+    """The join for groups beyond those of one round: every round takes the next groups and has its own pivots."""
+    limit = setting(queries.sparkSession, "neighbors.maxPivots", MAX_PIVOTS)
+    numbered = checkpointed(row_positions(donor_vectors.select("group").distinct(), ["group"]).select(
+        F.col("group"), F.floor(F.col("position") / limit).alias("_round")))
+    found = None
+    for i in range(aggregate_once(numbered, {"n": F.max("_round")})["n"] + 1):
+        mine = numbered.where(F.col("_round") == i).select("group")
+        part = checkpointed(knn_join(*[side.join(mine, "group", "left_semi") for side in (queries, donors)], k, exclude_self, p))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def significant(values: np.ndarray) -> np.ndarray:
     """Values at TIE_DIGITS significant digits, whatever their scale; below 1e-280 as they are."""
     large = values > 1e-280
@@ -267,22 +282,21 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
     rows = df.select(quoted(id_col).alias("id"), mask.cast("long").alias("_m"),
                      *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"_v{i}")
                        for i, c in enumerate(columns_used)])
-    patterns = [r[0] for r in rows.select("_m").distinct().collect()]  # one row per combination of present columns
-    full = (1 << width) - 1
-    serves = {q: [d for d in patterns if (q & d) and (d & ~q & full)] for q in patterns if q != full}
-    wanted = {d: [q for q, ds in serves.items() if d in ds] for d in patterns}
+    full, q, d = (1 << width) - 1, F.col("q"), F.col("d")
+    patterns = checkpointed(rows.select("_m").distinct())
+    # which patterns share a column, and have one to give; patterns only, never rows
+    pairs = checkpointed(patterns.select(F.col("_m").alias("q")).where(q != full).crossJoin(
+        patterns.select(F.col("_m").alias("d"))).where(
+        (q.bitwiseAND(d) != 0) & (d.bitwiseAND(F.bitwise_not(q)).bitwiseAND(F.lit(full).cast("long")) != 0)))
     best = None
-    if any(serves.values()):
-        def side(pairs: dict, first_is_query: bool) -> DataFrame:
-            table = [(m, q, d) for m, others in pairs.items() for o in others
-                     for q, d in [(m, o) if first_is_query else (o, m)]]
-            plan = df.sparkSession.createDataFrame(table, "_m long, q long, d long")  # patterns only, never rows
+    if not pairs.isEmpty():
+        def side(own: str) -> DataFrame:
             shared = F.col("q").bitwiseAND(F.col("d"))
-            return rows.join(F.broadcast(plan), "_m").select(
+            return rows.join(pairs.withColumn("_m", F.col(own)), "_m").select(
                 F.concat_ws(":", "q", "d").alias("group"), "id",
                 F.array(*[F.when(shared.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_v{i}")).otherwise(0.0)
                           for i in range(width)]).alias("features"))
-        near = knn_join(side(serves, True), side(wanted, False), k)
+        near = knn_join(side("q"), side("d"), k)
         q, d = (F.split_part("group", F.lit(":"), F.lit(n)).cast("long") for n in (1, 2))
         scaled = F.pow("distance", F.lit(2)) * width / F.bit_count(q.bitwiseAND(d))
         lacking = d.bitwiseAND(F.bitwise_not(q))

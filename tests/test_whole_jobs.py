@@ -66,3 +66,35 @@ def test_forests_have_default_sizes(monkeypatch, spark, small, module, operator,
     monkeypatch.setattr(module, operator, recorder(calls, getattr(module, operator)))
     QUERIES[query](spark, small)
     check(calls)
+
+
+def test_neighbour_join_of_many_groups_in_rounds(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tabwright.operators import neighbors
+    rng = np.random.default_rng(5)
+    cells = [(i, *[float(x) if rng.random() < 0.7 else None for x in rng.normal(size=3)]) for i in range(300)]
+    df = spark.createDataFrame(cells, "id long, a double, b double, c double")
+    many = df.select(F.pmod("id", F.lit(7)).alias("group"), "id", F.array(F.coalesce("a", F.lit(0.0))).alias("features"))
+
+    def results():
+        return (sorted(map(tuple, neighbors.knn_join(many, many, 2, exclude_self=True).collect())),
+                sorted(map(tuple, neighbors.impute_knn(df, ["a", "b", "c"], "id").collect())))
+    want = results()
+    spark.conf.set("tabwright.neighbors.maxPivots", "3")
+    try:
+        got = results()
+    finally:
+        spark.conf.unset("tabwright.neighbors.maxPivots")
+    assert got[0] == want[0] and len(got[0]) == 600
+    assert got[1] == want[1] and all(x is not None for row in got[1] for x in row)
+
+
+def test_more_than_a_thousand_values(spark):
+    from pyspark.sql import functions as F
+    from tabwright.operators import analyze, evaluate
+    t = spark.range(1_100).select(F.pmod("id", F.lit(3)).alias("x"), F.col("id").alias("y"))
+    got = analyze.crosstab_counts(t.unionAll(t), "x", "y")
+    assert got.columns == ["x", "y", "n"] and got.count() == 1_100 and got.where("n = 2").count() == 1_100
+    matrix = evaluate.confusion_matrix(t, "x", "y")
+    assert matrix.count() == 1_100 ** 2 and matrix.agg(F.sum("n")).first()[0] == 1_100
