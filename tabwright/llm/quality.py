@@ -1,8 +1,9 @@
 """Quality classifier by co-training on two views of a document.
 
 The content view sees the words of the whole text and its shape; the metadata view sees what the crawl knows about it
-(source, language, length class) and never the text. Both start from labelled documents. In each round either classifier
-scores a pool of unlabelled documents and hands its most confident decisions to the other as labels. In the end each view
+(source, language, length class) and never the text. Both start from labelled documents. In each round both classifiers
+score all unlabelled documents where these are, and hand confident decisions of each class to the other as labels; only the
+documents handed over are bounded, per class, by id hash. In the end each view
 is calibrated on labelled documents that neither was trained on, and the calibrated log-odds are combined there too.
 
 Two faults are learned this way, low quality and toxicity; a document is rejected when the combined probability of either
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -147,40 +148,76 @@ class Fault:
         return scale * (self.content, self.metadata)[view].margin(rows) + shift
 
 
-def co_train(views: tuple[list, list], y: np.ndarray, pool: tuple[list, list], rounds: int = 3, share: float = 0.1,
-             confident: float = 0.95) -> Fault:
-    """Each round a view labels the pool documents it is most sure of, at most ``share`` of the pool, for the other view.
+@dataclass
+class Learner:
+    """One fault while its views teach each other. Rows at places divisible by four are kept for calibration."""
 
-    Rows at places divisible by four are kept for calibration.
-    """
-    held = np.arange(len(y)) % 4 == 0
-    sizes = (BUCKETS, META_BUCKETS)
-    own = [([v[i] for i in np.flatnonzero(~held)], y[~held]) for v in views]
-    models = [train(*own[v], sizes[v]) for v in (0, 1)]
+    views: tuple[list, list]
+    y: np.ndarray
+    models: list[Linear]
+    confident: float
+
+    @classmethod
+    def start(cls, views: tuple[list, list], y: np.ndarray, confident: float = 0.95) -> Learner:
+        learner = cls(views, y, [], confident)
+        learner.teach([[], []], np.zeros(0), np.zeros(0))
+        return learner
+
+    def _held(self) -> np.ndarray:
+        return np.arange(len(self.y)) % 4 == 0
+
+    def teach(self, given: list[list], *labels: np.ndarray) -> None:
+        """Trains each view on its labelled rows and on ``given[v]``: rows of view v with ``labels[v]``, by the other view."""
+        own = np.flatnonzero(~self._held())
+        self.models = [train([self.views[v][i] for i in own] + given[v], np.concatenate([self.y[own], labels[v]]), size)
+                       for v, size in enumerate((BUCKETS, META_BUCKETS))]
+
+    def calibrations(self) -> tuple[np.ndarray, np.ndarray]:
+        held = np.flatnonzero(self._held())
+        return tuple(fit_odds(self.models[v].margin([self.views[v][i] for i in held])[:, None], self.y[held]) for v in (0, 1))
+
+    def finish(self) -> Fault:
+        held = np.flatnonzero(self._held())
+        fault = Fault(*self.models, self.calibrations(), np.array([1.0, 1.0, 0.0]))
+        odds = [fault._odds(v, [self.views[v][i] for i in held]) for v in (0, 1)]
+        fault.combination = fit_odds(np.column_stack(odds), self.y[held])
+        return fault
+
+
+@dataclass
+class Teacher:
+    """What scoring needs of a learner: each view's model and calibration."""
+
+    models: list[Linear]
+    scales: tuple[np.ndarray, np.ndarray]
+    confident: float
+
+    def decisions(self, views: tuple[list, list]) -> list[np.ndarray]:
+        """Of each view: 1 or 0 where it is sure of that class, -1 elsewhere."""
+        out = []
+        for model, (scale, shift), rows in zip(self.models, self.scales, views):
+            p = 1 / (1 + np.exp(-np.clip(scale * model.margin(rows) + shift, -30, 30)))
+            out.append(np.where(p >= self.confident, 1, np.where(1 - p >= self.confident, 0, -1)))
+        return out
+
+
+def co_train(views: tuple[list, list], y: np.ndarray, pool: tuple[list, list], rounds: int = 3, most: int = 300,
+             confident: float = 0.95) -> Fault:
+    """Each round a view hands to the other the pool documents it is sure of, at most ``most`` of each class, first ones first."""
+    learner = Learner.start(views, y, confident)
     for _ in range(rounds):
-        given: list[tuple[np.ndarray, np.ndarray]] = []
-        for v in (0, 1):
-            scale, shift = fit_odds(models[v].margin([views[v][i] for i in np.flatnonzero(held)])[:, None], y[held])
-            p = 1 / (1 + np.exp(-np.clip(scale * models[v].margin(pool[v]) + shift, -30, 30)))
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:int(share * len(p))]
-            sure = sure[np.maximum(p[sure], 1 - p[sure]) >= confident]
-            given.append((sure, (p[sure] > 0.5).astype(float)))
-        new = []
-        for v in (0, 1):
-            at, labels = given[1 - v]
-            new.append(train(own[v][0] + [pool[v][i] for i in at.tolist()], np.concatenate([own[v][1], labels]), sizes[v]))
-        models = new
-    kept = [[views[v][i] for i in np.flatnonzero(held)] for v in (0, 1)]
-    calibrations = tuple(fit_odds(models[v].margin(kept[v])[:, None], y[held]) for v in (0, 1))
-    fault = Fault(models[0], models[1], calibrations, np.array([1.0, 1.0, 0.0]))
-    fault.combination = fit_odds(np.column_stack([fault._odds(0, kept[0]), fault._odds(1, kept[1])]), y[held])
-    return fault
-
-
-def used_features(faults: dict[str, Fault]) -> bytes:
+        sure = Teacher(learner.models, learner.calibrations(), confident).decisions(pool)
+        at = [np.concatenate([np.flatnonzero(s == c)[:most] for c in (0, 1)]) for s in sure]
+        learner.teach([[pool[v][i] for i in at[1 - v].tolist()] for v in (0, 1)],
+                      *[sure[1 - v][at[1 - v]].astype(float) for v in (0, 1)])
+    return learner.finish()
+
+
+def used_features(models: Iterable[Linear]) -> bytes:
+    """A byte for each content feature: whether any of the content models has a weight for it."""
     used = np.zeros(BUCKETS, bool)
-    for fault in faults.values():
-        used |= fault.content.weights != 0
+    for model in models:
+        used |= model.weights != 0
     return used.tobytes()
 
 
@@ -208,11 +245,43 @@ def _inputs(docs: DataFrame, *more: str) -> DataFrame:
                        F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, labelled: int = 2_500, pool: int = 3_000) -> dict[str, Fault]:
-    """Classifiers of the faults from at most ``labelled`` documents of each (quality, toxic) pair and ``pool`` unlabelled ones.
+def sure_decisions(docs: DataFrame, teachers: dict[str, Teacher]) -> DataFrame:
+    """(doc_id, fault, view, label) of every decision that a view is sure of; texts do not leave the scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(teachers)
 
-    Chosen by smallest id hash, on ids alone. Labels without id, or null in both columns, are left out; of several labels of
-    a document the worst counts. A fault that the sample has on none or all of its documents is not learned.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[int]] = {}
+        used = used_features(t.models[0] for t in shared.value.values())
+        for piece in pieces_of(batches):
+            if len(cache) > 500_000:
+                cache.clear()
+            ids, text, source, lang, n = columns_of(piece, "doc_id", "text", "source", "lang", "n_chars")
+            views = [content_features(t, cache, used) for t in text], [metadata_features(*x) for x in zip(source, lang, n)]
+            for fault, teacher in shared.value.items():
+                for view, sure in enumerate(teacher.decisions(views)):
+                    at = np.flatnonzero(sure >= 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in at], pa.int64()), pa.array([fault] * len(at), pa.string()),
+                         pa.array([view] * len(at), pa.int64()), pa.array(sure[at], pa.int64())],
+                        names=["doc_id", "fault", "view", "label"])
+    return _inputs(docs).mapInArrow(run, "doc_id long, fault string, view long, label long")
+
+
+def _one_row_each(docs: DataFrame, ids: DataFrame) -> list:
+    """Both views of one row per chosen id, in the order of the id hash; an id on many rows counts once."""
+    found = featured(docs.drop("low", "toxic").join(F.broadcast(ids), "doc_id"), *[c for c in ids.columns if c != "doc_id"])
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "doc_id"]),
+                                                 F.xxhash64("content", "metadata")).alias("r")).select("doc_id", "r.*")
+    return first.orderBy(F.xxhash64("doc_id")).collect()
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, labelled: int = 2_500, most: int = 300, rounds: int = 3) -> dict[str, Fault]:
+    """Classifiers of the faults from at most ``labelled`` documents of each (quality, toxic) pair and all unlabelled ones.
+
+    The labelled ones are chosen by smallest id hash, on ids alone. Labels without id, or null in both columns, are left
+    out; of several labels of a document the worst counts. In each round both views score every unlabelled document, and at
+    most ``most`` confident ones per fault, view and class, by id hash, become training rows of the other view. A fault
+    that the sample has on none or all of its documents is not learned.
     """
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(
@@ -220,22 +289,32 @@ def learn_quality(docs: DataFrame, labels: DataFrame, labelled: int = 2_500, poo
         F.coalesce(F.max("toxic"), F.lit(0)).cast("long").alias("toxic"))
     order = Window.partitionBy("low", "toxic").orderBy(F.xxhash64("doc_id"))
     chosen = known.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= labelled).drop("_place")
-    # sized by the two bounds; ids only
-    unlabelled = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").join(
-        known, "doc_id", "left_anti").withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(pool).select(
-        "doc_id", F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("toxic"))
-    sample = docs.drop("low", "toxic").join(F.broadcast(chosen.unionByName(unlabelled).dropDuplicates(["doc_id"])), "doc_id")
-    rows = featured(sample, "low", "toxic").orderBy(F.xxhash64("doc_id"), F.xxhash64("content")).collect()
-    views = [(np.frombuffer(r.content, np.int32), np.frombuffer(r.metadata, np.int32)) for r in rows]
-    low = np.array([r.low for r in rows])
-    have, spare = np.flatnonzero(low >= 0), np.flatnonzero(low < 0)
-    faults = {}
+    rows = _one_row_each(docs, chosen)
+    views = tuple([np.frombuffer(r[v], np.int32) for r in rows] for v in ("content", "metadata"))
+    learners: dict[str, Learner] = {}
     for name in ("low", "toxic"):
-        y = np.array([rows[i][name] for i in have], float)
+        y = np.array([r[name] for r in rows], float)
         if len(set(y.tolist())) == 2 and len(set(y[::4].tolist())) == 2 and len(set(np.delete(y, np.s_[::4]).tolist())) == 2:
-            faults[name] = co_train(*[tuple([views[i][v] for i in have] for v in (0, 1)), y,
-                                      tuple([views[i][v] for i in spare] for v in (0, 1))])
-    return faults
+            learners[name] = Learner.start(views, y)
+    unlabelled = docs.where("doc_id is not null")
+    hashed = F.xxhash64("doc_id")
+    for _ in range(rounds if learners else 0):
+        teachers = {name: Teacher(x.models, x.calibrations(), x.confident) for name, x in learners.items()}
+        sure = sure_decisions(unlabelled, teachers).join(known.select("doc_id"), "doc_id", "left_anti").groupBy(
+            "doc_id", "fault", "view").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where(
+            "label = _other").drop("_other")
+        # each task keeps its first ones of a class, so few rows are left to rank
+        ranked = Window.partitionBy("fault", "view", "label").orderBy(hashed)
+        given = sure.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= most).drop("_place").collect()
+        if not given:
+            break
+        ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({g.doc_id for g in given})], "doc_id long")
+        seen = {r.doc_id: (np.frombuffer(r.content, np.int32), np.frombuffer(r.metadata, np.int32)) for r in _one_row_each(docs, ids)}
+        for name, learner in learners.items():
+            # what one view decided is training for the other
+            to = [sorted((g.doc_id, g.label) for g in given if g.fault == name and g.view == 1 - v) for v in (0, 1)]
+            learner.teach([[seen[i][v] for i, _ in to[v]] for v in (0, 1)], *[np.array([x for _, x in t], float) for t in to])
+    return {name: learner.finish() for name, learner in learners.items()}
 
 
 def score_quality(docs: DataFrame, faults: dict[str, Fault]) -> DataFrame:
@@ -247,7 +326,7 @@ def score_quality(docs: DataFrame, faults: dict[str, Fault]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        used = used_features(shared.value)
+        used = used_features(f.content for f in shared.value.values())
         for piece in pieces_of(batches):
             if len(cache) > 500_000:
                 cache.clear()
@@ -270,7 +349,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.75)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        used = used_features(shared.value)
+        used = used_features(f.content for f in shared.value.values())
         for piece in pieces_of(batches):
             if len(cache) > 500_000:
                 cache.clear()

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabwright.llm.quality import classify, co_train, fit_odds, good_documents, op7_quality, train
+from tabwright.llm.quality import classify, co_train, fit_odds, good_documents, learn_quality, op7_quality, score_quality, train
 
 
 def test_linear_model_and_calibration():
@@ -49,3 +49,25 @@ def test_odd_rows(spark, make_docs):
     assert kept.columns == docs.columns and kept.where("doc_id < 150").count() == 101
     assert all(r.keep for r in classify(docs, labels.limit(0)).collect())
     assert classify(docs.limit(0), labels).collect() == [] and good_documents(docs.limit(0), labels).collect() == []
+
+
+def test_all_unlabelled_documents_teach(spark, make_docs):
+    """A rare toxic word that no label has is learned, though few of many unlabelled documents hold it."""
+    def row(i, text, source):
+        return (i, text, "en", source, 500)
+    docs = [row(i, "vile old words" if i % 2 else "kind old words", "bad" if i % 2 else "good") for i in range(400)]
+    docs += [row(1_000 + i, "kind plain words", "good") for i in range(40_000)]
+    docs += [row(100_000 + i, "wicked newword here", "bad") for i in range(10)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    faults = learn_quality(docs, labels)
+    test = spark.createDataFrame([(1, "wicked newword here", "en", "other", 500), (2, "kind plain words", "en", "other", 500)], docs.schema)
+    p = {r.doc_id: r.p_toxic for r in score_quality(test, faults).collect()}
+    assert p[2] < 0.5 < p[1]
+
+
+def test_repeated_id_teaches_once(spark, make_docs):
+    docs = make_docs([(i, "vile words here" if i % 2 else "kind words there") for i in range(200)] + [(1, "kind words there")] * 3_000)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(160)], "doc_id long, quality int, toxic int")
+    assert len(learn_quality(docs, labels)["toxic"].content.weights) and all(
+        r.keep == (r.doc_id % 2 == 0) for r in classify(docs, labels).where("doc_id > 1").collect())
