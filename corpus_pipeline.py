@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.llm.common import table, written
-from tabwright.llm.decontamination import find_contamination
+from tabwright.llm.decontamination import clean_documents
 from tabwright.llm.near_dedup import near_duplicates
 from tabwright.llm.packing import pack
 from tabwright.llm.quality import good_documents
@@ -34,8 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).where("length(spans) > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

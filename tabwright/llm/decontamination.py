@@ -214,6 +214,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -
     return current.select("doc_id", "n_words", "spans", "items")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark passage, with all their columns; each row is judged by its own text."""
+    for block in benchmark_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases(shared.value, width)
+            for piece in pieces_of(batches, rows=8_000, size=16 << 20):
+                raw = piece.column(piece.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+                spans, _ = find_phrases([words_of(t) for t in raw], phrases)
+                yield piece.filter(pa.array([not len(x) for x in spans], pa.bool_()))
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contamination_digest(found: DataFrame) -> DataFrame:
     """The figures of the query from spans and items."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,12 @@ def test_odd_rows_and_blocks(spark, make_docs, monkeypatch):
     monkeypatch.undo()
     assert rows(contamination_digest(find_contamination(df, bench.limit(0)))) == brute(docs, [])
     assert rows(contamination_digest(find_contamination(df.limit(0), bench))) == []
+
+
+def test_pipeline_judges_each_row_by_its_text(spark, small, make_docs):
+    import corpus_pipeline
+    passage = next(r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
+    docs = make_docs([(None, passage), (None, "clean"), (7, passage), (7, "clean too"), (8, None)])
+    left = corpus_pipeline.decontamination(spark, docs, small)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, "clean"), (7, "clean too"), (8, "")]
