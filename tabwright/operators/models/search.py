@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.ml import PipelineModel
@@ -14,14 +15,16 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwright.functions.columns import quoted
-from tabwright.operators.evaluate import classification_report, r2_mae
-from tabwright.operators.models import boost, classify, regress, stack
-from tabwright.operators.models.recipe import (PREDICTED, Fit, Task, fit_classifier, fit_regressor, folds, prepare)
-from tabwright.operators.neighbors import knn_classify, knn_regress
+from tabwright.operators.models import boost, classify, regress, stack, trees
+from tabwright.operators.models.recipe import (LABEL, PREDICTED, Fit, Task, fit_classifier, fit_regressor, folds, prepare)
+from tabwright.operators.models.trees import Spec
+from tabwright.operators.neighbors import knn_join, scaled_features
+from tabwright.operators.stats import average_ranks
+from tabwright.session import checkpointed
 
 Space = dict[str, dict]
 TRIALS = "trial int, value double, params string"
-CLASS_METRICS = ("accuracy", "f1", "precision", "recall")
+CLASS_METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
 NUMBER_METRICS = ("r2", "neg_mean_squared_error", "neg_mean_absolute_error")
 
 
@@ -73,114 +76,247 @@ def search_space_table(spark: SparkSession, space: Space, trials: int, seed: int
 
 @dataclass(frozen=True)
 class Tuner:
-    """One model's default space and how to build it from parameters."""
+    """One model's default space, and how to build it from parameters.
+
+    ``spec`` describes a tree ensemble; these and nearest neighbours are searched in one go, all trials and folds together.
+    """
 
     space: Space
     build: Callable[..., Fit] | None
     classify: bool
     neighbours: bool = False
+    spec: Callable[..., Spec] | None = None
 
 
-@dataclass(frozen=True)
+@dataclass
 class Search:
     trials: DataFrame
     best: dict
     value: float
-    model: PipelineModel | None  # None for nearest neighbours, which keep their rows instead
+    refit: Callable[[], PipelineModel | trees.TreeModel] | None  # None for nearest neighbours, which keep their rows instead
 
+    @cached_property
+    def model(self) -> PipelineModel | trees.TreeModel | None:
+        """The best model, fitted on all rows when first asked for."""
+        return self.refit and self.refit()
 
-def _macro(df: DataFrame, task: Task, metric: str) -> float:
-    """Accuracy, or the plain mean of the metric over the classes."""
-    report = {r["label"]: r for r in classification_report(df, task.target, PREDICTED).collect()}
-    if metric == "accuracy":
-        return report["accuracy"]["f1"]
-    return report["macro avg"][metric]
 
+def fold_scores(guesses: DataFrame, metric: str) -> DataFrame:
+    """(trial, _fold, value) of rows (trial, _fold, actual, guess, lead); larger is better.
 
-def score(df: DataFrame, task: Task, metric: str, as_class: bool) -> float:
-    if as_class:
-        return float(_macro(df, task, metric))
-    row = r2_mae(df, task.target, PREDICTED).first()
-    return float({"r2": row["r2"], "neg_mean_squared_error": -row["mse"], "neg_mean_absolute_error": -row["mae"]}[metric])
+    Precision, recall and f1 are plain means over the classes seen on either side; roc_auc needs two classes, 0/1 in
+    ``actual``, and ranks by ``lead``.
+    """
+    by = ["trial", "_fold"]
+    if metric == "roc_auc":
+        cells = guesses.groupBy(*by, F.col("lead").alias("value")).agg(
+            F.count("*").alias("n"), F.sum(F.col("actual").cast("long")).alias("pos"))
+        s = average_ranks(cells, by).groupBy(*by).agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"),
+                                                      F.sum(F.col("n") - F.col("pos")).cast("double").alias("q"))
+        p, q = F.col("p"), F.col("q")
+        return s.select(*by, F.try_divide(F.col("r") - p * (p + 1) / 2, p * q).alias("value"))
+    if metric in NUMBER_METRICS:
+        y, f = F.col("actual"), F.col("guess")
+        t = guesses.groupBy(*by).agg(F.avg(F.pow(y - f, 2)).alias("mse"), F.avg(F.abs(y - f)).alias("mae"),
+                                     F.var_pop(F.when(f.isNotNull(), y)).alias("v"))
+        return t.select(*by, {"r2": 1 - F.try_divide("mse", "v"), "neg_mean_squared_error": -F.col("mse"),
+                              "neg_mean_absolute_error": -F.col("mae")}[metric].alias("value"))
+    counts = guesses.groupBy(*by, "actual", "guess").agg(F.count("*").alias("n"))
+    hit = F.when(F.col("actual") == F.col("guess"), F.col("n")).otherwise(0)
+    if metric == "accuracy":
+        return counts.groupBy(*by).agg((F.sum(hit) / F.sum("n")).alias("value"))
+    sides = counts.withColumn("hit", hit).select(*by, F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("truth"), F.lit(0).cast("long").alias("taken"), F.col("hit").alias("hit")),
+        F.struct(F.col("guess").alias("label"), F.lit(0).cast("long").alias("truth"), F.col("n").alias("taken"),
+                 F.lit(0).cast("long").alias("hit")))).alias("s")).select(*by, "s.*")
+    t = sides.groupBy(*by, "label").agg(F.sum("truth").alias("truth"), F.sum("taken").alias("taken"), F.sum("hit").alias("hit"))
+    share = {"precision": F.try_divide("hit", "taken"), "recall": F.try_divide("hit", "truth"),
+             "f1": F.try_divide(2 * F.col("hit"), F.col("taken") + F.col("truth"))}[metric]
+    return t.groupBy(*by).agg(F.avg(F.coalesce(share, F.lit(0.0))).alias("value"))
+
+
+def tree_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int) -> DataFrame:
+    """(trial, _fold, actual, guess, lead) of all trials; features are binned once, all ensembles grow side by side."""
+    classes, label = 0, task.target
+    if tuner.classify:
+        indexer = StringIndexer(inputCol=task.target, outputCol=LABEL, stringOrderType="alphabetAsc").fit(split)
+        split, classes, label = indexer.transform(split), len(indexer.labels), LABEL
+    table = trees.binned(split, task.key, task.features, label, trees.bin_edges(split, task.features))
+    fits = [(replace(tuner.spec(**params), classes=classes, seed=task.seed), f) for params in drawn for f in range(k)]
+    found = trees.out_of_fold(table, len(task.features), fits)
+    return found.select(F.floor(F.col("fit") / k).cast("int").alias("trial"), (F.col("fit") % k).alias("_fold"),
+                        F.col("_y").alias("actual"), F.col("_p").alias("guess"), F.col("_s").alias("lead"))
+
+
+def tree_model(rows: DataFrame, task: Task, tuner: Tuner, params: dict) -> trees.TreeModel:
+    spec, labels = replace(tuner.spec(**params), seed=task.seed), ()
+    if tuner.classify:
+        indexer = StringIndexer(inputCol=task.target, outputCol=LABEL, stringOrderType="alphabetAsc").fit(rows)
+        rows, labels, spec = indexer.transform(rows), indexer.labels, replace(spec, classes=len(indexer.labels))
+    return trees.fit_model(rows, task.key, task.features, LABEL if tuner.classify else task.target, spec, labels)
+
+
+def neighbour_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int) -> DataFrame:
+    """The same for nearest neighbours: one join per exponent, over all folds, with the largest number of neighbours.
+
+    A trial reads off its own first neighbours.
+    """
+    settings = [{"k": 5 if tuner.classify else 3, "weights": "uniform", "p": 2, **params} for params in drawn]
+    truth = split.select(F.col("_fold").alias("group"), quoted(task.key).alias("query_id"), quoted(task.target).alias("actual"))
+    found = None
+    for p in sorted({s["p"] for s in settings}):
+        sides = {"queries": None, "donors": None}
+        for f in range(k):
+            train = split.where(F.col("_fold") != f)
+            features = scaled_features(train, list(task.features), task.scaler)
+            for name, rows in (("queries", split.where(F.col("_fold") == f)), ("donors", train)):
+                part = rows.select(F.lit(f).alias("group"), quoted(task.key).alias("id"), features.alias("features"))
+                sides[name] = part if sides[name] is None else sides[name].unionByName(part)
+        most = max(s["k"] for s in settings if s["p"] == p)
+        near = knn_join(sides["queries"], sides["donors"], most, p=p).withColumn("p", F.lit(p))
+        found = near if found is None else found.unionByName(near)
+    donors = split.select(quoted(task.key).alias("donor_id"), quoted(task.target).alias("y"))
+    near = checkpointed(found.join(donors, "donor_id"))
+    table = split.sparkSession.createDataFrame([(i, s["k"], s["weights"], s["p"]) for i, s in enumerate(settings)],
+                                               "trial int, k int, weights string, p int")  # one row per trial
+    taken = near.join(F.broadcast(table), "p").where(F.col("rank") <= F.col("k"))
+    by = ["trial", "group", "query_id"]
+    exact = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy(*by))  # k rows each
+    close = F.when(exact == 1, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), "distance"))
+    votes = taken.withColumn("w", F.when(F.col("weights") == "uniform", F.lit(1.0)).otherwise(close))
+    if tuner.classify:
+        counted = votes.groupBy(*by, "y").agg(F.round(F.sum("w"), 9).alias("s"))
+        best = counted.groupBy(*by).agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("y").alias("y"))).alias("b")).select(
+            *by, F.col("b.y").alias("guess"))
+    else:
+        best = votes.groupBy(*by).agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("guess"))
+    trials = F.broadcast(table.select("trial"))
+    return truth.crossJoin(trials).join(best, by, "left").select(
+        "trial", F.col("group").alias("_fold"), "actual", "guess", F.lit(None).cast("double").alias("lead"))
 
 
 def search(df: DataFrame, task: Task, tuner: Tuner, metric: str | None = None, trials: int = 10, k: int = 5,
            space: Space | None = None, seed: int = 42, parallelism: int = 4) -> Search:
     """Trial table, best parameters, and the best model refitted on all rows. Larger values are always better.
 
-    Trials run next to each other from driver threads; the work of each is Spark's.
+    A trial's value is the mean over the folds that have rows. Tree ensembles and nearest neighbours share their work
+    between all trials. Trials of other models run next to each other from driver threads; equal draws are fitted once.
     """
     metric = metric or ("accuracy" if tuner.classify else "r2")
     allowed = CLASS_METRICS if tuner.classify else NUMBER_METRICS
-    if metric not in allowed:
+    if metric not in allowed or metric == "roc_auc" and not tuner.spec:
         raise ValueError(f"metric {metric} does not fit the model; choose from {', '.join(allowed)}")
     rows = prepare(df, task, tuner.classify)
     split = folds(rows, task, k).persist()
-
-    def run(params: dict) -> float:
-        values = []
-        for f in range(k):
-            train, rest = split.where(F.col("_fold") != f).drop("_fold"), split.where(F.col("_fold") == f).drop("_fold")
-            if tuner.neighbours:
-                fn = knn_classify if tuner.classify else knn_regress
-                guess = fn(train, rest, task.key, list(task.features), task.target, scaler=task.scaler, **params)
-            else:
-                fit = fit_classifier if tuner.classify else fit_regressor
-                guess = fit(train, task, tuner.build(**params)).transform(rest)
-            values.append(score(guess.select(quoted(task.target), quoted(PREDICTED)), task, metric, tuner.classify))
-        return float(np.mean(values))
-
     drawn = sample_params(space or tuner.space, trials, seed)
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        values = list(pool.map(run, drawn))
+    names = [json.dumps(p, sort_keys=True) for p in drawn]
+    distinct = {n: p for n, p in zip(names, drawn)}
+    if tuner.spec or tuner.neighbours:
+        guesses = (tree_guesses if tuner.spec else neighbour_guesses)(split, task, tuner, list(distinct.values()), k)
+    else:
+        guesses = _fitted_guesses(split, task, tuner, list(distinct.values()), k, parallelism)
+    means = {r["trial"]: r["value"] for r in fold_scores(guesses, metric).groupBy("trial").agg(
+        F.avg("value").alias("value")).collect()}  # one row per trial
+    by_name = {n: means.get(i) for i, n in enumerate(distinct)}
+    values = [by_name[n] for n in names]
     split.unpersist()
-    table = df.sparkSession.createDataFrame(
-        [(i, v, json.dumps(p, sort_keys=True)) for i, (v, p) in enumerate(zip(values, drawn))], TRIALS)
-    at = int(np.nanargmax(values))
-    model = None
+    table = df.sparkSession.createDataFrame([(i, v, n) for i, (v, n) in enumerate(zip(values, names))], TRIALS)
+    at = int(np.nanargmax(np.array(values, dtype=float)))
+    fit = None
     if not tuner.neighbours:
-        model = (fit_classifier if tuner.classify else fit_regressor)(rows, task, tuner.build(**drawn[at]))
-    return Search(table, drawn[at], values[at], model)
+        def fit():
+            if tuner.spec:
+                return tree_model(rows, task, tuner, drawn[at])
+            return (fit_classifier if tuner.classify else fit_regressor)(rows, task, tuner.build(**drawn[at]))
+    return Search(table, drawn[at], values[at], fit)
+
+
+def _fitted_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int, parallelism: int) -> DataFrame:
+    """(trial, _fold, actual, guess, lead) by one fit per trial and fold."""
+    fit = fit_classifier if tuner.classify else fit_regressor
+
+    def run(job: tuple[int, int]) -> DataFrame | None:
+        trial, f = job
+        train, rest = split.where(F.col("_fold") != f).drop("_fold"), split.where(F.col("_fold") == f).drop("_fold")
+        if rest.isEmpty():
+            return None
+        guess = fit(train, task, tuner.build(**drawn[trial])).transform(rest)
+        return checkpointed(guess.select(F.lit(trial).alias("trial"), F.lit(f).alias("_fold"), quoted(task.target).alias("actual"),
+                                         quoted(PREDICTED).alias("guess"), F.lit(None).cast("double").alias("lead")))
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = [p for p in pool.map(run, [(i, f) for i in range(len(drawn)) for f in range(k)]) if p is not None]
+    return reduce(DataFrame.unionByName, parts)
 
 
-TREES = whole(50, 300, 50)
+TREES = whole(50, 300)
 CLASS_WEIGHT = choice(None, "balanced")
 FEATURE_SHARE = choice("sqrt", "log2", "all")
 
+
+def _forest(trees, depth, min_split, min_leaf, max_features) -> Spec:
+    return Spec("forest", trees=trees, depth=depth, min_split=min_split, min_leaf=min_leaf, features=max_features, rows="bootstrap")
+
+
+def _class_forest(class_weight, **more) -> Spec:
+    return replace(_forest(**more), impurity="gini", balanced=class_weight == "balanced")
+
+
+def _tree(depth, min_split, min_leaf, max_features) -> Spec:
+    return Spec("forest", trees=1, depth=depth, min_split=min_split, min_leaf=min_leaf, features=max_features)
+
+
+def _class_tree(impurity, class_weight, **more) -> Spec:
+    return replace(_tree(**more), impurity=impurity, balanced=class_weight == "balanced")
+
+
+def _boosted(trees, rate, depth, min_split, min_leaf, subsample, max_features="all") -> Spec:
+    return Spec("boost", trees=trees, rate=rate, depth=depth, min_split=min_split, min_leaf=min_leaf, rows=subsample,
+                features=max_features)
+
+
 TUNERS: dict[str, Tuner] = {
     "tune_linear": Tuner({"intercept": choice(True, False)}, regress.linear, False),
-    "tune_rf_regression": Tuner({"trees": TREES, "depth": whole(5, 30), "min_leaf": whole(1, 10),
-                                 "max_features": FEATURE_SHARE}, regress.random_forest, False),
-    "tune_rf_classifier": Tuner({"trees": TREES, "depth": whole(5, 30), "min_leaf": whole(1, 10),
-                                 "max_features": FEATURE_SHARE, "class_weight": CLASS_WEIGHT}, classify.random_forest, True),
-    "tune_gbt_classifier": Tuner({"trees": TREES, "rate": log_real(0.01, 0.3), "depth": whole(3, 20),
-                                  "min_leaf": whole(1, 10), "subsample": real(0.6, 1.0)}, classify.gradient_boosting, True),
+    "tune_rf_regression": Tuner({"trees": TREES, "depth": whole(5, 30), "min_split": whole(2, 10), "min_leaf": whole(1, 10),
+                                 "max_features": FEATURE_SHARE}, regress.random_forest, False, spec=_forest),
+    "tune_rf_classifier": Tuner({"trees": TREES, "depth": whole(5, 30), "min_split": whole(2, 10), "min_leaf": whole(1, 10),
+                                 "max_features": FEATURE_SHARE, "class_weight": CLASS_WEIGHT}, classify.random_forest, True,
+                                spec=_class_forest),
+    "tune_gbt_classifier": Tuner({"trees": TREES, "rate": log_real(0.01, 0.3), "depth": whole(3, 20), "min_split": whole(2, 10),
+                                  "min_leaf": whole(1, 10), "subsample": real(0.6, 1.0)}, classify.gradient_boosting, True,
+                                 spec=_boosted),
     "tune_logistic": Tuner({"C": log_real(0.01, 10), "penalty": choice("l1", "l2", "elasticnet", "none"),
                             "l1_ratio": real(0, 1), "max_iter": whole(100, 1000, 100), "class_weight": CLASS_WEIGHT},
                            classify.logistic, True),
     "tune_dt_classifier": Tuner({"depth": whole(3, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 20),
-                                 "impurity": choice("gini", "entropy"), "class_weight": CLASS_WEIGHT},
-                                classify.decision_tree, True),
-    "tune_adaboost_classifier": Tuner({"trees": whole(50, 500, 50), "rate": log_real(0.01, 2)}, boost.adaboost_classifier, True),
+                                 "max_features": FEATURE_SHARE, "impurity": choice("gini", "entropy"), "class_weight": CLASS_WEIGHT},
+                                classify.decision_tree, True, spec=_class_tree),
+    "tune_adaboost_classifier": Tuner({"trees": whole(50, 500), "rate": log_real(0.01, 2)}, boost.adaboost_classifier, True,
+                                      spec=lambda trees, rate: Spec("ada", trees=trees, rate=rate, depth=1, impurity="gini")),
     "tune_knn_classifier": Tuner({"k": whole(1, 30), "weights": choice("uniform", "distance"), "p": whole(1, 2)}, None, True, True),
     "tune_stacking_classifier": Tuner(
         {"forest": whole(50, 200, 50), "boosted": whole(50, 200, 50), "C": log_real(0.1, 10), "final": choice("logistic", "forest")},
         lambda forest, boosted, C, final, k=3: stack.stack_classifiers(stack.tuned_classifiers(forest, boosted, C), k, C, final), True),
-    "tune_dt_regressor": Tuner({"depth": whole(3, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 20)},
-                               regress.decision_tree, False),
+    "tune_dt_regressor": Tuner({"depth": whole(3, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 20),
+                                "max_features": FEATURE_SHARE}, regress.decision_tree, False, spec=_tree),
     "tune_knn_regressor": Tuner({"k": whole(1, 30), "weights": choice("uniform", "distance"), "p": whole(1, 2)}, None, False, True),
-    "tune_gbt_regressor": Tuner({"trees": whole(50, 500, 50), "rate": log_real(0.01, 0.3), "depth": whole(3, 20),
-                                 "min_leaf": whole(1, 20), "subsample": real(0.5, 1.0), "max_features": FEATURE_SHARE},
-                                regress.gradient_boosting, False),
-    "tune_adaboost_regressor": Tuner({"trees": whole(50, 500, 50), "rate": log_real(0.01, 2),
-                                      "loss": choice("linear", "square", "exponential")}, boost.adaboost_regressor, False),
-    "tune_extra_trees": Tuner({"trees": whole(50, 500, 50), "depth": whole(5, 30), "min_leaf": whole(1, 20),
-                               "max_features": real(0.3, 1.0)}, regress.extra_trees, False),
+    "tune_gbt_regressor": Tuner({"trees": whole(50, 500), "rate": log_real(0.01, 0.3), "depth": whole(3, 20), "min_split": whole(2, 20),
+                                 "min_leaf": whole(1, 10), "subsample": real(0.6, 1.0), "max_features": FEATURE_SHARE},
+                                regress.gradient_boosting, False, spec=_boosted),
+    "tune_adaboost_regressor": Tuner({"trees": whole(50, 500), "rate": log_real(0.01, 2),
+                                      "loss": choice("linear", "square", "exponential")}, boost.adaboost_regressor, False,
+                                     spec=lambda trees, rate, loss: Spec("ada", trees=trees, rate=rate, depth=3, loss=loss)),
+    "tune_extra_trees": Tuner({"trees": whole(50, 500), "depth": whole(5, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 10),
+                               "max_features": FEATURE_SHARE, "bootstrap": choice(True, False)}, regress.extra_trees, False,
+                              spec=lambda bootstrap, **more: replace(_forest(**more), rows="bootstrap" if bootstrap else "all",
+                                                                     random_cuts=True)),
     "tune_svr": Tuner({"C": log_real(0.01, 100), "epsilon": log_real(0.001, 1), "kernel": choice("linear", "rbf")},
                       regress.svr, False),
-    "tune_xgb_regressor": Tuner({"trees": whole(50, 500, 50), "rate": log_real(0.01, 0.3), "depth": whole(3, 15),
-                                 "min_child": whole(1, 10), "subsample": real(0.5, 1.0), "colsample": FEATURE_SHARE},
-                                regress.boosted_trees, False),
+    "tune_xgb_regressor": Tuner({"trees": whole(50, 500), "rate": log_real(0.01, 0.3), "depth": whole(3, 15),
+                                 "min_child": whole(1, 10), "subsample": real(0.5, 1.0), "colsample": real(0.5, 1.0), "gamma": real(0, 5),
+                                 "l1": log_real(0.001, 10), "l2": log_real(0.001, 10)}, regress.boosted_trees, False,
+                                spec=lambda trees, rate, depth, min_child, subsample, colsample, gamma, l1, l2: Spec(
+                                    "boost", trees=trees, rate=rate, depth=depth, impurity="second", min_child=min_child,
+                                    rows=subsample, tree_features=colsample, gamma=gamma, l1=l1, l2=l2)),
     "tune_stacking_regressor": Tuner(
         {"forest": whole(50, 200, 50), "boosted": whole(50, 200, 50), "extra": whole(50, 200, 50), "final": choice("linear", "forest")},
         lambda forest, boosted, extra, final, k=3: stack.stack_regressors(

@@ -15,10 +15,12 @@ the tree and the node's path.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -162,8 +164,9 @@ def best_splits(spec: Spec, keys: np.ndarray, sums: np.ndarray, tree: np.ndarray
     sides = worth(spec, left), worth(spec, right)
     gain = sides[0] + sides[1] - whole - spec.gamma
     valid &= gain > NOISE * (np.abs(sides[0]) + np.abs(sides[1]) + np.abs(whole))
+    gain = np.where(valid, gain, 0.0)
     most = np.full(places, 1e-300)
-    np.maximum.at(most, node, np.maximum.reduceat(np.where(valid, gain, 0.0), first))
+    np.maximum.at(most, node, np.maximum.reduceat(gain, first))
     gain = np.where(valid, np.round(gain / most[node][owner], PLACES), -1.0)
     top = np.maximum.reduceat(gain, first)
     at = np.flatnonzero(gain == top[owner])
@@ -327,16 +330,29 @@ def outputs(spec: Spec) -> int:
     return spec.classes if spec.classes > 2 or spec.kind != "boost" and spec.classes else 1
 
 
+@dataclass
+class Grown:
+    """The trees of a fit: ``steps`` of (trees, leaf values), and what combines them."""
+
+    steps: list[tuple[Nodes, np.ndarray]]
+    start: np.ndarray
+    trust: list[float] = field(default_factory=list)  # of reweighted trees
+
+
+def fit_trees(spec: Spec, data: Data, train: np.ndarray) -> Grown:
+    if not len(train):
+        return Grown([], np.zeros(outputs(spec)))
+    return {"forest": _forest, "boost": _boost, "ada": _ada}[spec.kind](spec, data, train)
+
+
 def fit_predict(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Fits on rows ``train`` and gives the outputs (class scores, or one number) of rows ``rest``."""
-    if not len(train) or not len(rest):
-        return np.zeros((len(rest), outputs(spec)))
-    return {"forest": _forest, "boost": _boost, "ada": _ada}[spec.kind](spec, data, train, rest)
+    return scores(spec, fit_trees(spec, data, train), data.bins, rest)
 
 
-def _forest(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+def _forest(spec: Spec, data: Data, train: np.ndarray) -> Grown:
     by_class = class_weights(spec, np.bincount(data.label[train].astype(int), minlength=spec.classes) if spec.classes else None)
-    out = np.zeros((len(rest), outputs(spec)))
+    grown = Grown([], np.zeros(outputs(spec)))
     together = max(1, 400_000 // (len(train) * data.bins.shape[1]))
     for start in range(0, spec.trees, together):
         entries = []
@@ -347,19 +363,16 @@ def _forest(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.n
             entries.append((train[kept], np.full(len(kept), t - start),
                             forest_stats(spec, data.label[train[kept]], weight, by_class)))
         rows, tree, stats = (np.concatenate(x) for x in zip(*entries))
-        names = np.arange(start, start + len(entries))
-        nodes = grow(spec, data.bins, data.n_bins, rows, tree, stats, names)
-        values = leaf_values(spec, nodes.stats)
-        leaf = nodes.route(data.bins, np.tile(rest, len(names)), np.repeat(np.arange(len(names)), len(rest)))
-        out += values[leaf].reshape(len(names), len(rest), -1).sum(0)
-    return out / spec.trees
+        nodes = grow(spec, data.bins, data.n_bins, rows, tree, stats, np.arange(start, start + len(entries)))
+        grown.steps.append((nodes, leaf_values(spec, nodes.stats)))
+    return grown
 
 
-def _boost(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    every, n, k = np.concatenate([train, rest]), len(train), outputs(spec)
-    label = data.label[train]
+def _boost(spec: Spec, data: Data, train: np.ndarray) -> Grown:
+    k, label = outputs(spec), data.label[train]
     counts = np.bincount(label.astype(int), minlength=spec.classes) if spec.classes else None
-    margin = np.tile(start_margin(spec, counts, label.mean()), (len(every), 1))
+    grown = Grown([], start_margin(spec, counts, label.mean()))
+    margin = np.tile(grown.start, (len(train), 1))
     for t in range(spec.trees):
         weight = row_weights(spec, data.row[train], t)
         if not weight.any():
@@ -368,62 +381,80 @@ def _boost(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.nd
         stats = np.concatenate([boost_stats(spec, label[kept], margin[kept], c, weight[kept]) for c in range(k)])
         nodes = grow(spec, data.bins, data.n_bins, np.tile(train[kept], k), np.repeat(np.arange(k), len(kept)), stats,
                      np.arange(k) + t * k)
-        values = leaf_values(spec, nodes.stats)[:, 0]
+        values = leaf_values(spec, nodes.stats)
         for c in range(k):
-            margin[:, c] += spec.rate * values[nodes.route(data.bins, every, np.full(len(every), c))]
-    return margin[n:]
+            margin[:, c] += spec.rate * values[nodes.route(data.bins, train, np.full(len(train), c)), 0]
+        grown.steps.append((nodes, values))
+    return grown
 
 
-def _ada(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+def _ada(spec: Spec, data: Data, train: np.ndarray) -> Grown:
     """Reweighting: SAMME for classes (votes), R2 for numbers (weighted median over the trees)."""
     label, weight = data.label[train], np.full(len(train), 1 / len(train))
-    votes = np.zeros((len(rest), outputs(spec)))
-    guesses, trust = [], []
+    grown = Grown([], np.zeros(outputs(spec)))
     for t in range(spec.trees):
         stats = forest_stats(spec, label, weight, np.ones(max(1, spec.classes)))
         nodes = grow(spec, data.bins, data.n_bins, train, np.zeros(len(train), np.int64), stats, np.array([t]))
         values = leaf_values(spec, nodes.stats)
-        guess = values.argmax(1).astype(float) if spec.classes else values[:, 0]
-        own = guess[nodes.route(data.bins, train, np.zeros(len(train), np.int64))]
-        other = guess[nodes.route(data.bins, rest, np.zeros(len(rest), np.int64))]
+        values = values.argmax(1).astype(float)[:, None] if spec.classes else values
+        own = values[nodes.route(data.bins, train, np.zeros(len(train), np.int64)), 0]
         if spec.classes:
-            miss = own != label
-            error = weight[miss].sum() / weight.sum()
-            if error >= 1 - 1 / spec.classes:
-                if not t:
-                    votes[np.arange(len(rest)), other.astype(int)] += 1
-                break
-            vote = 1.0 if error <= 0 else spec.rate * (np.log((1 - error) / error) + np.log(spec.classes - 1))
-            votes[np.arange(len(rest)), other.astype(int)] += vote if error > 0 or not t else 10 * max(1.0, votes.max())
-            if error <= 0:
-                break
-            weight = weight * np.exp(vote * miss) / weight.sum()
-            continue
-        away = np.abs(own - label)
-        worst = away.max()
-        if worst <= 0:
-            guesses.append(other)
-            trust.append(1.0 if not trust else 10 * max(trust))
+            loss = (own != label).astype(float)
+            error = (weight * loss).sum() / weight.sum()
+            hopeless = error >= 1 - 1 / spec.classes
+        else:
+            away = np.abs(own - label)
+            worst = away.max()
+            share = away / worst if worst > 0 else away
+            loss = {"linear": share, "square": share ** 2, "exponential": 1 - np.exp(-share)}[spec.loss]
+            error = (weight * loss).sum() / weight.sum() if worst > 0 else 0.0
+            hopeless = error >= 0.5
+        if hopeless and t:
             break
-        share = away / worst
-        loss = {"linear": share, "square": share ** 2, "exponential": 1 - np.exp(-share)}[spec.loss]
-        mean = (weight * loss).sum() / weight.sum()
-        if mean >= 0.5:
-            if not t:
-                guesses, trust = [other], [1.0]
+        grown.steps.append((nodes, values))
+        if hopeless or error <= 0:
+            grown.trust.append(1.0 if not grown.trust else 10 * max(grown.trust))
             break
-        beta = mean / (1 - mean)
-        guesses.append(other)
-        trust.append(spec.rate * np.log(1 / beta))
-        weight = weight * beta ** ((1 - loss) * spec.rate) / weight.sum()
+        odds = np.log((1 - error) / error)
+        grown.trust.append(spec.rate * (odds + (np.log(spec.classes - 1) if spec.classes else 0.0)))
+        weight = weight * np.exp(grown.trust[-1] * (loss if spec.classes else loss - 1)) / weight.sum()
+    return grown
+
+
+def scores(spec: Spec, grown: Grown, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Class scores, or one number, for each of ``rows``."""
+    out = np.tile(grown.start, (len(rows), 1))
+    if not grown.steps or not len(rows):
+        return out
+    if spec.kind == "forest":
+        for nodes, values in grown.steps:
+            n = int((nodes.path == 1).sum())
+            leaf = nodes.route(bins, np.tile(rows, n), np.repeat(np.arange(n), len(rows)))
+            out += values[leaf].reshape(n, len(rows), -1).sum(0)
+        return out / spec.trees
+    if spec.kind == "boost":
+        for nodes, values in grown.steps:
+            for c in range(out.shape[1]):
+                out[:, c] += spec.rate * values[nodes.route(bins, rows, np.full(len(rows), c)), 0]
+        return out
+    guesses = np.array([values[nodes.route(bins, rows, np.zeros(len(rows), np.int64)), 0] for nodes, values in grown.steps])
+    trust = np.array(grown.trust)
     if spec.classes:
-        return votes
-    guesses, trust = np.array(guesses), np.array(trust)
+        for guess, vote in zip(guesses, trust):
+            out[np.arange(len(rows)), guess.astype(int)] += vote
+        return out
     order = np.argsort(guesses, 0, kind="stable")
     reached = np.cumsum(trust[order], 0) >= 0.5 * trust.sum()
     return np.take_along_axis(guesses, np.take_along_axis(order, reached.argmax(0)[None], 0), 0)[0][:, None]
 
 
+def second_score(spec: Spec, out: np.ndarray) -> np.ndarray | None:
+    """Of two classes, how far the second is ahead; None for other tasks."""
+    if spec.classes != 2:
+        return None
+    return out[:, 0] if out.shape[1] == 1 else out[:, 1] - out[:, 0]
+
+
 def predictions(spec: Spec, out: np.ndarray) -> np.ndarray:
     """Class numbers (the smallest among equal scores) or values."""
     if not spec.classes:
@@ -461,14 +492,21 @@ def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray,
     return np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, width), y, row, fold
 
 
-PREDICTED = "fit int, _row long, _y double, _p double"
+PREDICTED = "fit int, _row long, _y double, _p double, _s double"
+
+
+def _predicted(fit: int, spec: Spec, row: np.ndarray, label: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+    score = second_score(spec, out)
+    score = pa.nulls(len(row), pa.float64()) if score is None else pa.array(score, pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), fit, np.int32)), pa.array(row), pa.array(label),
+                                       pa.array(predictions(spec, out)), score], names=["fit", "_row", "_y", "_p", "_s"])
 
 
 def out_of_fold(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int = 64) -> DataFrame:
-    """(fit, _row, _y, _p): for each (ensemble, fold), predictions of the fold's rows by an ensemble of all other rows.
+    """(fit, _row, _y, _p, _s): for each (ensemble, fold), predictions of the fold's rows by an ensemble of all other rows.
 
     ``table`` comes from ``binned``. A fold of -1 predicts all rows by an ensemble of all rows. Classes are predicted by
-    number. Rows of equal key are drawn alike.
+    number; ``_s`` is the second class's lead where there are two. Rows of equal key are drawn alike.
     """
     table = checkpointed(table)
     found = aggregate_once(table, {"n": F.count(F.lit(1)), "m": F.avg("_y")})
@@ -478,16 +516,24 @@ def out_of_fold(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]],
     return out.withColumns({"_y": F.col("_y") + centre, "_p": F.col("_p") + centre})
 
 
-def _in_tasks(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int) -> DataFrame:
-    spark = table.sparkSession
+def _collected(table: DataFrame, width: int, n_bins: int) -> Data | None:
+    """The table in memory; its size has been checked."""
     parts = [_arrays(b, width) for b in table.toArrow().combine_chunks().to_batches()]
     if not parts:
-        return spark.createDataFrame([], PREDICTED)
+        return None
     bins, label, row, fold = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((label, row))  # whatever order the rows came in
+    return Data(bins[order], n_bins, label[order], row[order], fold[order])
+
+
+def _in_tasks(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int) -> DataFrame:
+    spark = table.sparkSession
+    data = _collected(table, width, n_bins)
+    if data is None:
+        return spark.createDataFrame([], PREDICTED)
     # the dearest fits first, and each a task of its own
     cost = sorted(range(len(fits)), key=lambda i: -fits[i][0].trees * fits[i][0].depth)
-    shared = spark.sparkContext.broadcast((Data(bins[order], n_bins, label[order], row[order], fold[order]), list(fits)))
+    shared = spark.sparkContext.broadcast((data, list(fits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, jobs = shared.value
@@ -495,17 +541,70 @@ def _in_tasks(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_
             for i in [cost[j] for j in batch.column(0).to_pylist()]:
                 spec, held = jobs[i]
                 rest = np.flatnonzero((data.fold == held) | (held < 0))
-                found = predictions(spec, fit_predict(spec, data, np.flatnonzero((data.fold != held) | (held < 0)), rest))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), i, np.int32)), pa.array(data.row[rest]),
-                                                  pa.array(data.label[rest]), pa.array(found)], names=["fit", "_row", "_y", "_p"])
+                out = fit_predict(spec, data, np.flatnonzero((data.fold != held) | (held < 0)), rest)
+                yield _predicted(i, spec, data.row[rest], data.label[rest], out)
     return spark.range(0, len(fits), 1, len(fits)).mapInArrow(run, PREDICTED)
 
 
+@dataclass(frozen=True)
+class TreeModel:
+    """A fitted ensemble: a few arrays, which travel with the scoring tasks."""
+
+    spec: Spec
+    features: tuple[str, ...]
+    edges: list[list[float]]
+    grown: Grown
+    centre: float
+    labels: tuple[str, ...] = ()
+
+    def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        """Adds the predicted class or number; null where a feature is null."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        @F.pandas_udf("double")
+        def guess(x: pd.Series) -> pd.Series:
+            m = shared.value
+            values = np.stack(x.to_numpy()).astype(float)
+            bins = np.stack([np.searchsorted(e, values[:, i], "left") for i, e in enumerate(m.edges)], 1).astype(np.uint8)
+            found = predictions(m.spec, scores(m.spec, m.grown, bins, np.arange(len(bins)))) + m.centre
+            return pd.Series(np.where(np.isnan(values).any(1), np.nan, found))
+        found = F.nanvl(guess(F.array(*[F.coalesce(quoted(f).cast("double"), F.lit(float("nan"))) for f in self.features])),
+                        F.lit(None).cast("double"))
+        if self.labels:
+            found = F.element_at(F.array(*[F.lit(x) for x in self.labels]), found.cast("int") + 1)
+        return df.withColumn(name, found)
+
+
+def fit_model(rows: DataFrame, key: str, features: Sequence[str], label: str, spec: Spec, labels: Sequence[str] = (),
+              n_bins: int = 64) -> TreeModel:
+    """One ensemble of all rows; ``label`` holds class numbers (of ``labels``) or values."""
+    edges = bin_edges(rows, features, n_bins)
+    table = checkpointed(binned(rows.withColumn("_fold", F.lit(0)), key, features, label, edges))
+    found = aggregate_once(table, {"n": F.count(F.lit(1)), "m": F.avg("_y")})
+    centre = 0.0 if spec.classes else found["m"] or 0.0
+    table, width = table.withColumn("_y", F.col("_y") - centre), len(features)
+    if found["n"] * width <= setting(rows.sparkSession, "trees.localCells", LOCAL_CELLS):
+        shared = rows.sparkSession.sparkContext.broadcast((_collected(table, width, n_bins), spec))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            data, own = shared.value
+            for batch in batches:
+                grown = fit_trees(own, data, np.arange(len(data.label))) if data else Grown([], np.zeros(outputs(own)))
+                yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(grown)] * batch.num_rows})
+        grown = pickle.loads(rows.sparkSession.range(0, 1, 1, 1).mapInArrow(run, "model binary").first()["model"])
+    else:
+        kept: list[Grown] = []
+        _by_levels(table, width, [(spec, -1)], n_bins, kept)
+        grown = kept[0]
+    return TreeModel(spec, tuple(features), edges, grown, centre, tuple(labels))
+
+
 # --- large tables: a job per level -------------------------------------------------------------------------------------
 
 
-def _by_levels(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int) -> DataFrame:
-    """Forests and boosting; all fits grow in lockstep, a round of boosting after the other."""
+def _by_levels(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int,
+               kept: list[Grown] | None = None) -> DataFrame:
+    """Forests and boosting; all fits grow in lockstep, a round of boosting after the other. The trees go to ``kept``."""
     if any(spec.kind == "ada" for spec, _ in fits):
         raise ValueError("reweighted ensembles of large tables: use boost.adaboost_classifier or adaboost_regressor")
     spark, fits = table.sparkSession, list(fits)
@@ -543,6 +642,11 @@ def _by_levels(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n
                     grown[i].frontier = grown[i].frontier[:0]
             if any(len(g.frontier) for g in grown):
                 _level(state, width, n_bins, fits, weights, starts, offset, grown, level)
+        if kept is not None:
+            kept[:] = kept or [Grown([], s) for s in starts]
+            for (spec, _), held, nodes in zip(fits, kept, grown):
+                if len(nodes.feature):
+                    held.steps.append((nodes, leaf_values(spec, nodes.stats)))
         state = checkpointed(state.mapInArrow(
             _stepper(spark.sparkContext.broadcast(grown), width, fits, starts, offset), state.schema))
     return state.mapInArrow(_reader(fits, starts, offset), PREDICTED)
@@ -672,7 +776,5 @@ def _reader(fits, starts, offset) -> Callable:
             margin = _margins(batch.column(4).to_pylist(), starts)
             for i, (spec, held) in enumerate(fits):
                 own = np.flatnonzero((fold == held) | (held < 0))
-                found = predictions(spec, margin[own, offset[i]:offset[i + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(row[own]), pa.array(y[own]),
-                                                  pa.array(found)], names=["fit", "_row", "_y", "_p"])
+                yield _predicted(i, spec, row[own], y[own], margin[own, offset[i]:offset[i + 1]])
     return run

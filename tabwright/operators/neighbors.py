@@ -379,7 +379,7 @@ def smote(df: DataFrame, id_col: str, columns: Sequence[str], target: str, k: in
     return real.unionByName(between)
 
 
-def _scaled_features(train: DataFrame, columns: Sequence[str], scaler: str) -> Column:
+def scaled_features(train: DataFrame, columns: Sequence[str], scaler: str) -> Column:
     if scaler == "none":
         return feature_array(columns)
     return F.array(*[(quoted(t.column).cast("double") - t.centre) / t.scale for t in fit_linear(train, columns, scaler)])
@@ -390,7 +390,7 @@ def _votes(train: DataFrame, test: DataFrame, id_col: str, columns: Sequence[str
     """(query_id, target, weight) of every neighbour."""
     if weights not in ("uniform", "distance"):
         raise ValueError(f"unknown weights {weights}")
-    features = _scaled_features(train, columns, scaler)
+    features = scaled_features(train, columns, scaler)
     near = knn_join(one_group(test, id_col, features), one_group(train, id_col, features), k, p=p)
     labels = train.select(quoted(id_col).alias("donor_id"), quoted(target).alias("_y"))
     voted = near.join(labels, "donor_id")
