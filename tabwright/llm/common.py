@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwright.session import scratch_path
 
@@ -44,6 +44,22 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def first_by_hash(df: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
+    """Of each group the ``most`` rows with the smallest unsigned hash of ``key``, and their ``_place`` from 1.
+
+    Groups are counted by the leading zeros of the hash first, so that only about ``most`` to twice as many rows of a group
+    are ranked, however many tasks there are. ``by`` holds no nulls; groups are few. ``df`` is read twice.
+    """
+    h = F.xxhash64(key)
+    rows = df.withColumn("_zeros", F.when(h < 0, 0).otherwise(F.lit(64) - F.length(F.bin(h))))
+    down = Window.partitionBy(*by).orderBy(F.desc("_zeros"))
+    counts = rows.groupBy(*by, "_zeros").agg(F.count("*").alias("_n")).withColumn("_sum", F.sum("_n").over(down))
+    bound = counts.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_sum") >= most, F.col("_zeros"))), F.lit(0)).alias("_bound"))
+    near = rows.join(F.broadcast(bound), by).where("_zeros >= _bound").drop("_zeros", "_bound")
+    order = Window.partitionBy(*by).orderBy(h < 0, h)
+    return near.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= most)
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -1,5 +1,7 @@
 """Quality classifier by co-training on two views of a document.
 
+The features of every document are made once and written as a table; rounds and scoring read numbers only.
+
 The content view sees the words of the whole text and its shape; the metadata view sees what the crawl knows about it
 (source, language, length class) and never the text. Both start from labelled documents. In each round both classifiers
 score all unlabelled documents where these are, and hand confident decisions of each class to the other as labels; only the
@@ -19,9 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
-from tabwright.llm.common import columns_of, pieces_of, table
+from tabwright.llm.common import columns_of, dropped, first_by_hash, pieces_of, table, written
 from tabwright.llm.registry import query
 
 BUCKETS = 1 << 18
@@ -66,6 +69,46 @@ def metadata_features(source: str | None, lang: str | None, n_chars: int | None)
     return np.unique([zlib.crc32(m.encode("utf-8", "replace")) % META_BUCKETS for m in marks]).astype(np.int32)
 
 
+STEP = 65_535  # a gap in packed features that says: go on by as much
+
+
+def packed(features: np.ndarray) -> bytes:
+    """Sorted numbers as 16-bit gaps; wider gaps take several steps."""
+    gaps = np.diff(features, prepend=np.int32(0)).astype(np.int64)
+    wide = gaps // STEP
+    if wide.any():
+        gaps = np.concatenate([[*[STEP] * w, g] for w, g in zip(wide.tolist(), (gaps % STEP).tolist())])
+    return gaps.astype(np.uint16).tobytes()
+
+
+@dataclass
+class Sets:
+    """Feature sets of a batch of documents: all numbers one after another, and how many each document has."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Sets:
+        return cls(np.concatenate(rows) if rows else np.zeros(0, np.int32), np.array([len(r) for r in rows], np.int64))
+
+    @classmethod
+    def unpacked(cls, raw: list[bytes]) -> Sets:
+        sizes = np.array([len(r) // 2 for r in raw], np.int64)
+        gaps = np.frombuffer(b"".join(raw), np.uint16)
+        run = np.concatenate([[0], np.cumsum(gaps, dtype=np.int64)])
+        ends = np.cumsum(sizes)
+        flat = (run[1:] - np.repeat(run[ends - sizes], sizes)).astype(np.int32)
+        real = gaps != STEP
+        if not real.all():
+            seen = np.concatenate([[0], np.cumsum(real)])
+            flat, sizes = flat[real], seen[ends] - seen[ends - sizes]
+        return cls(flat, sizes)
+
+    def rows(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+
+
 @dataclass
 class Linear:
     """Logistic model on sets of features."""
@@ -73,14 +116,13 @@ class Linear:
     weights: np.ndarray
     bias: float = 0.0
 
-    def margin(self, rows: list[np.ndarray]) -> np.ndarray:
-        sizes = np.array([len(r) for r in rows], np.int64)
-        if not sizes.sum():
-            return np.full(len(rows), self.bias)
-        flat = self.weights[np.concatenate(rows)]
-        sums = np.concatenate([[0.0], np.cumsum(flat)])
-        ends = np.cumsum(sizes)
-        return self.bias + sums[ends] - sums[ends - sizes]
+    def margin(self, rows: list[np.ndarray] | Sets) -> np.ndarray:
+        sets = rows if isinstance(rows, Sets) else Sets.of(rows)
+        if not len(sets.flat):
+            return np.full(len(sets.sizes), self.bias)
+        sums = np.concatenate([[0.0], np.cumsum(self.weights[sets.flat])])
+        ends = np.cumsum(sets.sizes)
+        return self.bias + sums[ends] - sums[ends - sets.sizes]
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, size: int, epochs: int = 120, penalty: float = 1e-3,
@@ -90,18 +132,21 @@ def train(rows: list[np.ndarray], y: np.ndarray, size: int, epochs: int = 120, p
     A feature is used if its shares in the two classes differ by ``least`` standard errors; there are many more features
     than documents, and the others would only be learnt by heart. Classes weigh the same.
     """
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(rows)), sizes)
     positive = y > 0.5
     n1, n0 = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    k1 = np.bincount(flat[positive[owner]], minlength=size)
-    k0 = np.bincount(flat[~positive[owner]], minlength=size)
+    k1, k0 = np.zeros(size), np.zeros(size)
+    for r, p in zip(rows, positive.tolist()):
+        (k1 if p else k0)[r] += 1  # a set has a feature once
     share = (k1 + k0) / (n1 + n0)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    keep = (np.abs(k1 / n1 - k0 / n0) >= least * error)[flat]
-    columns, where = np.unique(flat[keep], return_inverse=True)
-    owner = owner[keep]
+    telling = np.abs(k1 / n1 - k0 / n0) >= least * error
+    columns = np.flatnonzero(telling & (k1 + k0 > 0))
+    place = np.zeros(size, np.int32)
+    place[columns] = np.arange(len(columns))
+    kept = [place[r[telling[r]]] for r in rows]  # only what can get a weight is held twice
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in kept])
+    where = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+    del kept
     weight = np.where(positive, 0.5 / n1, 0.5 / n0)
     w, b, seen, seen_b = np.zeros(len(columns)), 0.0, np.full(len(columns), 1e-10), 1e-10
     for _ in range(epochs):
@@ -139,11 +184,11 @@ class Fault:
     calibrations: tuple[np.ndarray, np.ndarray]
     combination: np.ndarray
 
-    def probability(self, content: list[np.ndarray], metadata: list[np.ndarray]) -> np.ndarray:
+    def probability(self, content: list[np.ndarray] | Sets, metadata: list[np.ndarray] | Sets) -> np.ndarray:
         z = np.column_stack([self._odds(0, content), self._odds(1, metadata)])
         return 1 / (1 + np.exp(-np.clip(z @ self.combination[:2] + self.combination[2], -30, 30)))
 
-    def _odds(self, view: int, rows: list[np.ndarray]) -> np.ndarray:
+    def _odds(self, view: int, rows: list[np.ndarray] | Sets) -> np.ndarray:
         scale, shift = self.calibrations[view]
         return scale * (self.content, self.metadata)[view].margin(rows) + shift
 
@@ -192,7 +237,7 @@ class Teacher:
     scales: tuple[np.ndarray, np.ndarray]
     confident: float
 
-    def decisions(self, views: tuple[list, list]) -> list[np.ndarray]:
+    def decisions(self, views: tuple) -> list[np.ndarray]:
         """Of each view: 1 or 0 where it is sure of that class, -1 elsewhere."""
         out = []
         for model, (scale, shift), rows in zip(self.models, self.scales, views):
@@ -201,18 +246,6 @@ class Teacher:
         return out
 
 
-def co_train(views: tuple[list, list], y: np.ndarray, pool: tuple[list, list], rounds: int = 3, most: int = 300,
-             confident: float = 0.95) -> Fault:
-    """Each round a view hands to the other the pool documents it is sure of, at most ``most`` of each class, first ones first."""
-    learner = Learner.start(views, y, confident)
-    for _ in range(rounds):
-        sure = Teacher(learner.models, learner.calibrations(), confident).decisions(pool)
-        at = [np.concatenate([np.flatnonzero(s == c)[:most] for c in (0, 1)]) for s in sure]
-        learner.teach([[pool[v][i] for i in at[1 - v].tolist()] for v in (0, 1)],
-                      *[sure[1 - v][at[1 - v]].astype(float) for v in (0, 1)])
-    return learner.finish()
-
-
 def used_features(models: Iterable[Linear]) -> bytes:
     """A byte for each content feature: whether any of the content models has a weight for it."""
     used = np.zeros(BUCKETS, bool)
@@ -221,95 +254,96 @@ def used_features(models: Iterable[Linear]) -> bytes:
     return used.tobytes()
 
 
-def featured(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, further long columns, and both views as packed 32-bit numbers."""
-    names = ["doc_id", *more]
+FEATURES = "doc_id long, content binary, metadata binary"
 
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, metadata): both views of every row, packed; the texts are read whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
         for piece in pieces_of(batches):
             if len(cache) > 200_000:
                 cache.clear()
-            text, source, lang, n = columns_of(piece, "text", "source", "lang", "n_chars")
-            arrays = [[content_features(t, cache).tobytes() for t in text],
-                      [metadata_features(*x).tobytes() for x in zip(source, lang, n)]]
-            yield pa.RecordBatch.from_arrays(
-                [*[piece.column(piece.schema.get_field_index(c)) for c in names],
-                 *[pa.array(a, pa.binary()) for a in arrays]], names=[*names, "content", "metadata"])
-    return _inputs(docs, *more).mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", content binary, metadata binary")
+            ids, text, source, lang, n = columns_of(piece, "doc_id", "text", "source", "lang", "n_chars")
+            arrays = [[packed(content_features(t, cache)) for t in text],
+                      [packed(metadata_features(*x)) for x in zip(source, lang, n)]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(x, pa.binary()) for x in arrays]],
+                                             names=["doc_id", "content", "metadata"])
+    return _inputs(docs).mapInArrow(run, FEATURES)
+
+
+def _views(piece: pa.RecordBatch) -> tuple[Sets, Sets]:
+    return tuple(map(Sets.unpacked, columns_of(piece, "content", "metadata")))
 
 
-def _inputs(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("long").alias(c) for c in more],
+def _inputs(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"),
                        F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def sure_decisions(docs: DataFrame, teachers: dict[str, Teacher]) -> DataFrame:
-    """(doc_id, fault, view, label) of every decision that a view is sure of; texts do not leave the scan."""
-    shared = docs.sparkSession.sparkContext.broadcast(teachers)
-
+def sure_decisions(features: DataFrame, teachers: Broadcast) -> DataFrame:
+    """(doc_id, fault, view, label) of every decision that a view is sure of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
-        used = used_features(t.models[0] for t in shared.value.values())
         for piece in pieces_of(batches):
-            if len(cache) > 500_000:
-                cache.clear()
-            ids, text, source, lang, n = columns_of(piece, "doc_id", "text", "source", "lang", "n_chars")
-            views = [content_features(t, cache, used) for t in text], [metadata_features(*x) for x in zip(source, lang, n)]
-            for fault, teacher in shared.value.items():
+            ids, views = piece.column(0), _views(piece)
+            for fault, teacher in teachers.value.items():
                 for view, sure in enumerate(teacher.decisions(views)):
                     at = np.flatnonzero(sure >= 0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in at], pa.int64()), pa.array([fault] * len(at), pa.string()),
+                        [ids.take(pa.array(at)), pa.array([fault] * len(at), pa.string()),
                          pa.array([view] * len(at), pa.int64()), pa.array(sure[at], pa.int64())],
                         names=["doc_id", "fault", "view", "label"])
-    return _inputs(docs).mapInArrow(run, "doc_id long, fault string, view long, label long")
+    return features.mapInArrow(run, "doc_id long, fault string, view long, label long")
 
 
-def _one_row_each(docs: DataFrame, ids: DataFrame) -> list:
+def _one_row_each(features: DataFrame, ids: DataFrame) -> list:
     """Both views of one row per chosen id, in the order of the id hash; an id on many rows counts once."""
-    found = featured(docs.drop("low", "toxic").join(F.broadcast(ids), "doc_id"), *[c for c in ids.columns if c != "doc_id"])
+    found = features.join(F.broadcast(ids), "doc_id")
     first = found.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in found.columns if c != "doc_id"]),
                                                  F.xxhash64("content", "metadata")).alias("r")).select("doc_id", "r.*")
     return first.orderBy(F.xxhash64("doc_id")).collect()
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, labelled: int = 2_500, most: int = 300, rounds: int = 3) -> dict[str, Fault]:
+def _unpacked(rows: list) -> tuple[list, list]:
+    return tuple(Sets.unpacked([r[v] for r in rows]).rows() for v in ("content", "metadata"))
+
+
+def learn_quality(features: DataFrame, labels: DataFrame, labelled: int = 2_500, most: int = 300, rounds: int = 3) -> dict[str, Fault]:
     """Classifiers of the faults from at most ``labelled`` documents of each (quality, toxic) pair and all unlabelled ones.
 
-    The labelled ones are chosen by smallest id hash, on ids alone. Labels without id, or null in both columns, are left
-    out; of several labels of a document the worst counts. In each round both views score every unlabelled document, and at
-    most ``most`` confident ones per fault, view and class, by id hash, become training rows of the other view. A fault
-    that the sample has on none or all of its documents is not learned.
+    ``features`` is a table written from ``featured``. The labelled documents are chosen by smallest id hash, on ids alone.
+    Labels without id, or null in both columns, are left out; of several labels of a document the worst counts. In each
+    round both views score every unlabelled document, and at most ``most`` confident ones per fault, view and class, by id
+    hash, become training rows of the other view. A fault that the sample has on none or all of its documents is not learned.
     """
+    spark = features.sparkSession
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.coalesce(1 - F.min("quality"), F.lit(0)).cast("long").alias("low"),
         F.coalesce(F.max("toxic"), F.lit(0)).cast("long").alias("toxic"))
-    order = Window.partitionBy("low", "toxic").orderBy(F.xxhash64("doc_id"))
-    chosen = known.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= labelled).drop("_place")
-    rows = _one_row_each(docs, chosen)
-    views = tuple([np.frombuffer(r[v], np.int32) for r in rows] for v in ("content", "metadata"))
+    rows = _one_row_each(features, first_by_hash(known, ["low", "toxic"], "doc_id", labelled).drop("_place"))
+    views, ys = _unpacked(rows), {name: np.array([r[name] for r in rows], float) for name in ("low", "toxic")}
+    del rows
     learners: dict[str, Learner] = {}
-    for name in ("low", "toxic"):
-        y = np.array([r[name] for r in rows], float)
+    for name, y in ys.items():
         if len(set(y.tolist())) == 2 and len(set(y[::4].tolist())) == 2 and len(set(np.delete(y, np.s_[::4]).tolist())) == 2:
             learners[name] = Learner.start(views, y)
-    unlabelled = docs.where("doc_id is not null")
-    hashed = F.xxhash64("doc_id")
+    unlabelled = features.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti")
     for _ in range(rounds if learners else 0):
-        teachers = {name: Teacher(x.models, x.calibrations(), x.confident) for name, x in learners.items()}
-        sure = sure_decisions(unlabelled, teachers).join(known.select("doc_id"), "doc_id", "left_anti").groupBy(
+        shared = spark.sparkContext.broadcast(
+            {name: Teacher(x.models, x.calibrations(), x.confident) for name, x in learners.items()})
+        sure = written(sure_decisions(unlabelled.select("doc_id", "content", "metadata"), shared).groupBy(
             "doc_id", "fault", "view").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where(
-            "label = _other").drop("_other")
-        # each task keeps its first ones of a class, so few rows are left to rank
-        ranked = Window.partitionBy("fault", "view", "label").orderBy(hashed)
-        given = sure.withColumn("_place", F.row_number().over(ranked)).where(F.col("_place") <= most).drop("_place").collect()
+            "label = _other").drop("_other"), "quality-sure")
+        shared.destroy()
+        given = first_by_hash(sure, ["fault", "view", "label"], "doc_id", most).drop("_place").collect()
+        dropped(sure)
         if not given:
             break
-        ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({g.doc_id for g in given})], "doc_id long")
-        seen = {r.doc_id: (np.frombuffer(r.content, np.int32), np.frombuffer(r.metadata, np.int32)) for r in _one_row_each(docs, ids)}
+        ids = spark.createDataFrame([(i,) for i in sorted({g.doc_id for g in given})], "doc_id long")
+        found = _one_row_each(features, ids)
+        seen = {r.doc_id: x for r, x in zip(found, zip(*_unpacked(found)))}
         for name, learner in learners.items():
             # what one view decided is training for the other
             to = [sorted((g.doc_id, g.label) for g in given if g.fault == name and g.view == 1 - v) for v in (0, 1)]
@@ -317,35 +351,33 @@ def learn_quality(docs: DataFrame, labels: DataFrame, labelled: int = 2_500, mos
     return {name: learner.finish() for name, learner in learners.items()}
 
 
-def score_quality(docs: DataFrame, faults: dict[str, Fault]) -> DataFrame:
-    """doc_id, p_low, p_toxic and quality (one minus the larger) for every row of ``docs``; 0 for a fault not learned.
+def score_quality(features: DataFrame, faults: dict[str, Fault]) -> DataFrame:
+    """doc_id, p_low, p_toxic and quality (one minus the larger) for every row of ``features``; 0 for a fault not learned.
 
-    The text is read whole. Null texts and metadata are scored as such; null and repeated doc_ids are rows like any other.
+    Null texts and metadata are scored as such; null and repeated doc_ids are rows like any other.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(faults)
+    shared = features.sparkSession.sparkContext.broadcast(faults)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[int]] = {}
-        used = used_features(f.content for f in shared.value.values())
         for piece in pieces_of(batches):
-            if len(cache) > 500_000:
-                cache.clear()
-            ids, text, source, lang, n = columns_of(piece, "doc_id", "text", "source", "lang", "n_chars")
-            views = [content_features(t, cache, used) for t in text], [metadata_features(*x) for x in zip(source, lang, n)]
-            p = [shared.value[f].probability(*views) if f in shared.value else np.zeros(len(ids)) for f in ("low", "toxic")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, p), pa.array(1 - np.maximum(*p))],
+            views, n = _views(piece), piece.num_rows
+            p = [shared.value[f].probability(*views) if f in shared.value else np.zeros(n) for f in ("low", "toxic")]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, p), pa.array(1 - np.maximum(*p))],
                                              names=["doc_id", "p_low", "p_toxic", "quality"])
-    return _inputs(docs).mapInArrow(run, "doc_id long, p_low double, p_toxic double, quality double")
+    return features.mapInArrow(run, "doc_id long, p_low double, p_toxic double, quality double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The scores and ``keep``: the quality is above ``1 - threshold``."""
-    return score_quality(docs, learn_quality(docs, labels)).withColumn("keep", F.col("quality") > 1 - threshold)
+    features = written(featured(docs), "quality-features")
+    return score_quality(features, learn_quality(features, labels)).withColumn("keep", F.col("quality") > 1 - threshold)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns; one pass, no join."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_quality(docs, labels))
+    features = written(featured(docs), "quality-features")
+    shared = docs.sparkSession.sparkContext.broadcast(learn_quality(features, labels))
+    dropped(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
