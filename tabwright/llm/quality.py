@@ -329,11 +329,12 @@ def learn_quality(features: DataFrame, labels: DataFrame, labelled: int = 2_500,
     for name, y in ys.items():
         if len(set(y.tolist())) == 2 and len(set(y[::4].tolist())) == 2 and len(set(np.delete(y, np.s_[::4]).tolist())) == 2:
             learners[name] = Learner.start(views, y)
-    unlabelled = features.where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti")
+    identified = features.where("doc_id is not null")
     for _ in range(rounds if learners else 0):
         shared = spark.sparkContext.broadcast(
             {name: Teacher(x.models, x.calibrations(), x.confident) for name, x in learners.items()})
-        sure = written(sure_decisions(unlabelled.select("doc_id", "content", "metadata"), shared).groupBy(
+        # decisions are few bytes: they, not the features, are joined with the labels
+        sure = written(sure_decisions(identified, shared).join(known.select("doc_id"), "doc_id", "left_anti").groupBy(
             "doc_id", "fault", "view").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where(
             "label = _other").drop("_other"), "quality-sure")
         shared.destroy()
