@@ -15,7 +15,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabwright.functions.columns import quoted
-from tabwright.operators.models import boost, classify, regress, stack, trees
+from tabwright.operators.models import boost, classify, lines, regress, stack, trees
+from tabwright.operators.models.lines import Line
 from tabwright.operators.models.recipe import (LABEL, PREDICTED, Fit, Task, fit_classifier, fit_regressor, folds, prepare)
 from tabwright.operators.models.trees import Spec
 from tabwright.operators.neighbors import knn_join, scaled_features
@@ -78,7 +79,8 @@ def search_space_table(spark: SparkSession, space: Space, trials: int, seed: int
 class Tuner:
     """One model's default space, and how to build it from parameters.
 
-    ``spec`` describes a tree ensemble; these and nearest neighbours are searched in one go, all trials and folds together.
+    ``spec`` describes a tree ensemble, ``line`` a linear model; these and nearest neighbours are searched in one go, all
+    trials and folds together.
     """
 
     space: Space
@@ -86,6 +88,7 @@ class Tuner:
     classify: bool
     neighbours: bool = False
     spec: Callable[..., Spec] | None = None
+    line: Callable[..., Line] | None = None
 
 
 @dataclass
@@ -148,6 +151,18 @@ def tree_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict],
                         F.col("_y").alias("actual"), F.col("_p").alias("guess"), F.col("_s").alias("lead"))
 
 
+def line_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int) -> DataFrame:
+    """The same for linear models: one pass over the rows serves a step of all of them."""
+    classes, label = 0, task.target
+    if tuner.classify:
+        indexer = StringIndexer(inputCol=task.target, outputCol=LABEL, stringOrderType="alphabetAsc").fit(split)
+        split, classes, label = indexer.transform(split), len(indexer.labels), LABEL
+    made = [replace(tuner.line(**params), classes=classes, scaler=task.scaler, seed=task.seed) for params in drawn]
+    found = lines.out_of_fold(split, task.features, label, made, k)
+    return found.select(F.floor(F.col("fit") / k).cast("int").alias("trial"), "_fold", F.col("_y").alias("actual"),
+                        F.col("_p").alias("guess"), F.col("_s").alias("lead"))
+
+
 def tree_model(rows: DataFrame, task: Task, tuner: Tuner, params: dict) -> trees.TreeModel:
     spec, labels = replace(tuner.spec(**params), seed=task.seed), ()
     if tuner.classify:
@@ -204,15 +219,16 @@ def search(df: DataFrame, task: Task, tuner: Tuner, metric: str | None = None, t
     """
     metric = metric or ("accuracy" if tuner.classify else "r2")
     allowed = CLASS_METRICS if tuner.classify else NUMBER_METRICS
-    if metric not in allowed or metric == "roc_auc" and not tuner.spec:
+    if metric not in allowed or metric == "roc_auc" and not (tuner.spec or tuner.line):
         raise ValueError(f"metric {metric} does not fit the model; choose from {', '.join(allowed)}")
     rows = prepare(df, task, tuner.classify)
     split = folds(rows, task, k).persist()
     drawn = sample_params(space or tuner.space, trials, seed)
     names = [json.dumps(p, sort_keys=True) for p in drawn]
     distinct = {n: p for n, p in zip(names, drawn)}
-    if tuner.spec or tuner.neighbours:
-        guesses = (tree_guesses if tuner.spec else neighbour_guesses)(split, task, tuner, list(distinct.values()), k)
+    together = tree_guesses if tuner.spec else line_guesses if tuner.line else neighbour_guesses if tuner.neighbours else None
+    if together:
+        guesses = together(split, task, tuner, list(distinct.values()), k)
     else:
         guesses = _fitted_guesses(split, task, tuner, list(distinct.values()), k, parallelism)
     means = {r["trial"]: r["value"] for r in fold_scores(guesses, metric).groupBy("trial").agg(
@@ -285,8 +301,10 @@ TUNERS: dict[str, Tuner] = {
                                   "min_leaf": whole(1, 10), "subsample": real(0.6, 1.0)}, classify.gradient_boosting, True,
                                  spec=_boosted),
     "tune_logistic": Tuner({"C": log_real(0.01, 10), "penalty": choice("l1", "l2", "elasticnet", "none"),
-                            "l1_ratio": real(0, 1), "max_iter": whole(100, 1000, 100), "class_weight": CLASS_WEIGHT},
-                           classify.logistic, True),
+                            "l1_ratio": real(0, 1), "max_iter": whole(100, 1000), "class_weight": CLASS_WEIGHT},
+                           classify.logistic, True,
+                           line=lambda C=1.0, penalty="l2", l1_ratio=0.5, max_iter=100, class_weight=None: Line(
+                               C=C, penalty=penalty, l1_ratio=l1_ratio, max_iter=max_iter, balanced=class_weight == "balanced")),
     "tune_dt_classifier": Tuner({"depth": whole(3, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 20),
                                  "max_features": FEATURE_SHARE, "impurity": choice("gini", "entropy"), "class_weight": CLASS_WEIGHT},
                                 classify.decision_tree, True, spec=_class_tree),
@@ -309,8 +327,10 @@ TUNERS: dict[str, Tuner] = {
                                "max_features": FEATURE_SHARE, "bootstrap": choice(True, False)}, regress.extra_trees, False,
                               spec=lambda bootstrap, **more: replace(_forest(**more), rows="bootstrap" if bootstrap else "all",
                                                                      random_cuts=True)),
-    "tune_svr": Tuner({"C": log_real(0.01, 100), "epsilon": log_real(0.001, 1), "kernel": choice("linear", "rbf")},
-                      regress.svr, False),
+    "tune_svr": Tuner({"C": log_real(0.01, 100), "epsilon": log_real(0.001, 1), "kernel": choice("linear", "poly", "rbf"),
+                       "gamma": choice("scale", "auto")}, regress.svr, False,
+                      line=lambda C=1.0, epsilon=0.1, kernel="rbf", gamma="scale": Line(
+                          C=C, epsilon=epsilon, kernel=kernel, gamma=gamma, max_iter=60)),
     "tune_xgb_regressor": Tuner({"trees": whole(50, 500), "rate": log_real(0.01, 0.3), "depth": whole(3, 15),
                                  "min_child": whole(1, 10), "subsample": real(0.5, 1.0), "colsample": real(0.5, 1.0), "gamma": real(0, 5),
                                  "l1": log_real(0.001, 10), "l2": log_real(0.001, 10)}, regress.boosted_trees, False,

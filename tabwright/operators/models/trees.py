@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.functions.columns import quoted
+from tabwright.functions.columns import none_missing, quoted
 from tabwright.operators.stats import aggregate_once, quantiles
 from tabwright.session import checkpointed, setting
 
@@ -567,11 +567,11 @@ class TreeModel:
             values = np.stack(x.to_numpy()).astype(float)
             bins = np.stack([np.searchsorted(e, values[:, i], "left") for i, e in enumerate(m.edges)], 1).astype(np.uint8)
             found = predictions(m.spec, scores(m.spec, m.grown, bins, np.arange(len(bins)))) + m.centre
-            return pd.Series(np.where(np.isnan(values).any(1), np.nan, found))
-        found = F.nanvl(guess(F.array(*[F.coalesce(quoted(f).cast("double"), F.lit(float("nan"))) for f in self.features])),
-                        F.lit(None).cast("double"))
+            return pd.Series(found)
+        whole = none_missing(self.features)
+        found = F.when(whole, guess(F.array(*[F.coalesce(quoted(f).cast("double"), F.lit(0.0)) for f in self.features])))
         if self.labels:
-            found = F.element_at(F.array(*[F.lit(x) for x in self.labels]), found.cast("int") + 1)
+            found = F.get(F.array(*[F.lit(x) for x in self.labels]), found.cast("int"))
         return df.withColumn(name, found)
 
 
