@@ -250,6 +250,27 @@ def newton(size: int, l1: np.ndarray, l2: np.ndarray, steps: int,
     return x
 
 
+def fit_in_memory(line: Line, x: np.ndarray, y: np.ndarray) -> tuple[Job, np.ndarray]:
+    """A logistic or support vector model of rows that one task holds, on standardised inputs."""
+    spread = x.std(0)
+    size = np.bincount(y.astype(int), minlength=line.classes) if line.classes else np.zeros(1)
+    weights = len(y) / (np.count_nonzero(size) * np.maximum(size, 1)) if line.balanced else np.ones(len(size))
+    job = Job(line, 0, x.mean(0), np.where(spread > 0, spread, 1.0), len(y), weights, float(y.mean()), float(y.std()) or 1.0)
+    z = job.features(x)
+    l1, l2 = job.penalties()
+    free = np.tile(np.append(np.ones(job.width() - 1), 0.0)[:, None], (1, job.outputs())).ravel()
+    solver = (newton if job.newton() else descent)(len(free), l1 * free, l2 * free, line.max_iter)
+    at = next(solver)
+    while True:
+        w = at.reshape(z.shape[1], -1)
+        s = job.sums(z, y, w)
+        more = [job.curvature(z, y, w).reshape(len(at), -1) / s[0]] if job.newton() else []
+        try:
+            at = solver.send((s[1] / s[0], s[2:] / s[0], *more))
+        except StopIteration as end:
+            return job, end.value.reshape(z.shape[1], -1)
+
+
 def jobs_of(split: DataFrame, features: Sequence[str], label: str, lines: Sequence[Line], k: int) -> list[Job]:
     """Every model with every fold left out; all statistics of a fold come from its training rows."""
     found = []

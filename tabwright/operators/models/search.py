@@ -138,14 +138,21 @@ def fold_scores(guesses: DataFrame, metric: str) -> DataFrame:
     return t.groupBy(*by).agg(F.avg(F.coalesce(share, F.lit(0.0))).alias("value"))
 
 
-def tree_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int) -> DataFrame:
-    """(trial, _fold, actual, guess, lead) of all trials; features are binned once, all ensembles grow side by side."""
+def tree_guesses(split: DataFrame, task: Task, tuner: Tuner, drawn: list[dict], k: int) -> DataFrame | None:
+    """(trial, _fold, actual, guess, lead) of all trials; features are binned once, all ensembles grow side by side.
+
+    None for reweighted and stacked ensembles of a table that does not fit into a task.
+    """
     classes, label = 0, task.target
     if tuner.classify:
         indexer = StringIndexer(inputCol=task.target, outputCol=LABEL, stringOrderType="alphabetAsc").fit(split)
         split, classes, label = indexer.transform(split), len(indexer.labels), LABEL
-    table = trees.binned(split, task.key, task.features, label, trees.bin_edges(split, task.features))
     fits = [(replace(tuner.spec(**params), classes=classes, seed=task.seed), f) for params in drawn for f in range(k)]
+    if any(s.kind in ("ada", "stack") for s, _ in fits) and not trees.fits_in_tasks(
+            split.sparkSession, split.count(), len(task.features), fits):
+        return None  # weights and inner folds of a large table: one fit after the other
+    raw = any(m.kind == "line" for s, _ in fits for m in s.members)
+    table = trees.binned(split, task.key, task.features, label, trees.bin_edges(split, task.features), raw)
     found = trees.out_of_fold(table, len(task.features), fits)
     return found.select(F.floor(F.col("fit") / k).cast("int").alias("trial"), (F.col("fit") % k).alias("_fold"),
                         F.col("_y").alias("actual"), F.col("_p").alias("guess"), F.col("_s").alias("lead"))
@@ -227,9 +234,8 @@ def search(df: DataFrame, task: Task, tuner: Tuner, metric: str | None = None, t
     names = [json.dumps(p, sort_keys=True) for p in drawn]
     distinct = {n: p for n, p in zip(names, drawn)}
     together = tree_guesses if tuner.spec else line_guesses if tuner.line else neighbour_guesses if tuner.neighbours else None
-    if together:
-        guesses = together(split, task, tuner, list(distinct.values()), k)
-    else:
+    guesses = together(split, task, tuner, list(distinct.values()), k) if together else None
+    if guesses is None:
         guesses = _fitted_guesses(split, task, tuner, list(distinct.values()), k, parallelism)
     means = {r["trial"]: r["value"] for r in fold_scores(guesses, metric).groupBy("trial").agg(
         F.avg("value").alias("value")).collect()}  # one row per trial
@@ -241,7 +247,7 @@ def search(df: DataFrame, task: Task, tuner: Tuner, metric: str | None = None, t
     fit = None
     if not tuner.neighbours:
         def fit():
-            if tuner.spec:
+            if tuner.spec and tuner.spec(**drawn[at]).kind != "stack":
                 return tree_model(rows, task, tuner, drawn[at])
             return (fit_classifier if tuner.classify else fit_regressor)(rows, task, tuner.build(**drawn[at]))
     return Search(table, drawn[at], values[at], fit)
@@ -312,8 +318,13 @@ TUNERS: dict[str, Tuner] = {
                                       spec=lambda trees, rate: Spec("ada", trees=trees, rate=rate, depth=1, impurity="gini")),
     "tune_knn_classifier": Tuner({"k": whole(1, 30), "weights": choice("uniform", "distance"), "p": whole(1, 2)}, None, True, True),
     "tune_stacking_classifier": Tuner(
-        {"forest": whole(50, 200, 50), "boosted": whole(50, 200, 50), "C": log_real(0.1, 10), "final": choice("logistic", "forest")},
-        lambda forest, boosted, C, final, k=3: stack.stack_classifiers(stack.tuned_classifiers(forest, boosted, C), k, C, final), True),
+        {"forest": whole(50, 200), "depth": whole(3, 20), "boosted": whole(50, 200), "rate": log_real(0.01, 0.3), "C": log_real(0.01, 10),
+         "final": choice("logistic", "forest")},
+        lambda forest, depth, boosted, rate, C, final, k=5: stack.stack_classifiers(
+            stack.tuned_classifiers(forest, boosted, C, depth, rate), k, 1.0, final), True,
+        spec=lambda forest, depth, boosted, rate, C, final: Spec("stack", members=(
+            Spec("forest", trees=forest, depth=depth, features="sqrt", rows="bootstrap", impurity="gini"),
+            Spec("boost", trees=boosted, rate=rate, depth=3), Spec("line", C=C)), final=final)),
     "tune_dt_regressor": Tuner({"depth": whole(3, 30), "min_split": whole(2, 20), "min_leaf": whole(1, 20),
                                 "max_features": FEATURE_SHARE}, regress.decision_tree, False, spec=_tree),
     "tune_knn_regressor": Tuner({"k": whole(1, 30), "weights": choice("uniform", "distance"), "p": whole(1, 2)}, None, False, True),
@@ -338,9 +349,13 @@ TUNERS: dict[str, Tuner] = {
                                     "boost", trees=trees, rate=rate, depth=depth, impurity="second", min_child=min_child,
                                     rows=subsample, tree_features=colsample, gamma=gamma, l1=l1, l2=l2)),
     "tune_stacking_regressor": Tuner(
-        {"forest": whole(50, 200, 50), "boosted": whole(50, 200, 50), "extra": whole(50, 200, 50), "final": choice("linear", "forest")},
-        lambda forest, boosted, extra, final, k=3: stack.stack_regressors(
-            stack.default_regressors(forest, boosted, extra), k, final=final), False),
+        {"forest": whole(50, 200), "depth": whole(3, 20), "boosted": whole(50, 200), "rate": log_real(0.01, 0.3), "extra": whole(50, 200),
+         "extra_rate": log_real(0.01, 0.3), "final": choice("linear", "forest")},
+        lambda forest, depth, boosted, rate, extra, extra_rate, final, k=5: stack.stack_regressors(
+            stack.default_regressors(forest, boosted, extra, depth, rate, extra_rate), k, final=final), False,
+        spec=lambda forest, depth, boosted, rate, extra, extra_rate, final: Spec("stack", members=(
+            Spec("forest", trees=forest, depth=depth, rows="bootstrap"), Spec("boost", trees=boosted, rate=rate, depth=3),
+            Spec("boost", trees=extra, rate=extra_rate, depth=6, impurity="second", l2=1.0, min_child=1.0)), final=final)),
 }
 
 

@@ -32,31 +32,32 @@ def default_classifiers(trees: int = 100, depth: int = 15) -> Members:
                                                       seed=task.seed).fit(rows)]}
 
 
-def _boosted(rows: DataFrame, task: Task, trees: int) -> list[Transformer]:
+def _boosted(rows: DataFrame, task: Task, trees: int, rate: float = 0.1) -> list[Transformer]:
     """Boosted trees with two outputs; beyond two classes one model per class, their outputs side by side."""
     def one(name: str, label: str = LABEL):
-        return _classifier(GBTClassifier, name, label, maxIter=trees, maxDepth=3, stepSize=0.1, seed=task.seed)
+        return _classifier(GBTClassifier, name, label, maxIter=trees, maxDepth=3, stepSize=rate, seed=task.seed)
     if task.classes <= 2:
         return [one("boost").fit(rows)]
     models = [one(f"boost{k}", "_is").fit(rows.withColumn("_is", (F.col(LABEL) == k).cast("double"))) for k in range(task.classes)]
     return [*models, VectorAssembler(inputCols=[f"_boost{k}_prob" for k in range(task.classes)], outputCol="_boost_prob")]
 
 
-def tuned_classifiers(forest_trees: int, boosted_trees: int, C: float) -> Members:
+def tuned_classifiers(forest_trees: int, boosted_trees: int, C: float, depth: int = 5, rate: float = 0.1) -> Members:
     """Forest, boosting (unless ``boosted_trees`` is 0) and logistic members."""
     return {"forest": lambda rows, task: [_classifier(RandomForestClassifier, "forest", numTrees=forest_trees,
-                                                      seed=task.seed).fit(rows)],
-            **({"boost": lambda rows, task: _boosted(rows, task, boosted_trees)} if boosted_trees else {}),
+                                                      maxDepth=depth, seed=task.seed).fit(rows)],
+            **({"boost": lambda rows, task: _boosted(rows, task, boosted_trees, rate)} if boosted_trees else {}),
             "line": lambda rows, task: [_classifier(LogisticRegression, "line", regParam=1.0 / (max(C, 1e-9) * row_count(rows)),
                                                     standardization=False).fit(rows)]}
 
 
-def default_regressors(forest: int = 350, boosted: int = 100, extra: int = 25, depth: int = 15) -> Members:
+def default_regressors(forest: int = 350, boosted: int = 100, extra: int = 25, depth: int = 15, rate: float = 0.1,
+                       extra_rate: float = 0.3) -> Members:
     return {"forest": lambda rows, task: [_regressor(RandomForestRegressor, "forest", numTrees=forest, maxDepth=depth,
                                                      featureSubsetStrategy="0.75", subsamplingRate=0.5, seed=task.seed).fit(rows)],
-            "boost": lambda rows, task: [_regressor(GBTRegressor, "boost", maxIter=boosted, maxDepth=3, stepSize=0.1,
+            "boost": lambda rows, task: [_regressor(GBTRegressor, "boost", maxIter=boosted, maxDepth=3, stepSize=rate,
                                                     featureSubsetStrategy="0.5", seed=task.seed).fit(rows)],
-            "quick": lambda rows, task: [_regressor(GBTRegressor, "quick", maxIter=extra, maxDepth=5, stepSize=0.3,
+            "quick": lambda rows, task: [_regressor(GBTRegressor, "quick", maxIter=extra, maxDepth=5, stepSize=extra_rate,
                                                     seed=task.seed).fit(rows)]}
 
 

@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.functions.columns import none_missing, quoted
+from tabwright.operators.models import lines
 from tabwright.operators.stats import aggregate_once, quantiles
 from tabwright.session import checkpointed, setting
 
@@ -44,7 +45,7 @@ class Spec:
     ``gamma`` and the least hessian sum ``min_child`` of a side).
     """
 
-    kind: str  # forest, boost, ada
+    kind: str  # forest, boost, ada, stack, line (as a member)
     classes: int = 0  # 0: a number is predicted
     trees: int = 100
     depth: int = 15
@@ -62,6 +63,10 @@ class Spec:
     gamma: float = 0.0
     min_child: float = 0.0
     loss: str = "linear"
+    members: tuple[Spec, ...] = ()  # of a stack; their outputs on rows they were not fitted on teach the final model
+    final: str = "linear"  # logistic, linear, ridge, forest
+    C: float = 1.0  # of a line and of a logistic final model; 1 / C is the penalty of a ridge
+    inner: int = 5
     seed: int = 42
 
     def drawn(self, width: int) -> int:
@@ -269,6 +274,7 @@ class Data:
     label: np.ndarray
     row: np.ndarray
     fold: np.ndarray
+    raw: np.ndarray | None = None  # the features themselves, where a stack has a line
 
 
 def class_weights(spec: Spec, counts: np.ndarray) -> np.ndarray:
@@ -327,6 +333,7 @@ def boost_stats(spec: Spec, label: np.ndarray, margin: np.ndarray, output: int,
 
 
 def outputs(spec: Spec) -> int:
+    """Scores per row; boosting of two classes has a single margin."""
     return spec.classes if spec.classes > 2 or spec.kind != "boost" and spec.classes else 1
 
 
@@ -347,6 +354,8 @@ def fit_trees(spec: Spec, data: Data, train: np.ndarray) -> Grown:
 
 def fit_predict(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Fits on rows ``train`` and gives the outputs (class scores, or one number) of rows ``rest``."""
+    if spec.kind == "stack":
+        return _stacked(spec, data, train, rest)
     return scores(spec, fit_trees(spec, data, train), data.bins, rest)
 
 
@@ -421,6 +430,49 @@ def _ada(spec: Spec, data: Data, train: np.ndarray) -> Grown:
     return grown
 
 
+def member_outputs(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """What a stack's final model sees of a member: its number, or the chances of all classes but the first."""
+    if spec.kind == "line":
+        job, w = lines.fit_in_memory(lines.Line(spec.classes, spec.C, max_iter=500), data.raw[train], data.label[train])
+        out = job.features(data.raw[rest]) @ w
+    else:
+        out = fit_predict(spec, data, train, rest)
+    if not spec.classes:
+        return out
+    if spec.kind in ("line", "boost"):
+        out = np.column_stack([np.zeros(len(out)), out]) if out.shape[1] == 1 else out
+        out = np.exp(out - out.max(1, keepdims=True))
+    return (out / np.maximum(out.sum(1, keepdims=True), 1e-300))[:, 1:]
+
+
+def _stacked(spec: Spec, data: Data, train: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    if not len(train) or not len(rest):
+        return np.zeros((len(rest), max(1, spec.classes)))
+    members = [replace(m, classes=spec.classes, seed=spec.seed) for m in spec.members]
+    part = (hashed(data.row[train], spec.seed, 5) % np.uint64(spec.inner)).astype(int)
+    seen = np.zeros((len(train), len(members) * max(1, spec.classes - 1)))
+    for f in np.unique(part):
+        own = part == f
+        seen[own] = np.column_stack([member_outputs(m, data, train[~own], train[own]) for m in members])
+    new = np.column_stack([member_outputs(m, data, train, rest) for m in members])
+    label = data.label[train]
+    if spec.final == "logistic":
+        job, w = lines.fit_in_memory(lines.Line(spec.classes, spec.C, max_iter=500), seen, label)
+        out = job.features(new) @ w
+        return np.column_stack([np.zeros(len(out)), out]) if out.shape[1] == 1 else out
+    if spec.final == "forest":
+        edges = [np.unique(np.quantile(c, np.arange(1, 64) / 64)) for c in seen.T]
+        both = np.concatenate([seen, new])
+        bins = np.stack([np.searchsorted(e, both[:, i], "left") for i, e in enumerate(edges)], 1).astype(np.uint8)
+        inside = Data(bins, 64, np.append(label, np.zeros(len(new))), np.append(data.row[train], data.row[rest]), np.zeros(len(both)))
+        top = Spec("forest", spec.classes, 100, 30, features="sqrt" if spec.classes else "all", rows="bootstrap",
+                   impurity="gini" if spec.classes else "variance", seed=spec.seed)
+        return fit_predict(top, inside, np.arange(len(train)), len(train) + np.arange(len(rest)))
+    centre, level = seen.mean(0), label.mean()
+    gram = (seen - centre).T @ (seen - centre) + np.eye(seen.shape[1]) * (1 / spec.C if spec.final == "ridge" else 1e-9)
+    return ((new - centre) @ np.linalg.solve(gram, (seen - centre).T @ (label - level)) + level)[:, None]
+
+
 def scores(spec: Spec, grown: Grown, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Class scores, or one number, for each of ``rows``."""
     out = np.tile(grown.start, (len(rows), 1))
@@ -473,8 +525,11 @@ def bin_edges(rows: DataFrame, features: Sequence[str], n_bins: int = 64) -> lis
     return [sorted(set(found[f] or [])) for f in features]
 
 
-def binned(rows: DataFrame, key: str, features: Sequence[str], label: str, edges: list[list[float]]) -> DataFrame:
-    """(_row: hash of the key, _fold, _y, _bins: a byte per feature); a value lies in the bin of the first edge not below it."""
+def binned(rows: DataFrame, key: str, features: Sequence[str], label: str, edges: list[list[float]], raw: bool = False) -> DataFrame:
+    """(_row: hash of the key, _fold, _y, _bins: a byte per feature); a value lies in the bin of the first edge not below it.
+
+    With ``raw``, the features follow in the same column.
+    """
     table = rows.select(F.xxhash64(quoted(key).cast("string")).alias("_row"), F.col("_fold"), quoted(label).cast("double").alias("_y"),
                         F.array(*[quoted(f).cast("double") for f in features]).alias("_x"))
 
@@ -482,14 +537,14 @@ def binned(rows: DataFrame, key: str, features: Sequence[str], label: str, edges
         for b in batches:
             x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(edges))
             bins = np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)], 1).astype(np.uint8)
-            data = pa.array([r.tobytes() for r in bins], pa.binary())
+            data = pa.array([r.tobytes() + (v.tobytes() if raw else b"") for r, v in zip(bins, x)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), data], names=["_row", "_fold", "_y", "_bins"])
     return table.mapInArrow(run, "_row long, _fold int, _y double, _bins binary")
 
 
 def _arrays(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     row, fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-    return np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, width), y, row, fold
+    return np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1), y, row, fold
 
 
 PREDICTED = "fit int, _row long, _y double, _p double, _s double"
@@ -502,6 +557,11 @@ def _predicted(fit: int, spec: Spec, row: np.ndarray, label: np.ndarray, out: np
                                        pa.array(predictions(spec, out)), score], names=["fit", "_row", "_y", "_p", "_s"])
 
 
+def fits_in_tasks(spark: SparkSession, rows: int, width: int, fits: Sequence[tuple[Spec, int]]) -> bool:
+    bytes_each = width * (9 if any(m.kind == "line" for spec, _ in fits for m in spec.members) else 1)
+    return rows * bytes_each <= setting(spark, "trees.localCells", LOCAL_CELLS)
+
+
 def out_of_fold(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int = 64) -> DataFrame:
     """(fit, _row, _y, _p, _s): for each (ensemble, fold), predictions of the fold's rows by an ensemble of all other rows.
 
@@ -511,7 +571,7 @@ def out_of_fold(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]],
     table = checkpointed(table)
     found = aggregate_once(table, {"n": F.count(F.lit(1)), "m": F.avg("_y")})
     centre = 0.0 if any(s.classes for s, _ in fits) else found["m"] or 0.0  # sums of centred labels lose no digits
-    run = _in_tasks if found["n"] * width <= setting(table.sparkSession, "trees.localCells", LOCAL_CELLS) else _by_levels
+    run = _in_tasks if fits_in_tasks(table.sparkSession, found["n"], width, fits) else _by_levels
     out = run(table.withColumn("_y", F.col("_y") - centre), width, fits, n_bins)
     return out.withColumns({"_y": F.col("_y") + centre, "_p": F.col("_p") + centre})
 
@@ -523,7 +583,8 @@ def _collected(table: DataFrame, width: int, n_bins: int) -> Data | None:
         return None
     bins, label, row, fold = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((label, row))  # whatever order the rows came in
-    return Data(bins[order], n_bins, label[order], row[order], fold[order])
+    raw = bins[order, width:].copy().view(np.float64) if bins.shape[1] > width else None
+    return Data(np.ascontiguousarray(bins[order, :width]), n_bins, label[order], row[order], fold[order], raw)
 
 
 def _in_tasks(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int) -> DataFrame:
@@ -532,7 +593,7 @@ def _in_tasks(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_
     if data is None:
         return spark.createDataFrame([], PREDICTED)
     # the dearest fits first, and each a task of its own
-    cost = sorted(range(len(fits)), key=lambda i: -fits[i][0].trees * fits[i][0].depth)
+    cost = sorted(range(len(fits)), key=lambda i: -sum(m.trees * m.depth for m in fits[i][0].members or [fits[i][0]]))
     shared = spark.sparkContext.broadcast((data, list(fits)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -605,8 +666,8 @@ def fit_model(rows: DataFrame, key: str, features: Sequence[str], label: str, sp
 def _by_levels(table: DataFrame, width: int, fits: Sequence[tuple[Spec, int]], n_bins: int,
                kept: list[Grown] | None = None) -> DataFrame:
     """Forests and boosting; all fits grow in lockstep, a round of boosting after the other. The trees go to ``kept``."""
-    if any(spec.kind == "ada" for spec, _ in fits):
-        raise ValueError("reweighted ensembles of large tables: use boost.adaboost_classifier or adaboost_regressor")
+    if not all(spec.kind in ("forest", "boost") for spec, _ in fits):
+        raise ValueError("reweighted and stacked ensembles of large tables: use the fits in boost and stack")
     spark, fits = table.sparkSession, list(fits)
     sizes = {(r["_fold"], r["_y"]): r["n"] for r in table.groupBy("_fold", "_y").agg(F.count("*").alias("n")).collect()} if any(
         s.classes for s, _ in fits) else {}

@@ -157,8 +157,8 @@ def test_a_job_per_level_gives_the_same_predictions(spark, classes):
             (Spec("boost", classes, trees=3, depth=2, impurity="second", l2=1.0, tree_features=0.5), -1)]
 
     def found():
-        return sorted(map(tuple, trees.out_of_fold(table_of(spark, data, 3), 4, fits, 16).withColumn("_p", F.round("_p", 9))
-                          .withColumn("_y", F.round("_y", 9)).collect()))
+        rounded = {c: F.round(c, 9) for c in ("_y", "_p", "_s")}
+        return sorted(map(tuple, trees.out_of_fold(table_of(spark, data, 3), 4, fits, 16).withColumns(rounded).collect()), key=str)
     alone = found()
     spark.conf.set("tabwright.trees.localCells", "0")
     try:
@@ -182,6 +182,39 @@ def test_reweighting_learns_and_constant_labels_pass():
         assert fit_predict(Spec(kind, trees=3), flat, train[:0], rest).shape == (60, 1)
 
 
+@pytest.mark.parametrize("classes,final", [(0, "linear"), (0, "ridge"), (0, "forest"), (2, "logistic"), (3, "forest"), (3, "logistic")])
+def test_stacks_see_outputs_of_rows_not_fitted_on(classes, final):
+    data = some_data(300, classes)
+    data = Data(data.bins, 16, data.label, data.row, data.fold, data.bins.astype(float))
+    train, rest = np.flatnonzero(data.fold), np.flatnonzero(data.fold == 0)
+    forest = Spec("forest", trees=8, depth=8, rows="bootstrap", impurity="gini" if classes else "variance")
+    members = (forest, Spec("boost", trees=8, depth=3), *([Spec("line", C=1.0)] if classes else []))
+    spec = Spec("stack", classes, members=members, final=final, C=0.01 if final == "ridge" else 1.0)
+    seen = []
+    fit = trees.member_outputs
+    try:
+        trees.member_outputs = lambda m, d, a, b: seen.append((set(a.tolist()), set(b.tolist()))) or fit(m, d, a, b)
+        got = trees.predictions(spec, fit_predict(spec, data, train, rest))
+    finally:
+        trees.member_outputs = fit
+    assert all(not a & b for a, b in seen) and len(seen) == 6 * len(members)
+    if classes:
+        assert (got == data.label[rest]).mean() > 0.6
+    else:
+        assert np.corrcoef(got, data.label[rest])[0, 1] > 0.85
+
+
+def test_a_line_in_memory_equals_the_job(spark):
+    from tabwright.operators.models import lines
+    data = some_data(200, 2)
+    job, w = lines.fit_in_memory(lines.Line(2, C=0.3), data.bins.astype(float), data.label)
+    rows = [(int(r), 1, float(y), *map(float, b)) for r, y, b in zip(data.row, data.label, data.bins)]
+    split = spark.createDataFrame(rows, "_row long, _fold int, y double, a double, b double, c double, d double")
+    jobs = lines.jobs_of(split, ["a", "b", "c", "d"], "y", [lines.Line(2, C=0.3)], 1)
+    table = split.select("_fold", F.col("y").alias("_y"), F.array("a", "b", "c", "d").alias("_x"))
+    assert np.abs(lines.fit_lines(table, 4, jobs)[0] - w).max() < 1e-6
+
+
 def test_bins_and_empty_tables(spark):
     rows = spark.createDataFrame([(i, float(i % 7), 1.0, float(i), i % 2) for i in range(50)], "id long, a double, b double, y double, _fold int")
     edges = trees.bin_edges(rows, ["a", "b"], 4)
