@@ -34,6 +34,9 @@ from tabwright.llm.registry import query
 MARK = "▁"
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+# An encoded piece: its id and the number of normalised characters that it covers.
+PIECE, PACKED = struct.Struct("<iH"), np.dtype([("id", "<i4"), ("covered", "<u2")])
+NO_PIECE = float("inf")
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -154,9 +157,9 @@ class Normalizer:
 
 
 class PieceModel(dict):
-    """Stretch -> (ids, characters covered, by piece) as packed arrays; filled on demand, cleared beyond ``most``."""
+    """Stretch -> its pieces, packed; filled on demand, cleared beyond ``most``."""
 
-    def __init__(self, data: bytes, most: int = 300_000, short: int = 48):
+    def __init__(self, data: bytes, most: int = 600_000, short: int = 48):
         super().__init__()
         self.most, self.short = most, short
         self.surface: list[str] = []
@@ -187,6 +190,7 @@ class PieceModel(dict):
         self.text_of = [p.replace(MARK, " ") if k == NORMAL else chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else ""
                         for i, (p, k) in enumerate(zip(self.surface, self.kind))]
         self.simple = np.array([k == NORMAL or self.byte_of.get(i, 128) < 128 for i, k in enumerate(self.kind)])
+        self.packed = {p: PIECE.pack(i, len(p)) for p, i in self.ids.items()}
         self.prefix, self.trim = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         self.normalize = Normalizer(unfolded(spec.get(2, b"")), self.prefix, self.trim, bool(spec.get(5, 1)))
         letters = {c: i for i, c in enumerate(sorted({c for p in self.ids if len(p) > 1 for c in p}), 1)}
@@ -196,23 +200,23 @@ class PieceModel(dict):
         pairs = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.joined[[letters[p[0]] for p in pairs], [letters[p[1]] for p in pairs]] = True
 
-    def _merged_short(self, text: list[str]) -> list[str]:
+    def _merged_short(self, stretch: str) -> list[str]:
         """Pieces of a short stretch, best-scored pair first, the left one among equals."""
-        cost, none = self.cost.get, 1.0e30
-        pairs = [cost(a + b, none) for a, b in zip(text, text[1:])]
-        while pairs and (best := min(pairs)) < none:
+        text, cost, none = list(stretch), self.cost.get, NO_PIECE
+        pairs = [cost(a + b, none) for a, b in zip(stretch, stretch[1:])]
+        while pairs and (best := min(pairs)) is not none:
             i = pairs.index(best)
-            text[i:i + 2] = [text[i] + text[i + 1]]
+            joined = text[i] = text[i] + text.pop(i + 1)
             del pairs[i]
             if i:
-                pairs[i - 1] = cost(text[i - 1] + text[i], none)
+                pairs[i - 1] = cost(text[i - 1] + joined, none)
             if i < len(pairs):
-                pairs[i] = cost(text[i] + text[i + 1], none)
+                pairs[i] = cost(joined + text[i + 1], none)
         return text
 
-    def _merged_long(self, text: list[str]) -> list[str]:
+    def _merged_long(self, stretch: str) -> list[str]:
         """The same by a queue of pairs, for stretches of any length."""
-        cost = self.cost
+        text, cost = list(stretch), self.cost
         after, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
 
         def pair(left: int, right: int):
@@ -235,23 +239,21 @@ class PieceModel(dict):
                 heappush(queue, found)
         return [t for t in text if t]
 
-    def __missing__(self, text: str) -> tuple[bytes, bytes]:
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids, covered = [], []
-        for piece in (self._merged_short if len(text) <= self.short else self._merged_long)(list(text)):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-                covered.append(len(piece))
-            else:
-                found = [self.byte_id[b] for b in piece.encode()]
-                ids += found
-                covered += [0] * (len(found) - 1) + [1]
-        found = np.array(ids, np.int32).tobytes(), np.array(covered, np.uint16).tobytes()
-        if len(text) <= self.short:
+        short, packed = len(text) <= self.short, self.packed
+        pieces = self._merged_short(text) if short else self._merged_long(text)
+        found = b"".join([packed[p] if p in packed else self._bytes(p) for p in pieces])
+        if short:
             self[text] = found
         return found
 
+    def _bytes(self, char: str) -> bytes:
+        """A character without a piece, as byte pieces; the last one covers it."""
+        found = [self.byte_id[b] for b in char.encode()]
+        return b"".join(PIECE.pack(i, j == len(found)) for j, i in enumerate(found, 1))
+
     def parts(self, text: str) -> list[str]:
         """The text cut between all characters that stand side by side in no piece."""
         letter = self.letter[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
@@ -262,11 +264,9 @@ class PieceModel(dict):
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the first and past-the-end source byte of each piece."""
         normal, source = self.normalize(text)
-        found = list(map(self.__getitem__, self.parts(normal))) if normal else []
-        ids = np.frombuffer(b"".join([f[0] for f in found]), np.int32)
-        covered = np.frombuffer(b"".join([f[1] for f in found]), np.uint16)
-        ends = np.cumsum(covered, dtype=np.int64)
-        return ids, source[ends - covered], source[ends]
+        found = np.frombuffer(b"".join(map(self.__getitem__, self.parts(normal))) if normal else b"", PACKED)
+        ends = np.cumsum(found["covered"], dtype=np.int64)
+        return found["id"], source[ends - found["covered"]], source[ends]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; byte pieces that are not UTF-8 become U+FFFD, byte by byte."""
