@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -10,7 +11,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.operators.models import trees
 from tabwright.operators.models.recipe import FEATURES, LABEL, Fit, Task, chain, folds, row_count
+from tabwright.operators.models.trees import Spec, TreeStage
 from tabwright.operators.stats import aggregate_once
 from tabwright.session import checkpointed
 
@@ -94,9 +97,29 @@ def stack_classifiers(members: Members | None = None, k: int = 5, C: float = 1.0
     return lambda data, task: _finish(data, task, members, k, [f"_{m}_prob" for m in members], top)
 
 
-def stack_regressors(members: Members | None = None, k: int = 5, alpha: float = 100.0, final: str = "ridge") -> Fit:
-    members = members or default_regressors()
+def regressor_specs(forest: int = 350, boosted: int = 100, extra: int = 25, depth: int = 15) -> dict[str, Spec]:
+    return {"forest": Spec("forest", trees=forest, depth=depth, features=0.75, rows=0.5),
+            "boost": Spec("boost", trees=boosted, depth=3, rate=0.1, features=0.5),
+            "quick": Spec("boost", trees=extra, depth=5, rate=0.3, impurity="second", l2=1.0, min_child=1.0)}
+
 
+def _finish_specs(data: DataFrame, task: Task, specs: dict[str, Spec], k: int, final) -> list[Transformer]:
+    """One binned table serves all (member, fold) fits, which are in flight together; then each member on all rows."""
+    split = folds(data, task, k, level=2)
+    table = trees.binned(split, task.key, task.features, LABEL, trees.bin_edges(split, task.features))
+    fits = [(replace(s, seed=task.seed), f) for s in specs.values() for f in range(k)]
+    outputs = [f"_{m}_p" for m in specs]
+    wide = trees.out_of_fold(table, len(task.features), fits).groupBy("_row").agg(
+        F.first("_y").alias(LABEL), *[F.max(F.when(F.floor(F.col("fit") / k) == i, F.col("_p"))).alias(o) for i, o in enumerate(outputs)])
+    joined = VectorAssembler(inputCols=outputs, outputCol="_meta")
+    seen = joined.transform(checkpointed(wide.dropna()))
+    stages = [TreeStage(trees.fit_model(data, task.key, task.features, LABEL, replace(s, seed=task.seed)), o)
+              for s, o in zip(specs.values(), outputs)]
+    return [*stages, joined, final(seen, task).fit(seen)]
+
+
+def stack_regressors(members: Members | None = None, k: int = 5, alpha: float = 100.0, final: str = "ridge") -> Fit:
+    """Without ``members``, the ones of ``regressor_specs``, grown side by side; rows are told apart by the task's key."""
     def top(seen: DataFrame, task: Task):
         columns = {"featuresCol": "_meta", "labelCol": LABEL, "predictionCol": "_prediction"}
         if final == "forest":
@@ -106,4 +129,6 @@ def stack_regressors(members: Members | None = None, k: int = 5, alpha: float =
         s = aggregate_once(seen, {"n": F.count(F.lit(1)), "d": F.stddev_pop(LABEL)})
         return LinearRegression(**columns, elasticNetParam=0.0, standardization=False, solver="normal",
                                 regParam=alpha * s["d"] / s["n"])
+    if members is None:
+        return lambda data, task: _finish_specs(data, task, regressor_specs(), k, top)
     return lambda data, task: _finish(data, task, members, k, [f"_{m}_p" for m in members], top)

@@ -16,12 +16,16 @@ the tree and the node's path.
 from __future__ import annotations
 
 import pickle
+from base64 import b64decode, b64encode
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml import Transformer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabwright.functions.columns import none_missing, quoted
@@ -636,6 +640,21 @@ class TreeModel:
         return df.withColumn(name, found)
 
 
+class TreeStage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted ensemble as a stage of a pipeline; it is saved with the pipeline as text."""
+
+    ensemble = Param(Params._dummy(), "ensemble", "the fitted arrays", typeConverter=TypeConverters.toString)
+    output = Param(Params._dummy(), "output", "name of the predicted column", typeConverter=TypeConverters.toString)
+
+    def __init__(self, model: TreeModel | None = None, output: str = "prediction"):
+        super().__init__()
+        if model is not None:
+            self._set(ensemble=b64encode(pickle.dumps(model)).decode(), output=output)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return pickle.loads(b64decode(self.getOrDefault(self.ensemble))).transform(df, self.getOrDefault(self.output))
+
+
 def fit_model(rows: DataFrame, key: str, features: Sequence[str], label: str, spec: Spec, labels: Sequence[str] = (),
               n_bins: int = 64) -> TreeModel:
     """One ensemble of all rows; ``label`` holds class numbers (of ``labels``) or values."""

@@ -90,6 +90,15 @@ def test_fitted_transforms_on_a_stream(spark, small, tmp_path):
     assert got == score.apply_fitted(events, steps).orderBy("event_id").collect()
 
 
+def test_stacked_regression_is_whole_and_survives_saving(planted, tmp_path):
+    fitted = train_regressor(planted, NUMBER, stack.stack_regressors())
+    assert fitted.report.first()["r2"] > 0.95
+    save_model(fitted.model, str(tmp_path / "stacked"))
+    again = score.batch_score(load_model(str(tmp_path / "stacked")), planted.limit(50)).select("id", "prediction")
+    first = score.batch_score(fitted.model, planted.limit(50)).select("id", "prediction")
+    assert again.orderBy("id").collect() == first.orderBy("id").collect()
+
+
 def test_search(planted):
     found = search.search(planted, SIDE, search.TUNERS["tune_logistic"], trials=3, k=2,
                           space=search.change_space(search.TUNERS["tune_logistic"].space, {"max_iter": search.choice(20)}, ("class_weight",)))
