@@ -258,7 +258,9 @@ def significant_column(name: str) -> Column:
 
 
 def one_group(df: DataFrame, id_col: str, features: Column) -> DataFrame:
-    return df.select(F.lit(0).alias("group"), quoted(id_col).alias("id"), features.alias("features"))
+    """All rows as one group; a row with a null feature has no place among the others and is left out."""
+    return df.select(F.lit(0).alias("group"), quoted(id_col).alias("id"), features.alias("features")).where(
+        ~F.exists("features", lambda x: x.isNull()))
 
 
 def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str], k: int = 5) -> DataFrame:
@@ -403,7 +405,7 @@ def _votes(train: DataFrame, test: DataFrame, id_col: str, columns: Sequence[str
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, columns: Sequence[str], target: str, k: int = 5,
                  scaler: str = "standard", weights: str = "uniform", p: int = 2) -> DataFrame:
-    """Add ``prediction``: the class most neighbours have, the smallest among ties."""
+    """Add ``prediction``: the class most neighbours have, the smallest among ties; null for rows with a null feature."""
     votes = _votes(train, test, id_col, columns, target, k, scaler, weights, p)
     counted = votes.groupBy("query_id", "_y").agg(F.round(F.sum("_w"), 9).alias("_s"))
     best = counted.groupBy("query_id").agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_y").alias("y"))).alias("b"))
@@ -412,7 +414,7 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, columns: Sequen
 
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, columns: Sequence[str], target: str, k: int = 3,
                 scaler: str = "standard", weights: str = "uniform", p: int = 2) -> DataFrame:
-    """Add ``prediction``: the (weighted) mean of the neighbours."""
+    """Add ``prediction``: the (weighted) mean of the neighbours; null for rows with a null feature."""
     votes = _votes(train, test, id_col, columns, target, k, scaler, weights, p)
     mean = votes.groupBy("query_id").agg((F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("prediction"))
     return test.join(mean.withColumnRenamed("query_id", id_col), id_col, "left")

@@ -5,17 +5,16 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tabwright.functions.columns import any_of, nan_to_null, quoted
+from tabwright.functions.columns import nan_to_null
 from tabwright.operators.missing import check_missing
 from tabwright.session import checkpoint_root
 
 ENCODINGS = ("UTF-8", "ISO-8859-1")  # by the names that Spark knows; the second reads any bytes
 # A quote inside a quoted cell is doubled, and such a cell may hold line breaks.
 FORM = {"quote": '"', "escape": '"'}
-REPLACEMENT = "�"
 
 
 def load_table(spark: SparkSession, folder: str, name: str, nan_is_missing: bool = False) -> DataFrame:
@@ -29,20 +28,18 @@ def load_table(spark: SparkSession, folder: str, name: str, nan_is_missing: bool
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             encodings: Sequence[str] = ENCODINGS, header: bool = True) -> DataFrame:
+             encodings: Sequence[str] = ENCODINGS, header: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; the first encoding that decodes the whole file wins.
 
-    A failed UTF-8 decode shows as the replacement character in the header or a
-    cell, found by one scan that stops at the first hit. Give ``schema`` to
-    avoid the extra pass that type inference costs.
+    Whether a file is UTF-8 is decided on its bytes, by one scan that splits files and stops at the first bad line; a
+    replacement character that the file itself holds is text like any other. Cells may hold line breaks, for which a file
+    must be read by one task: with ``multi_line=False`` they may not, and large files are split. Give ``schema`` to avoid
+    the extra pass that type inference costs.
     """
     for encoding in encodings:
-        reader = spark.read.option("header", header).option("encoding", encoding).options(**FORM, multiLine=True)
-        if encoding.lower().replace("-", "") == "utf8":
-            text = reader.csv(path)
-            broken = any_of([quoted(c).contains(REPLACEMENT) for c in text.columns])
-            if any(REPLACEMENT in c for c in text.columns) or not text.where(broken).isEmpty():
-                continue
+        if encoding.lower().replace("-", "") == "utf8" and not spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+            continue
+        reader = spark.read.option("header", header).option("encoding", encoding).options(**FORM, multiLine=multi_line)
         if schema is not None:
             return nan_to_null(reader.schema(schema).csv(path))
         return nan_to_null(reader.option("inferSchema", True).csv(path))

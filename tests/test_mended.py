@@ -1,6 +1,7 @@
 """Faults found after the first round."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import neighbors
@@ -44,3 +45,23 @@ def test_history(spark):
     assert [r.best_so_far for r in optimization_history(t).orderBy("trial").collect()] == [0.2, 0.2, 0.2, 0.5]
 
 
+
+
+@pytest.mark.parametrize("k", [1, 5, 25])
+def test_null_features_have_no_neighbours(spark, k):
+    rows = [(i, float(i % 10), float(i // 10), "x" if i % 10 < 5 else "y", float(i)) for i in range(60)]
+    train = spark.createDataFrame([*rows, (100, None, 1.0, "x", 1e9)], "id long, a double, b double, c string, y double")
+    test = spark.createDataFrame([(200, 1.0, 1.0, "x", 0.0), (201, None, 1.0, "x", 0.0), (202, 8.0, None, "y", 0.0)], train.schema)
+    got = {r["id"]: r["prediction"] for r in neighbors.knn_classify(train, test, "id", ["a", "b"], "c", k).collect()}
+    assert got == {200: "x", 201: None, 202: None}
+    number = {r["id"]: r["prediction"] for r in neighbors.knn_regress(train, test, "id", ["a", "b"], "y", k).collect()}
+    assert number[201] is None and number[202] is None and number[200] < 100
+
+
+def test_replacement_character_in_a_utf8_file(spark, tmp_path):
+    (tmp_path / "good.csv").write_bytes("name,n\ncafé,1\nodd � cell,2\n\"two\nlines\",3\n".encode())
+    (tmp_path / "old.csv").write_bytes("name,n\ncafé,1\n".encode("latin-1"))
+    assert [r["name"] for r in read_csv(spark, str(tmp_path / "good.csv")).orderBy("n").collect()] == ["café", "odd � cell", "two\nlines"]
+    assert [r["name"] for r in read_csv(spark, str(tmp_path / "old.csv")).collect()] == ["café"]
+    (tmp_path / "flat.csv").write_bytes("name,n\n".encode() + "é,1\n".encode() * 5_000)
+    assert read_csv(spark, str(tmp_path / "flat.csv"), multi_line=False).count() == 5_000
