@@ -6,6 +6,8 @@ the cut. A small network learns which parts the neighbours of a vector lie in; i
 most probable part and sends a query to its several most probable ones, where candidates are ranked by exact cosine.
 
 Rows with the same vector are indexed as one entry with their smallest ids: no more than those can be among the nearest.
+Vectors of different length never meet: the most frequent lengths have a router each, vectors of any other length meet all
+others of their length.
 Parts and their queries meet in blocks of bounded size, so neither a large part nor a popular one lands in one task.
 """
 
@@ -21,6 +23,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tabwright.llm.common import columns_of, table, written
 from tabwright.llm.registry import query
 
+LENGTHS = 4  # vector lengths with a router of their own
+RARE = 1_024  # parts that vectors of other lengths are spread over
+PART_BITS = 20  # a part's number within its length
+
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows at length 1, scaled by their largest entry first so that no square overflows or vanishes."""
@@ -140,33 +146,45 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, parts: int =
 
     Both tables have ``key`` and ``vector``. ``parts`` (a power of two) and ``probes`` set the index and how many parts a
     query visits; the graph and the router come from at most ``sample`` distinct vectors, those of smallest hash; every row
-    is indexed. ``block`` bounds the rows that meet in one task. Rows that cannot take part, or whose vector has another
-    length than the first of the sample, are left out. Ties go to the smaller id; repeated ids count once.
+    is indexed. Each of the ``LENGTHS`` most frequent vector lengths has its own index. ``block`` bounds the rows that meet in
+    one task. Rows that cannot take part are left out. Ties go to the smaller id. An id on several rows is found once, by its
+    nearest vector; as a query it asks with the smallest of its vectors.
     """
     rows = usable_vectors(embeddings, key, vector)
     # one entry per vector: k + 1 ids suffice, since a query leaves out at most its own
     order = Window.partitionBy("v").orderBy("vec_id")
     ids = rows.dropDuplicates(["vec_id", "v"]).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k + 1)
     entries = written(ids.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")), "ann-entries")
-    chosen = entries.select("v").withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(sample).select("v").collect()
-    asked = usable_vectors(queries, key, vector).dropDuplicates(["vec_id"])
-    width = len(chosen[0].v) if chosen else 0
-    entries, asked = (x.where(F.size("v") == width) for x in (entries, asked))
-    kept = unit(np.array([r.v for r in chosen if len(r.v) == width])) if chosen else np.zeros((0, 1))
-    while parts > 1 and len(kept) < 4 * parts:
-        parts //= 2
-    router = learn_parts(kept, parts) if len(kept) > 1 and parts > 1 else None
-    probes = min(probes, parts)
+    asked = usable_vectors(queries, key, vector).groupBy("vec_id").agg(F.min("v").alias("v"))
+    common = entries.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").limit(LENGTHS).collect()
+    routers: dict[int, tuple[Router | None, int]] = {}  # and the number of parts
+    for width in (r.width for r in common):
+        chosen = entries.where(F.size("v") == width).select("v").withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(sample)
+        kept, cuts = unit(np.array([r.v for r in chosen.select("v").collect()])), parts
+        while cuts > 1 and len(kept) < 4 * cuts:
+            cuts //= 2
+        routers[width] = learn_parts(kept, cuts) if len(kept) > 1 and cuts > 1 else None, cuts
+
+    def visits_of(vectors: list, visits: int | None) -> list[list[int]]:
+        """Parts of each vector, its most probable one or the first ``visits``."""
+        lengths = np.array([len(v) for v in vectors])
+        out: list[list[int]] = [[-1 - int(n) % RARE] for n in lengths]
+        for n in set(lengths.tolist()) & set(routers):
+            at, (router, cuts) = np.flatnonzero(lengths == n), routers[n]
+            v = unit(np.array([vectors[i] for i in at], np.float64))
+            best = np.argsort(-router(v), 1, kind="stable")[:, :visits] if router else np.zeros((len(v), 1), np.int64)
+            for i, row in zip(at, best):
+                out[i] = ((n << PART_BITS) + row).tolist()
+        return out
 
     def routed(names: list[str], visits: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = unit(np.array(columns_of(batch, "v")[0], np.float64))
-                best = np.argsort(-router(v), 1, kind="stable")[:, :visits] if router else np.zeros((len(v), 1), np.int64)
+                best = visits_of(columns_of(batch, "v")[0], visits)
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(best.tolist(), pa.list_(pa.int64()))], names=[*names, "part"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(best, pa.list_(pa.int64()))], names=[*names, "part"])
         return run
     indexed = entries.mapInArrow(routed(["ids", "v"], 1), "ids array<long>, v array<double>, part array<long>")
     indexed = written(indexed.select("ids", "v", F.col("part")[0].alias("part")), "ann-index")
@@ -188,24 +206,32 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, parts: int =
     right = dealt(indexed, index_blocks, query_blocks, "ib", "qb", F.col("v"))
 
     def rank(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qv, cv = unit(np.stack(q.v.to_numpy())), unit(np.stack(c.v.to_numpy()))
         ids, out = [np.asarray(x) for x in c.ids], []
-        for start in range(0, len(qv), 256):
-            near = qv[start:start + 256] @ cv.T
-            # entries that may be among the k nearest besides the query's own, with room for rounding
-            least = np.partition(near, -min(k + 1, near.shape[1]), 1)[:, -min(k + 1, near.shape[1])]
-            for i, (row, bound) in enumerate(zip(near, least)):
-                own = q.vec_id.iat[start + i]
-                may = np.flatnonzero(row >= bound - 1e-12)
-                exact = (cv[may] * qv[start + i]).sum(1)
-                found = [(-s, int(x)) for s, j in zip(exact.tolist(), may.tolist()) for x in ids[j] if x != own]
-                out += [(own, x, -s) for s, x in sorted(found)[:k]]
+        of_query, of_entry = q.v.map(len).to_numpy(int), c.v.map(len).to_numpy(int)
+        for n in set(of_query.tolist()) & set(of_entry.tolist()):
+            asks, at = np.flatnonzero(of_query == n), np.flatnonzero(of_entry == n)
+            qv, cv = (unit(np.stack(x.v.iloc[rows].to_numpy())) for x, rows in ((q, asks), (c, at)))
+            for start in range(0, len(qv), 256):
+                for i, row in enumerate(qv[start:start + 256] @ cv.T):
+                    own, take, best = q.vec_id.iat[asks[start + i]], k + 1, {}
+                    while True:  # entries that may be among the nearest, more of them where ids repeat
+                        take = min(take, len(row))
+                        may = np.flatnonzero(row >= np.partition(row, -take)[-take] - 1e-12)  # with room for rounding
+                        exact = (cv[may] * qv[start + i]).sum(1)
+                        best = {}
+                        for s, j in zip(exact.tolist(), may.tolist()):
+                            for x in ids[at[j]].tolist():
+                                if x != own and s > best.get(x, -np.inf):
+                                    best[x] = s
+                        if len(best) >= k or take == len(row):
+                            break
+                        take *= 4
+                    out += [(own, x, -s) for s, x in sorted((-s, x) for x, s in best.items())[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     on = ["part", "qb", "ib"]
     found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).selectExpr(
         "query_id", "rank", "vec_id", "score")

@@ -62,3 +62,20 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [0.0, 1.0], "x")], SCHEMA)
     assert by_query(nearest(df, df.where("vec_id = 0"))) == {0: [(1, 0.0)]}
     assert nearest(df.limit(0), df).collect() == [] and nearest(df, df.limit(0)).collect() == []
+
+
+def test_lengths_apart_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(2 + i % 6).tolist()) for i in range(180)]  # six lengths, four of them with a router
+    rows += [(1, [3.0 + i / 50, 1.0]) for i in range(40)] + [(50, [9.0, -1.0, 2.0, 0.5]), (50, [-9.0, 1.0, 2.0, 0.5])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(4)
+    got = by_query(nearest(df, df.where(F.col("vec_id") % 10 == 0), parts=1, block=50))
+    want = {}
+    for q in {r[0] for r in rows if r[0] % 10 == 0}:
+        mine = min(np.array(v, np.float32).tolist() for i, v in rows if i == q)
+        a, best = unit(np.array([mine], np.float32))[0], {}
+        for i, v in rows:
+            if i != q and len(v) == len(mine):
+                best[i] = max(best.get(i, -2.0), float((unit(np.array([v], np.float32))[0] * a).sum()))
+        want[q] = sorted(best, key=lambda i: (-best[i], i))[:5]
+    assert {q: [a for a, _ in x] for q, x in got.items()} == want
