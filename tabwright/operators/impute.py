@@ -47,13 +47,13 @@ def missing_indicator(df: DataFrame, columns: Sequence[str] | None = None) -> Da
 
 
 def fill(df: DataFrame, values: dict) -> DataFrame:
-    """Replace NULL by a value per column; a fractional number turns an integer column into double."""
+    """Replace NULL by a value per column; a floating-point number turns any numeric column into double, whatever its value."""
     exprs = {}
     for c, v in values.items():
         dtype = df.schema[c].dataType
         if v is None:
             continue
-        if is_numeric(dtype) and isinstance(v, float) and not v.is_integer():
+        if is_numeric(dtype) and isinstance(v, float):
             dtype = T.DoubleType()
         exprs[c] = F.coalesce(quoted(c).cast(dtype), F.lit(v).cast(dtype))
     return df.withColumns(exprs)
