@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabwright.functions.columns import quoted
 from tabwright.operators.scale import fit_linear
-from tabwright.operators.split import hash_bucket
+from tabwright.operators.split import PLACES, hash_place
 from tabwright.operators.stats import aggregate_once, quantiles, row_positions
 from tabwright.session import checkpointed, setting
 
@@ -263,13 +263,193 @@ def one_group(df: DataFrame, id_col: str, features: Column) -> DataFrame:
         ~F.exists("features", lambda x: x.isNull()))
 
 
+def _boxes(vectors: DataFrame, width: int) -> pd.DataFrame:
+    """Per cell: number of vectors ``n``; per column the values ``k``, their least ``lo`` and greatest ``hi``."""
+    stats = []
+    for i in range(width):
+        x = F.col("v")[i]
+        stats += [F.count(x).alias(f"k{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    return vectors.groupBy("cell").agg(F.count("*").alias("n"), *stats).orderBy("cell").toPandas()  # one row per pivot
+
+
+def _cell_groups(cells: np.ndarray, load: np.ndarray, pivots: np.ndarray, limit: int) -> list[np.ndarray]:
+    """Cells merged into neighbouring groups of at most ``limit`` vectors, or of one cell."""
+    if len(cells) == 1 or load.sum() <= limit:
+        return [cells]
+    axis = np.ptp(pivots[cells], axis=0).argmax()
+    order = np.argsort(pivots[cells, axis], kind="stable")
+    half = len(cells) // 2
+    return [g for part in (order[:half], order[half:]) for g in _cell_groups(cells[part], load[part], pivots, limit)]
+
+
+class _Side:
+    """Groups of cells of one side of the masked search, with their boxes and numbers of blocks."""
+
+    def __init__(self, vectors: DataFrame, width: int, pivots: np.ndarray, block: int):
+        boxes = _boxes(vectors, width)
+        cells, n = boxes["cell"].to_numpy(int), boxes["n"].to_numpy(int)
+        groups = _cell_groups(cells, n, pivots, block) if len(cells) else []
+        part = {c: i for i, c in enumerate(cells)}
+        at = [np.array([part[c] for c in g]) for g in groups]
+        table = {x: boxes[[f"{x}{i}" for i in range(width)]].to_numpy(float) for x in ("k", "lo", "hi")}
+        self.count = np.array([n[i].sum() for i in at])
+        self.values = np.array([table["k"][i].sum(0) for i in at]).reshape(len(at), width)
+        low, high = np.where(table["k"] > 0, table["lo"], np.inf), np.where(table["k"] > 0, table["hi"], -np.inf)
+        self.low = np.array([low[i].min(0) for i in at]).reshape(len(at), width)
+        self.high = np.array([high[i].max(0) for i in at]).reshape(len(at), width)
+        self.blocks = -(-self.count // block)
+        of_cell = pd.DataFrame({"cell": np.concatenate([*groups, []]).astype(int),
+                                "g": np.repeat(np.arange(len(groups)), [len(g) for g in groups])})
+        self.vectors = vectors.join(F.broadcast(vectors.sparkSession.createDataFrame(of_cell, "cell int, g int")), "cell").drop("cell")
+
+
+def _least_masked(asked: _Side, given: _Side) -> np.ndarray:
+    """Lower bounds of the masked squared distance between groups; infinite where no column can be shared.
+
+    The distance is the width times the mean over the shared columns, which include
+    those that no row of either group lacks; any others are shared by some pairs.
+    """
+    width, out = asked.values.shape[1], np.full((len(asked.count), len(given.count)), np.inf)
+    for g in range(len(asked.count)):
+        possible = (given.values > 0) & (asked.values[g] > 0)
+        always = possible & (given.values == given.count[:, None]) & (asked.values[g] == asked.count[g])
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(np.maximum(given.low - asked.high[g], asked.low[g] - given.high), 0.0) ** 2
+        some = np.sort(np.where(possible & ~always, gap, np.inf), axis=1)
+        total = np.cumsum(np.column_stack([np.where(always, gap, 0.0).sum(1), some]), axis=1)
+        number = always.sum(1)[:, None] + np.arange(width + 1)
+        mean = np.where(number > 0, total / np.maximum(number, 1), np.inf)
+        out[g] = width * mean.min(1)
+    return out
+
+
+def _masked_offers(queries: np.ndarray, donors: np.ndarray, ids: Sequence, k: int) -> dict[str, np.ndarray]:
+    """(at, c, donor, d2, x): for each gap ``c`` of each query the ``k`` best donors, as positions in ``ids``.
+
+    Three matrix products give all distances with an error bound; what can be among
+    the best is measured again coordinate by coordinate. ``ids`` has the ids of each
+    donor vector.
+    """
+    width, copies = donors.shape[1], np.array([len(x) for x in ids])
+    starts, rank = np.cumsum(copies) - copies, pd.factorize(np.concatenate(ids), sort=True)[0]
+    there = ~np.isnan(donors)
+    centre = np.where(there, donors, 0.0).sum(0) / np.maximum(there.sum(0), 1)
+    dx, dm = np.where(there, donors - centre, 0.0), there.astype(float)
+    found: list[tuple] = []
+    for start in range(0, len(queries), 256):
+        q = queries[start:start + 256]
+        has = ~np.isnan(q)
+        qx, qm = np.where(has, q - centre, 0.0), has.astype(float)
+        shared = qm @ dm.T
+        scale = np.where(shared > 0, width / np.maximum(shared, 1), np.inf)
+        squares = (qx * qx) @ dm.T + qm @ (dx * dx).T
+        with np.errstate(invalid="ignore"):
+            near = np.where(shared > 0, (squares - 2 * (qx @ dx.T)) * scale, np.inf)
+            error = np.where(shared > 0, 1e-12 * (1 + squares) * scale, 0.0)
+        for c in range(width):
+            rows, cols = np.flatnonzero(~has[:, c]), np.flatnonzero(there[:, c])
+            if not len(rows) or not len(cols):
+                continue
+            at = np.ix_(rows, cols)
+            upper = near[at] + error[at]
+            cut = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(cols) > k else np.full(len(rows), np.inf)
+            r, d = np.nonzero((near[at] - error[at] <= (cut * (1 + SLACK))[:, None]) & (shared[at] > 0))
+            r, d = rows[r], cols[d]
+            d2, both = np.zeros(len(r)), np.zeros(len(r))
+            for i in range(width):
+                gap = q[r, i] - donors[d, i]
+                both += ~np.isnan(gap)
+                d2 += np.where(np.isnan(gap), 0.0, gap * gap)
+            d2 *= width / both
+            n = copies[d]
+            donor = np.repeat(starts[d], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            r, d, d2 = (np.repeat(x, n) for x in (r, d, d2))
+            order = np.lexsort((rank[donor], significant(d2), r))
+            r = r[order]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else r
+            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+            keep = order[place < k]
+            found.append((r[place < k] + start, np.full(len(keep), c), donor[keep], d2[keep], donors[d[keep], c]))
+    parts = list(zip(*found)) or [[np.zeros(0)]] * 5
+    return dict(zip(("at", "c", "donor", "d2", "x"), map(np.concatenate, parts)))
+
+
+def _masked_neighbours(points: DataFrame, width: int, means: Sequence[float], k: int) -> DataFrame | None:
+    """(v, c, donor_id, d2, x, rank): the ``k`` nearest rows with a value in column ``c`` for each vector ``v`` that lacks it.
+
+    ``points`` has (id, v), NULL where a value is missing. Vectors lie in cells of pivots, with gaps at the column mean;
+    cells are merged into groups of bounded load, cut into blocks where one cell is too large. A first pass takes the groups
+    with the nearest boxes and shows how far the neighbours can be; a second one takes all groups whose box may reach so far.
+    """
+    spark, id_type = points.sparkSession, dict(points.dtypes)["id"]
+    valued = points.where(F.exists("v", F.isnotnull))
+    vectors = _distinct_vectors(valued.select(F.lit(0).alias("group"), "id", F.col("v").alias("features")), k).select(
+        "group", F.col("features").alias("v"), "ids")
+    filled = checkpointed(vectors.withColumn("features", F.array(*[
+        F.coalesce(F.col("v")[i], F.lit(float(means[i] or 0.0))) for i in range(width)])))
+    pivots = _pivot_tables(filled.select("group", "features"))
+    if not pivots:
+        return None
+    placed = checkpointed(_assign(filled, pivots, 2).select("cell", "v", "ids"))
+    # fresh column identities, since the two sides are joined
+    incomplete = placed.where(F.exists("v", F.isnull)).select(*[F.col(c).alias(c) for c in ("cell", "v")])
+    asked = _Side(incomplete, width, pivots[0], setting(spark, "neighbors.queryBlock", QUERY_BLOCK))
+    given = _Side(placed, width, pivots[0], setting(spark, "neighbors.donorBlock", DONOR_BLOCK))
+    if not len(asked.count):
+        return None
+    least = _least_masked(asked, given)
+    gaps = asked.count[:, None] - asked.values
+    first = np.zeros(least.shape, dtype=bool)
+    for g in range(len(least)):
+        order = np.argsort(least[g], kind="stable")
+        enough = (np.cumsum(given.values[order], axis=0) >= k) | (gaps[g] == 0)
+        last = np.flatnonzero(enough.all(1))
+        first[g, order[:last[0] + 1 if len(last) else len(order)]] = True
+    first &= np.isfinite(least)
+
+    def offers(wanted: np.ndarray) -> DataFrame:
+        qg, dg = np.nonzero(wanted)
+        pairs = pd.DataFrame({"qg": qg, "dg": dg, "qs": asked.blocks[qg], "ds": given.blocks[dg]})
+        pairs = F.broadcast(spark.createDataFrame(pairs, "qg int, dg int, qs int, ds int"))  # at most pivots squared
+
+        def dealt(side: _Side, group: str, own: str, other: str) -> DataFrame:
+            rows = side.vectors.withColumnRenamed("g", group).join(pairs, group)
+            return rows.withColumn(f"_{own}", F.pmod(F.xxhash64("v"), F.col(own)).cast("int")).withColumn(
+                f"_{other}", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("qs", "ds")
+        left, right = dealt(asked, "qg", "qs", "ds"), dealt(given, "dg", "ds", "qs")
+
+        def nearest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+            names = ["g", "v", "c", "donor_id", "d2", "x"]
+            d = d[d["ids"].map(len) > 0]
+            if not len(q) or not len(d):
+                return pd.DataFrame({n: [] for n in names})
+            hits = _masked_offers(_stack(q["v"]), _stack(d["v"]), list(d["ids"]), k)
+            at, donor = hits["at"].astype(int), hits["donor"].astype(int)
+            return pd.DataFrame({"g": q["qg"].to_numpy()[at], "v": q["v"].to_numpy()[at], "c": hits["c"].astype(int),
+                                 "donor_id": np.concatenate(list(d["ids"]))[donor], "d2": hits["d2"], "x": hits["x"]})
+        keys = ["qg", "dg", "_qs", "_ds"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+            nearest, f"g int, v array<double>, c int, donor_id {id_type}, d2 double, x double")
+
+    def ranked(df: DataFrame) -> DataFrame:
+        order = Window.partitionBy("v", "c").orderBy(significant_column("d2"), "donor_id")
+        return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = checkpointed(ranked(offers(first)))
+    reach = {r["g"]: (r["n"], r["far"]) for r in best.where(F.col("rank") == k).groupBy("g").agg(
+        F.count("*").alias("n"), F.max("d2").alias("far")).collect()}  # one row per group
+    # a group with a gap that has fewer than k offers yet takes every other group
+    far = np.array([reach[g][1] if g in reach and reach[g][0] == gaps[g].sum() else np.inf for g in range(len(gaps))])
+    more = np.isfinite(least) & ~first & (least * (1 - SLACK) <= far[:, None])
+    return ranked(best.drop("rank").unionByName(offers(more))) if more.any() else best
+
+
 def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str], k: int = 5) -> DataFrame:
     """Fill with the mean of the ``k`` nearest rows that have the value.
 
     Distances use the given columns that both rows have, scaled up by the share
     that is missing. Rows without any common value fall back to the column mean.
-    Rows are grouped by which columns they have; each pair of such patterns is a
-    plain nearest-neighbour search over its common columns.
+    There is no limit on columns or on the combinations of gaps. Where the boxes of
+    the cells exclude little, as in many dimensions, all blocks of rows meet.
     """
     id_col = id_col if isinstance(id_col, str) else id_col[0]
     total = aggregate_once(df, {f"{k_}{i}": e for i, c in enumerate(columns) for k_, e in (
@@ -278,43 +458,16 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
     means = {c: total[f"m{i}"] for i, c in enumerate(columns)}
     if not columns_used:
         return df
-    width = len(columns_used)
-    mask = sum((F.when(quoted(c).isNotNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-                for i, c in enumerate(columns_used)), F.lit(0).cast("long"))
-    rows = df.select(quoted(id_col).alias("id"), mask.cast("long").alias("_m"),
-                     *[F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(f"_v{i}")
-                       for i, c in enumerate(columns_used)])
-    full, q, d = (1 << width) - 1, F.col("q"), F.col("d")
-    patterns = checkpointed(rows.select("_m").distinct())
-    # which patterns share a column, and have one to give; patterns only, never rows
-    pairs = checkpointed(patterns.select(F.col("_m").alias("q")).where(q != full).crossJoin(
-        patterns.select(F.col("_m").alias("d"))).where(
-        (q.bitwiseAND(d) != 0) & (d.bitwiseAND(F.bitwise_not(q)).bitwiseAND(F.lit(full).cast("long")) != 0)))
-    best = None
-    if not pairs.isEmpty():
-        def side(own: str) -> DataFrame:
-            shared = F.col("q").bitwiseAND(F.col("d"))
-            return rows.join(pairs.withColumn("_m", F.col(own)), "_m").select(
-                F.concat_ws(":", "q", "d").alias("group"), "id",
-                F.array(*[F.when(shared.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_v{i}")).otherwise(0.0)
-                          for i in range(width)]).alias("features"))
-        near = knn_join(side("q"), side("d"), k)
-        q, d = (F.split_part("group", F.lit(":"), F.lit(n)).cast("long") for n in (1, 2))
-        scaled = F.pow("distance", F.lit(2)) * width / F.bit_count(q.bitwiseAND(d))
-        lacking = d.bitwiseAND(F.bitwise_not(q))
-        values = rows.select(F.col("id").alias("donor_id"), *[f"_v{i}" for i in range(width)])
-        offers = near.withColumn("_d2", scaled).withColumn("_lack", lacking).join(values, "donor_id").select(
-            "query_id", "donor_id", "_d2", F.explode(F.array(*[
-                F.when(F.col("_lack").bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(i).alias("c"), F.col(f"_v{i}").alias("x")))
-                for i in range(width)])).alias("o")).where(F.col("o").isNotNull()).select(
-            "query_id", "donor_id", "_d2", "o.c", "o.x")
-        order = Window.partitionBy("query_id", "c").orderBy(significant_column("_d2"), "donor_id")
-        top = offers.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k)
-        best = top.groupBy(F.col("query_id").alias("_id")).agg(*[
-            F.avg(F.when(F.col("c") == i, F.col("x"))).alias(f"_k{i}") for i in range(width)])
-    joined = df if best is None else df.join(best, quoted(id_col) == F.col("_id"), "left")
+    vector = F.transform(F.array(*[quoted(c).cast("double") for c in columns_used]), lambda x: F.nullif(x, F.lit(float("nan"))))
+    near = _masked_neighbours(df.select(quoted(id_col).alias("id"), vector.alias("v")), len(columns_used),
+                              [means[c] for c in columns_used], k)
+    joined = df
+    if near is not None:
+        best = near.groupBy(F.col("v").alias("_v")).agg(*[
+            F.avg(F.when(F.col("c") == i, F.col("x"))).alias(f"_k{i}") for i in range(len(columns_used))])
+        joined = df.withColumn("_w", vector).join(best, F.col("_w") == F.col("_v"), "left")
     return joined.withColumns({c: F.coalesce(
-        quoted(c).cast("double"), *([F.col(f"_k{i}")] if best is not None else []), F.lit(means[c]))
+        quoted(c).cast("double"), *([F.col(f"_k{i}")] if near is not None else []), F.lit(means[c]))
         for i, c in enumerate(columns_used)}).select(*[quoted(c) for c in df.columns])
 
 
@@ -372,7 +525,7 @@ def smote(df: DataFrame, id_col: str, columns: Sequence[str], target: str, k: in
     made = turn.withColumn("_copies", copies.cast("int")).where(F.col("_copies") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).join(choices, ["group", "id"])
     pick = F.pmod(F.xxhash64("id", "_copy", F.lit(seed), F.lit("neighbour")), F.size("near")).cast("int")
-    place = hash_bucket(F.concat_ws("/", F.col("id").cast("string"), F.col("_copy").cast("string")), seed) / 1000
+    place = hash_place(F.concat_ws("/", F.col("id").cast("string"), F.col("_copy").cast("string")), seed) / PLACES
     made = made.select("group", "features", F.col("near")[pick]["donor_id"].alias("_d"), place.alias("_u"))
     ends = points.select(F.col("group"), F.col("id").alias("_d"), F.col("features").alias("_f"))
     between = made.join(ends, ["group", "_d"]).select(

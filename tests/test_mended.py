@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tabwright.operators import neighbors
 from tabwright.operators.encode import encode_label
 from tabwright.operators.evaluate import confusion_matrix
+from tabwright.operators.impute import impute_mean
 from tabwright.operators.models.search import optimization_history
+from tabwright.operators.split import hash_bucket, train_test_split
 from tabwright.sources.tables import read_csv, write_csv
 
 
@@ -65,3 +67,72 @@ def test_replacement_character_in_a_utf8_file(spark, tmp_path):
     assert [r["name"] for r in read_csv(spark, str(tmp_path / "old.csv")).collect()] == ["café"]
     (tmp_path / "flat.csv").write_bytes("name,n\n".encode() + "é,1\n".encode() * 5_000)
     assert read_csv(spark, str(tmp_path / "flat.csv"), multi_line=False).count() == 5_000
+
+
+def _masked_mean(x, k):
+    """Every gap by the mean of the k nearest rows with a value there; squared differences over the shared columns, scaled up."""
+    width, out, means = x.shape[1], x.copy(), np.nanmean(x, 0)
+    for r, c in zip(*np.nonzero(np.isnan(x))):
+        square = (x[r] - x) ** 2
+        shared = (~np.isnan(square)).sum(1)
+        near = np.nansum(square, 1) * width / np.maximum(shared, 1)
+        able = np.flatnonzero((shared > 0) & ~np.isnan(x[:, c]))
+        best = able[np.lexsort((able, neighbors.significant(near[able])))[:k]]
+        out[r, c] = x[best, c].mean() if len(best) else means[c]
+    return out
+
+
+@pytest.mark.parametrize("n,width,blocks", [(500, 3, (32, 64)), (300, 12, None), (80, 70, None)])
+def test_knn_imputation_of_any_gaps(spark, n, width, blocks):
+    rng = np.random.default_rng(width)
+    x = np.round(rng.normal(size=(n, width)), 2) + 40 * rng.integers(0, 9, n)[:, None]  # clusters, so that boxes exclude some
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:3], x[10:40] = np.nan, x[10]
+    names = [f"c {i}" for i in range(width)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"`{c}` double" for c in names)).repartition(4)
+    settings = dict(zip(("tabwright.neighbors.queryBlock", "tabwright.neighbors.donorBlock"), map(str, blocks or ())))
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        got = sorted(neighbors.impute_knn(df, names, "id").collect())
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert np.allclose(np.array([r[1:] for r in got], float), _masked_mean(x, 5), rtol=1e-9)
+
+
+def test_boxes_bound_the_masked_distance():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) + 8 * rng.integers(0, 3, 60)[:, None]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    parts = np.array_split(np.argsort(np.nan_to_num(x).sum(1)), 12)
+
+    def side():
+        s = object.__new__(neighbors._Side)
+        s.count = np.array([len(p) for p in parts])
+        s.values = np.array([(~np.isnan(x[p])).sum(0) for p in parts])
+        s.low = np.array([np.where(np.isnan(x[p]), np.inf, x[p]).min(0) for p in parts])
+        s.high = np.array([np.where(np.isnan(x[p]), -np.inf, x[p]).max(0) for p in parts])
+        return s
+    least = neighbors._least_masked(side(), side())
+    assert (least > 0).any()
+    for a, p in enumerate(parts):
+        for b, q in enumerate(parts):
+            square = (x[p][:, None] - x[q][None]) ** 2
+            shared = (~np.isnan(square)).sum(2)
+            true = np.where(shared > 0, np.nansum(square, 2) * 4 / np.maximum(shared, 1), np.inf)
+            assert least[a, b] <= true.min() * (1 + 1e-12) + 1e-12
+
+
+def test_shares_below_a_thousandth(spark):
+    rows = spark.range(200_000).withColumn("k", F.col("id"))
+    assert 40 <= train_test_split(rows, "k", 0.0004).where("split = 'test'").count() <= 130
+    coarse = train_test_split(rows, "k", 0.2).where((F.col("split") == "test") != (hash_bucket(F.col("k")) < 200))
+    assert coarse.isEmpty()
+
+
+def test_filled_type_does_not_hang_on_the_mean(spark):
+    for values in [(1, 3, None), (1, 2, None)]:
+        filled = impute_mean(spark.createDataFrame([(v,) for v in values], "x int"), ["x"])
+        assert dict(filled.dtypes) == {"x": "double"} and filled.where("x is null").isEmpty()
