@@ -27,14 +27,14 @@ def significant(x: str, digits: int = 12) -> str:
     return f"(CASE WHEN {x} > 1e-280 THEN round({x} * {unit}) / {unit} ELSE {x} END)"
 
 
-def _knn_impute_sql(columns: list[str], k: int) -> str:
+def _knn_impute_sql(columns: list[str], k: int, key: str = "event_id") -> str:
     shared = " + ".join(f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in columns)
     squares = " + ".join(f"coalesce((q.{c} - d.{c}) * (q.{c} - d.{c}), 0)" for c in columns)
     parts = []
     for c in columns:
-        parts.append(f"""n_{c} AS (SELECT event_id, avg(x) AS x FROM (SELECT q.event_id, d.{c} AS x, row_number() OVER (PARTITION BY q.event_id
-          ORDER BY {significant(f'(({squares}) * {len(columns)}.0 / ({shared}))')}, d.event_id) AS rn
-          FROM nulled q JOIN nulled d ON q.{c} IS NULL AND d.{c} IS NOT NULL AND ({shared}) > 0) WHERE rn <= {k} GROUP BY event_id)""")
+        parts.append(f"""n_{c} AS (SELECT {key}, avg(x) AS x FROM (SELECT q.{key}, d.{c} AS x, row_number() OVER (PARTITION BY q.{key}
+          ORDER BY {significant(f'(({squares}) * {len(columns)}.0 / ({shared}))')}, d.{key}) AS rn
+          FROM nulled q JOIN nulled d ON q.{c} IS NULL AND d.{c} IS NOT NULL AND ({shared}) > 0) WHERE rn <= {k} GROUP BY {key})""")
     return ", ".join(parts)
 
 
@@ -51,6 +51,19 @@ def impute_knn(spark, sf):
     return round_doubles(neighbors.impute_knn(blanks(spark, sf).select("event_id", *PAIR), PAIR, "event_id"))
 
 
+DOZEN = VECTOR[:12]
+GAP = "({k} * 31 + {i} * 7) % 97 = 0 OR ({k} + {i}) % 409 < 3"  # single gaps, and rows with several
+
+
+@query("impute_knn_wide", f"""WITH nulled AS (SELECT vec_id, {', '.join(
+    f"CASE WHEN NOT ({GAP.format(k='vec_id', i=i)}) THEN embedding[{i + 1}]::DOUBLE END AS {c}" for i, c in enumerate(DOZEN))} FROM embeddings),
+  {_knn_impute_sql(DOZEN, 5, 'vec_id')} SELECT vec_id, {', '.join(f'{_knn_filled(c)} AS {c}' for c in DOZEN)}
+  FROM nulled {' '.join(f'LEFT JOIN n_{c} USING (vec_id)' for c in DOZEN)}""")
+def impute_knn_wide(spark, sf):
+    gaps = [F.when(~F.expr(GAP.format(k="vec_id", i=i)), F.col(c)).alias(c) for i, c in enumerate(DOZEN)]
+    return round_doubles(neighbors.impute_knn(vectors(spark, sf).select("vec_id", *gaps), DOZEN, "vec_id"))
+
+
 TRIO = ["value_n", "user_n", "k_n"]
 
 
