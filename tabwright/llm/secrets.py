@@ -1,9 +1,9 @@
 """Secret scanning through nested encodings.
 
 A worklist starts with the text itself. Each layer is scanned for secrets, then every way to unwrap it is tried:
-percent-encoding and backslash escapes over the whole layer, base64 runs one by one (joined over line breaks, at all four
-alignments), and compressed data (gzip, zlib) anywhere inside them. The ASCII stretches of what comes out are new layers,
-until nothing new comes out; a layer that was seen at the same place before is not followed, which ends cycles. Every character of a layer knows the span of the original text it came from, so a
+percent-encoding, backslash escapes (code points, octal and those of JSON) and character references over the whole layer,
+base64 runs one by one (joined over line breaks, at all four alignments), and compressed data (gzip, zlib) anywhere inside them.
+The ASCII stretches of what comes out, those of base64 also in UTF-16, are new layers, until nothing new comes out; a layer that was seen at the same place before is not followed, which ends cycles. Every character of a layer knows the span of the original text it came from, so a
 hit at any depth is reported as a span of the original.
 """
 
@@ -13,7 +13,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain, tee
 
@@ -33,13 +33,19 @@ KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
+                    r"|\\([0-3][0-7]{2})|\\([bfnrt/\"'\\])")
+# The short escapes of JSON and the character references that XML predefines.
+SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "/": "/", '"': '"', "'": "'", "\\": "\\"}
+NAMED = {"quot": '"', "apos": "'", "lt": "<", "gt": ">"}  # and amp, of which a chain becomes one character
+REFERENCE = re.compile(r"&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|&(quot|apos|lt|gt);|&(?:amp;)+")
 CODE = "A-Za-z0-9+/_-"
 BASE64 = re.compile(rf"(?<![{CODE}])[{CODE}]++(?:(?:[\x20\t]*+\r?\n[\x20\t]*+[{CODE}]++)++|(?<=[{CODE}]{{16}}))={{0,2}}")
 LINE_BREAK = re.compile(r"\s+")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")  # gzip, zlib without a preset dictionary
 # All patterns above are ASCII and the shortest secret, or code of one, has 12 characters.
 STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{12,}")
+WIDE = re.compile(rb"(?:[\t-\r\x20-\x7e]\0){12,}"), re.compile(rb"(?:\0[\t-\r\x20-\x7e]){12,}")  # the same in UTF-16
 ASCII_BYTES = bytes([*range(9, 14), *range(32, 127)])
 RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-= \t\r\n"
 # Decompressed data comes in pieces and is scanned in windows that overlap, extended to the start of a run cut by their end.
@@ -118,14 +124,26 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
                 width = 6 * len(c.encode("utf-16-be")) // 2
                 edits.append((at, at + width, c))
                 at += width
+        elif m[6]:
+            edits.append((m.start(), m.end(), SHORT[m[6]]))
         else:
-            point = int(m[1] or m[3] or m[4], 16)
+            point = int(m[5], 8) if m[5] else int(m[1] or m[3] or m[4], 16)
             if point < 0x110000 and not 0xD800 <= point < 0xE000:
                 edits.append((m.start(), m.end(), chr(point)))
     if edits:
         yield _rewritten(layer, edits)
 
 
+def _references(layer: Layer) -> Iterator[Layer]:
+    edits = []
+    for m in REFERENCE.finditer(layer.text):
+        point = int(m[1], 16) if m[1] else int(m[2]) if m[2] else ord(NAMED[m[3]] if m[3] else "&")
+        if point < 0x110000 and not 0xD800 <= point < 0xE000:
+            edits.append((m.start(), m.end(), chr(point)))
+    if edits:
+        yield _rewritten(layer, edits)
+
+
 def _members(pieces: Iterable[bytes]) -> Iterator[bytes]:
     """The content of all gzip or zlib members, piece by piece, up to the first damage."""
     unpack = zlib.decompressobj(47)
@@ -228,11 +246,12 @@ def _base64(layer: Layer, most: int | None) -> Iterator[Layer]:
             size = len(token) - shift
             size -= size % 4 == 1
             raw = binascii.a2b_base64(token[shift:shift + size] + "=" * (-size % 4))
-            for found in STRETCH.finditer(raw):
-                byte = np.arange(found.start(), found.end() + 1)  # three bytes come from four characters
+            for found, width, letter in chain(((f, 1, 0) for f in STRETCH.finditer(raw)), (
+                    (f, 2, i) for i, wide in enumerate(WIDE) if b"\0" in raw for f in wide.finditer(raw))):
+                byte = np.arange(found.start(), found.end() + 1, width)  # three bytes come from four characters
                 first = place(shift + byte[:-1] * 4 // 3)
                 last = place(shift + -(-byte[1:] * 4 // 3) - 1)
-                yield Layer(found[0].decode("ascii"), first if layer.start is None else layer.start[first],
+                yield Layer(found[0][letter::width].decode("ascii"), first if layer.start is None else layer.start[first],
                             last + 1 if layer.end is None else layer.end[last])
             done = 0
             for found in PACKED.finditer(raw):
@@ -264,6 +283,8 @@ def _unwrapped(layer: Layer, most: int | None) -> Iterator[Layer]:
         yield from _percent(layer)
     if "\\" in layer.text:
         yield from _escapes(layer)
+    if "&" in layer.text:
+        yield from _references(layer)
     yield from _base64(layer, most)
 
 

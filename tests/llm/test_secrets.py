@@ -117,3 +117,28 @@ def test_redaction(spark, make_docs):
     docs = make_docs([(1, None), (2, "a token=abcdefg b"), (3, "clean")])
     got = {r.doc_id: (r.text, r.n_chars) for r in redact_secrets(docs).collect()}
     assert got == {1: (None, None), 2: ("a [SECRET] b", 12), 3: ("clean", 5)}
+
+
+def test_further_escapes_references_and_wide_text():
+    secret = "password=hunter2222"
+    wrap = base64.encodebytes(secret.encode() * 6).decode()
+    cases = ["".join(f"&#{ord(c)};" for c in secret), "".join(f"&#x{ord(c):x};" for c in secret),
+             "".join(f"\\{ord(c):03o}" for c in secret), "{\\\"password\\\": \\\"hunter2222\\\"}",
+             "password&quot;:&quot;hunter2222&quot;", base64.b64encode(secret.encode("utf-16")).decode(),
+             base64.b64encode(secret.encode("utf-16-le")).decode(), base64.b64encode(b"x" + secret.encode("utf-16-be")).decode(),
+             "".join(f"&amp;#{ord(c)};" for c in secret), wrap.replace("\n", "\\n"),
+             base64.b64encode(("??>" * 7 + secret).encode()).decode().replace("/", "\\/")]
+    for code in cases:
+        text = f"see {code} end"
+        base, spans = scan(text)
+        assert spans and any(k == 0 and 4 <= a < b <= 4 + len(code) for a, k, b in spans), code
+        assert set(base) <= set(spans)
+    text = "see " + cases[2] + " end"
+    assert (4, 0, 4 + len(cases[2])) in scan(text)[1]
+    narrow = scan("see " + cases[6] + " end")[1]
+    assert narrow == [(4, 0, 4 + len(cases[6].rstrip("=")))]
+
+
+def test_odd_escapes_end():
+    for text in ["\\", "\\\\" * 5000, "&#;&#x;&#9999999;&#xD800;", "\\777\\400", "&amp;" * 3000, "&" + "amp;" * 20_000, "C:\\new\\table\\x"]:
+        assert scan(text) == ([], [])
