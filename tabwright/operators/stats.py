@@ -7,11 +7,13 @@ partitioned, so that a key holding most of the table is spread over many slabs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabwright.functions.columns import is_numeric, melt, quoted
+from tabwright.operators.ranks import values_at
 from tabwright.session import checkpointed, setting
 
 LOOKUP_ROWS = 100_000  # largest lookup table that is broadcast
@@ -103,10 +105,13 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequ
                       by: Sequence[str] = ()) -> DataFrame:
     """(by, column, quantiles): exact quantiles with linear interpolation; NULL for a group without values.
 
-    Values are counted, range partitioned and summed up per slab. The ranks of the
+    Whole columns are searched by cuts (see ``ranks``). Of groups, values are counted, range partitioned and summed up per slab. The ranks of the
     probabilities then become rows of the slab they fall into, and one running pass
     over the slab gives each the value at its place. Other slabs are not read again.
     """
+    if not by:
+        found = quantiles(df, columns, probabilities)
+        return df.sparkSession.createDataFrame([(c, found[c]) for c in found], "column string, quantiles array<double>")
     keys = [*by, "column"]
     cells = melt(df, {c: quoted(c).cast("double") for c in columns}, by)
     # the missing values of a group count 0, but keep the group
@@ -137,10 +142,20 @@ def grouped_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequ
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float] | None]:
-    """Exact quantiles of whole columns, as driver scalars."""
-    found = {r["column"]: r["quantiles"] for r in grouped_quantiles(df.select(*[quoted(c) for c in columns]), columns,
-                                                                   probabilities).collect()}
-    return {c: found.get(c) for c in columns}
+    """Exact quantiles of whole columns with linear interpolation, as driver scalars; None without values."""
+    columns = list(dict.fromkeys(columns))
+
+    def ranks(total: int) -> list[int]:
+        places = [p * (total - 1) for p in probabilities]
+        return [math.floor(x) for x in places] + [math.ceil(x) for x in places]
+
+    def quantile(found: dict[int, float], place: float) -> float:
+        low, high = found[math.floor(place)], found[math.ceil(place)]
+        return low if low == high or math.isnan(low) else low + (place - math.floor(place)) * (high - low)
+    result = {}
+    for c, (total, found) in values_at(df.select(*[quoted(c) for c in columns]), columns, ranks).items():
+        result[c] = [quantile(found, float(p) * (total - 1)) for p in probabilities] if total else None
+    return result
 
 
 def mode_field(dtype: T.DataType) -> str:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import none_missing
-from tabwright.operators import impute, missing, neighbors, scale, stats
+from tabwright.operators import impute, missing, neighbors, ranks, scale, stats
 from tabwright.operators.evaluate import roc_auc
 from tabwright.operators.profile import describe_numeric
 
@@ -44,6 +44,53 @@ def test_quantiles_without_values(spark):
     assert stats.quantiles(df.limit(0), ["v"], [0.5]) == {"v": None}
 
 
+@pytest.fixture
+def tight(spark, monkeypatch):
+    """Few values may be gathered, so that parts are cut again and again."""
+    monkeypatch.setattr(ranks, "PER_RANK", 60)
+    spark.conf.set("tabwright.ranks.gathered", "1")
+    yield
+    spark.conf.unset("tabwright.ranks.gathered")
+
+
+def test_ranks_by_cuts(spark, tight):
+    rng = np.random.default_rng(5)
+    n = 60_000
+    pdf = pd.DataFrame({"normal": rng.normal(size=n), "one": np.full(n, 2.0), "whole": rng.integers(0, 30_000, n).astype(float),
+                        "tied": np.where(rng.random(n) < 0.6, 5.0, rng.normal(size=n) * 10),
+                        "ends": np.select([rng.random(n) < 0.3, rng.random(n) < 0.2], [np.inf, -np.inf], rng.normal(size=n))})
+    df = spark.createDataFrame(pdf)
+    wanted = [0, 1, 17, n // 4, n // 2, n // 2 + 1, n - 30, n - 1]
+    got = ranks.values_at(df, list(pdf), lambda total: wanted)
+    for c in pdf:
+        assert got[c] == (n, dict(zip(wanted, np.sort(pdf[c])[wanted])))
+    grid = np.linspace(0, 1, 300)
+    assert stats.quantiles(df, ["normal"], grid)["normal"] == pytest.approx(list(pdf["normal"].quantile(grid)))
+
+
+def test_ranks_with_gaps_and_nan(spark, tight):
+    df = spark.range(5000).select(F.expr("case when id % 4 = 0 then double('nan') when id % 4 = 1 then null else id end").alias("v"),
+                                  F.lit(None).cast("double").alias("none"))
+    got = ranks.values_at(df, ["v", "none"], lambda total: [0, total // 2, total - 1])
+    total, found = got["v"]
+    assert total == 3750 and found[0] == 2.0 and found[1875] == 3751.0 and np.isnan(found[3749])
+    assert got["none"] == (0, {})
+
+
+def test_a_wrong_sketch_costs_a_pass_only(skewed, monkeypatch, tight):
+    df, pdf = skewed
+    right, calls = ranks._sketch, []
+
+    def wrong(*args):
+        calls.append(args)
+        shift = 1.0 if len(calls) == 1 else 0.0
+        return [(s, counts, {p: (v - shift, w) for p, (v, w) in inside.items()}) for s, counts, inside in right(*args)]
+    monkeypatch.setattr(ranks, "_sketch", wrong)
+    spread = pdf["v"].to_numpy()
+    assert stats.quantiles(df, ["v"], [0.0, 0.3, 0.9])["v"] == pytest.approx(list(np.quantile(spread, [0.0, 0.3, 0.9])))
+    assert len(calls) > 1
+
+
 def test_modes_keep_the_type(spark):
     from decimal import Decimal
     big = 2 ** 53 + 1
@@ -64,8 +111,8 @@ def test_positions_and_ranks(skewed):
     want = pdf.sort_values(["v", "id"])["id"].tolist()
     assert [got[i] for i in want] == list(range(len(want)))
     cells = df.groupBy(F.col("v").alias("value")).agg(F.count("*").alias("n"))
-    ranks = {r["value"]: r["rank"] for r in stats.average_ranks(cells).collect()}
-    assert pdf["v"].map(ranks).tolist() == pdf["v"].rank().tolist()
+    mean_ranks = {r["value"]: r["rank"] for r in stats.average_ranks(cells).collect()}
+    assert pdf["v"].map(mean_ranks).tolist() == pdf["v"].rank().tolist()
 
 
 def test_interpolation_across_slabs(skewed):
