@@ -6,7 +6,8 @@ index of a shard is the Burrows-Wheeler transform of the symbols in a wavelet ma
 sixteenth suffix position. All test phrases are searched backward together; the rows found walk back to a sampled
 position, which locates the occurrences, and their spans are merged.
 
-The benchmark is sent to the tasks in blocks of bounded size, one pass for each; spans add up along the passes.
+The benchmark is sent to the tasks in blocks of bounded size, one pass and one block at a time. What a block hits depends on
+a text alone: all passes but the last write the spans found under the digest of the text, and the last one adds them.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from tabwright.llm.common import LOWER, columns_of, pieces_of, table, texts
+from tabwright.llm.common import LOWER, columns_of, pieces_of, table, texts, written
 from tabwright.llm.registry import query
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")  # fixed value, over UTF-8 bytes
@@ -181,52 +184,92 @@ def benchmark_blocks(benchmark: DataFrame, size: int = 4 << 20) -> Iterator[list
         yield [(r.doc_id, bytes(r.text)) for r in part.collect()]
 
 
+FOUND = "spans binary, items array<long>"
+
+
+def key_of(text: bytes | None) -> bytes:
+    return hashlib.sha256(text or b"").digest()
+
+
+def _searched(rows: DataFrame, block: list, width: int, hits_only: bool) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, n_words, key, spans, items) of every row, or (key, spans, items) of those with a hit, for one block."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, width)
+        for piece in pieces_of(batches, rows=8_000, size=16 << 20):
+            ids, raw = columns_of(piece, "doc_id", "text")
+            words = [words_of(t) for t in raw]
+            spans, items = find_phrases(words, phrases)
+            take = [i for i in range(len(raw)) if len(spans[i]) or not hits_only]
+            found = [pa.array([key_of(raw[i]) for i in take], pa.binary()),
+                     pa.array([spans[i].astype(np.int64).tobytes() for i in take], pa.binary()),
+                     pa.array([sorted(items[i]) for i in take], pa.list_(pa.int64()))]
+            names = ["key", "spans", "items"]
+            if not hits_only:
+                found += [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64())]
+                names += ["doc_id", "n_words"]
+            yield pa.RecordBatch.from_arrays(found, names=names)
+    return rows.mapInArrow(run, f"key binary, {FOUND}" + ", doc_id long, n_words long" * (not hits_only)), shared
+
+
+def _earlier_hits(docs: DataFrame, benchmark: DataFrame, width: int) -> tuple[list[DataFrame], list]:
+    """The written hits of all blocks but the last, each searched and freed before the next is fetched; and the last block."""
+    rows, tables = texts(docs), []
+    blocks = benchmark_blocks(benchmark)
+    block = next(blocks)
+    for following in blocks:
+        hits, shared = _searched(rows, block, width, True)
+        tables.append(written(hits, "benchmark-hits"))
+        shared.destroy()
+        block = following
+    return tables, block
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, the merged spans of words hit, and the ids of items that occur.
 
     ``benchmark`` has item_id and text. Rows without a text have no words; items without id or words are ignored, equal
     ids are one item. Null and repeated doc_ids are rows like any other; an empty benchmark hits nothing.
     """
-    state = "n_words long, spans binary, items array<long>"
-    current = texts(docs).selectExpr("doc_id", "text", "0L as n_words", "cast('' as binary) as spans",
-                                     "cast(array() as array<bigint>) as items")
-    blocks = list(benchmark_blocks(benchmark))
-    for k, block in enumerate(blocks):
-        keep_text, shared = k < len(blocks) - 1, docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], keep_text=keep_text, shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, width)
-            for piece in pieces_of(batches, rows=8_000, size=16 << 20):
-                ids, raw, before, items = columns_of(piece, "doc_id", "text", "spans", "items")
-                words = [words_of(t) for t in raw]
-                new_spans, new_items = find_phrases(words, phrases)
-                spans = [merged(np.concatenate([np.frombuffer(old, np.int64).reshape(-1, 2), new])).tobytes()
-                         for old, new in zip(before, new_spans)]
-                columns = [pa.array(ids, pa.int64()), pa.array([len(w) for w in words], pa.int64()),
-                           pa.array(spans, pa.binary()),
-                           pa.array([sorted({*old, *new}) for old, new in zip(items, new_items)], pa.list_(pa.int64()))]
-                names = ["doc_id", "n_words", "spans", "items"]
-                if keep_text:
-                    columns.append(pa.array(raw, pa.binary()))
-                    names.append("text")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-        current = current.mapInArrow(run, f"doc_id long, {state}" + ", text binary" * keep_text)
-    return current.select("doc_id", "n_words", "spans", "items")
+    tables, block = _earlier_hits(docs, benchmark, width)
+    found = _searched(texts(docs), block, width, False)[0]
+    if not tables:
+        return found.select("doc_id", "n_words", "spans", "items")
+    # equal texts gave equal hits in a block, so a text has one entry for each block at most
+    earlier = reduce(DataFrame.unionByName, [t.dropDuplicates(["key"]) for t in tables]).groupBy("key").agg(
+        F.collect_list("spans").alias("more_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("more_items"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, spans, items, more_spans, more_items = columns_of(
+                batch, "doc_id", "n_words", "spans", "items", "more_spans", "more_items")
+            total = [merged(np.frombuffer(b"".join([a, *(more or [])]), np.int64).reshape(-1, 2)).tobytes()
+                     for a, more in zip(spans, more_spans)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.binary()),
+                pa.array([sorted({*a, *(more or [])}) for a, more in zip(items, more_items)], pa.list_(pa.int64()))],
+                names=["doc_id", "n_words", "spans", "items"])
+    return found.join(earlier, "key", "left").mapInArrow(add, f"doc_id long, n_words long, {FOUND}")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with all their columns; each row is judged by its own text."""
-    for block in benchmark_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, width)
-            for piece in pieces_of(batches, rows=8_000, size=16 << 20):
-                raw = piece.column(piece.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
-                spans, _ = find_phrases([words_of(t) for t in raw], phrases)
-                yield piece.filter(pa.array([not len(x) for x in spans], pa.bool_()))
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    tables, block = _earlier_hits(docs, benchmark, width)
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, width)
+        for piece in pieces_of(batches, rows=8_000, size=16 << 20):
+            raw = piece.column(piece.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+            spans, _ = find_phrases([words_of(t) for t in raw], phrases)
+            yield piece.filter(pa.array([not len(x) for x in spans], pa.bool_()))
+    left = docs.mapInArrow(run, docs.schema)
+    if not tables:
+        return left
+    gone = reduce(DataFrame.unionByName, [t.select(F.lower(F.hex("key")).alias("_gone")) for t in tables]).distinct()
+    digest = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
+    return left.join(gone, digest == F.col("_gone"), "left_anti")
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

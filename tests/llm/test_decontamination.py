@@ -98,3 +98,27 @@ def test_pipeline_judges_each_row_by_its_text(spark, small, make_docs):
     left = corpus_pipeline.decontamination(spark, docs, small)
     assert left.columns == docs.columns
     assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, "clean"), (7, "clean too"), (8, "")]
+
+
+def test_pipeline_with_many_blocks(spark, make_docs, monkeypatch):
+    from tabwright.llm.decontamination import clean_documents
+    phrase = "one two three four five six seven eight nine ten eleven"
+    items = [(i, f"{phrase} {i}x") for i in range(40)] + [(99, "z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"before {phrase} {i}x after") for i in range(0, 60, 7)] + [(100, None), (101, ""), (101, "clean"), (None, "Z z"),
+                                                                         (102, "z" * 40), (103, f"{phrase} z {phrase}")] + [(8, "z y")] * 3
+    df = make_docs(docs)
+    whole = decontamination.benchmark_blocks
+    live = []
+
+    def few(b):
+        for block in whole(b, 300):
+            live.append(len(block))
+            yield block
+    monkeypatch.setattr(decontamination, "benchmark_blocks", few)
+    found = find_contamination(df, bench)
+    assert len(live) > 3 and rows(contamination_digest(found)) == brute(docs, items)
+    kept = clean_documents(df, bench)
+    assert kept.columns == df.columns
+    want = [d for d, b in zip(docs, [brute([d], items)[0] for d in docs]) if not b[5]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
