@@ -13,7 +13,9 @@ A byte-level BPE tokenizer is compiled into a cascade of two deterministic trans
    characterisation of BPE prefixes. States are compiled when text first reaches them, and shared by all words with the
    same ending, so their number levels off.
 
-All pre-tokens of a batch step through the second machine together.
+All pre-tokens of a batch step through the second machine together. Long ones are cut into chunks, which are lanes of their
+own: a chunk maps the state it is entered in to the one it is left in, the maps compose along the pre-token, and a chunk is
+read again only while the state that enters it still changes.
 """
 
 from __future__ import annotations
@@ -114,13 +116,59 @@ def pretoken_starts(classes: np.ndarray, chunk: int = 256) -> np.ndarray:
     return starts[:n]
 
 
+class Transitions:
+    """Open-addressing table from state * 256 + byte to (state reached, change in tokens), looked up for many keys at once."""
+
+    def __init__(self, bits: int = 21):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int64)
+        self.used = 0
+
+    def full(self) -> bool:
+        return 2 * self.used > self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """state * 256 + change + 128 of each key, or -1."""
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        values = self.values[slots]
+        other = np.flatnonzero(held != keys)
+        while len(other):
+            empty = held[other] < 0
+            values[other[empty]] = -1
+            other = other[~empty]
+            slots[other] = (slots[other] + 1) & self.mask
+            held[other] = self.keys[slots[other]]
+            values[other] = self.values[slots[other]]
+            other = other[held[other] != keys[other]]
+        return values
+
+    def widen(self) -> None:
+        held = self.keys >= 0
+        keys, values = self.keys[held].tolist(), self.values[held].tolist()
+        self.__init__(self.mask.bit_length() + 1)
+        self.add(keys, values)
+
+    def add(self, keys: list[int], values: list[int]) -> None:
+        """New keys; they are distinct."""
+        for key, slot, value in zip(keys, self._slots(np.array(keys, np.int64)).tolist(), values):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.keys[slot], self.values[slot] = key, value
+        self.used += len(keys)
+
+
 class TokenMachine:
-    """The second transducer of one tokenizer, compiled on demand; cleared between batches beyond ``most`` states."""
+    """The second transducer of one tokenizer, compiled on demand; forgotten between batches beyond ``most`` states."""
 
-    def __init__(self, path: str, most: int = 60_000):
+    def __init__(self, path: str, most: int = 250_000, chunk: int = 512):
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.most = tokenizer.model, most
+        self.model, self.most, self.chunk = tokenizer.model, most, chunk
         self.specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
@@ -129,25 +177,24 @@ class TokenMachine:
         self.vocabulary = {t: i for t, i in tokenizer.get_vocab(with_added_tokens=False).items()}
         self.text_of = {i: t for t, i in self.vocabulary.items()}
         self.begins = {t[:k] for t in self.vocabulary for k in range(1, len(t) + 1)}
-        self.apart: dict[tuple[int, int], bool] = {}
         self.clear()
 
     def clear(self) -> None:
         start = ("", ((0, -1, 0),))  # (suffix, ((position, last token, count relative to the end), ...))
         self.ids, self.states = {start: 0}, [start]
-        self.next = np.full((1_024, 256), -1, np.int32)
-        self.change = np.zeros((1_024, 256), np.int8)
+        self.steps = Transitions()
+        self.apart: dict[int, bool] = {}
 
     def _stay_apart(self, left: int, right: int) -> bool:
         if left < 0:
             return True
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << 32 | right)
         if known is None:
             found = self.model.tokenize(self.text_of[left] + self.text_of[right])
-            known = self.apart[left, right] = [t.id for t in found] == [left, right]
+            known = self.apart[left << 32 | right] = [t.id for t in found] == [left, right]
         return known
 
-    def _compile(self, state: int, byte: int) -> None:
+    def _compile(self, state: int, byte: int) -> int:
         suffix, known = self.states[state]
         text = suffix + self.names[byte]
         for position, last, count in known:  # from the longest suffix on
@@ -163,34 +210,50 @@ class TokenMachine:
         if reached not in self.ids:
             self.ids[reached] = len(self.states)
             self.states.append(reached)
-            if len(self.states) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.change = np.concatenate([self.change, np.zeros_like(self.change)])
-        self.next[state, byte] = self.ids[reached]
-        self.change[state, byte] = change
+        return self.ids[reached] * 256 + change + 128
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each pre-token data[start:start + length]."""
-        if len(self.states) > self.most:
-            self.clear()
+    def _read(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens added by, and state after, each data[start:start + length] entered in the state ``entry``."""
         order = np.argsort(-lengths, kind="stable")
         at, sizes = starts[order], lengths[order]
-        state, tokens = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        state, tokens = entry[order].astype(np.int64), np.zeros(len(order), np.int64)
         active, j = int((sizes > 0).sum()), 0
         while active:
-            here, byte = state[:active], data[at[:active] + j]
-            reached = self.next[here, byte]
+            keys = state[:active] * 256 + data[at[:active] + j]
+            reached = self.steps.find(keys)
             if (missing := reached < 0).any():
-                for pair in np.unique(here[missing].astype(np.int64) * 256 + byte[missing]).tolist():
-                    self._compile(*divmod(pair, 256))
-                reached = self.next[here, byte]
-            tokens[:active] += self.change[here, byte]
-            state[:active] = reached
+                pairs = np.unique(keys[missing]).tolist()
+                self.steps.add(pairs, [self._compile(*divmod(pair, 256)) for pair in pairs])
+                if self.steps.full():
+                    self.steps.widen()
+                reached = self.steps.find(keys)
+            tokens[:active] += (reached & 255) - 128
+            state[:active] = reached >> 8
             j += 1
             active = int(np.searchsorted(-sizes[:active], -j, "left"))
-        out = np.empty_like(tokens)
-        out[order] = tokens
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return tokens[back], state[back]
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token data[start:start + length]."""
+        if len(self.states) > self.most:
+            self.clear()
+        pieces = np.maximum(1, -(-lengths // self.chunk))
+        owner = np.repeat(np.arange(len(lengths)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = starts[owner] + within * self.chunk
+        size = np.minimum(self.chunk, lengths[owner] - within * self.chunk)
+        entry = np.zeros(len(owner), np.int64)
+        tokens, left = self._read(data, at, size, entry)
+        while True:  # each turn settles at least the next chunk of every pre-token
+            enters = np.where(within > 0, np.concatenate([[0], left[:-1]]), 0)
+            again = np.flatnonzero(enters != entry)
+            if not len(again):
+                break
+            entry = enters
+            tokens[again], left[again] = self._read(data, at[again], size[again], entry[again])
+        return np.bincount(owner, tokens, len(lengths)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)

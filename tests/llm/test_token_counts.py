@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabwright.llm.token_counts import (batch_counts, character_classes, count_tokens, op9_token_counts,
-                                        pretoken_starts, token_machine)
+from tabwright.llm.token_counts import (TokenMachine, Transitions, batch_counts, character_classes, count_tokens,
+                                        op9_token_counts, pretoken_starts, token_machine)
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -41,6 +41,27 @@ def test_chunk_length_does_not_matter():
         assert (pretoken_starts(kinds, chunk) == whole).all()
 
 
+def test_long_pretokens_by_chunk_maps():
+    rng = random.Random(5)
+    items = ["a" * 30_001, "ab" * 9_000, "the" * 7_000, "".join(rng.choices("theinganditos", k=20_000)), "=" * 12_345, " " * 10_000,
+             "é" * 5_000, "".join(rng.choices("日本語", k=4_000)), "".join(rng.choices("ACGT", k=15_000)), "word"]
+    assert counts(items) == want(items)
+    small, classes = TokenMachine(PATH, most=500, chunk=7), np.frombuffer(character_classes(PATH), np.uint8)
+    for _ in range(2):  # the second time after the states were forgotten
+        assert batch_counts([i[:900] for i in items], small, classes).tolist() == want([i[:900] for i in items])
+
+
+def test_transitions():
+    table, rng = Transitions(6), random.Random(1)
+    pairs = {rng.randrange(1 << 40): i for i in range(400)}
+    for key, value in pairs.items():
+        table.add([key], [value])
+        if table.full():
+            table.widen()
+    keys = np.array([*pairs, *(k + 1 for k in pairs)], np.int64)
+    assert table.find(keys).tolist() == [pairs.get(k, -1) for k in keys.tolist()] and table.mask > 63
+
+
 def test_query_matches_tokenizer(spark, small):
     rows = {r.doc_id: r for r in op9_token_counts(spark, small).collect()}
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
