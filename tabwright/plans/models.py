@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import round_doubles
+from tabwright.functions.texts import count_texts
 from tabwright.operators.impute import impute_mean
 from tabwright.operators.models import boost, classify, regress, stack
 from tabwright.operators.models.recipe import Task, train_classifier, train_regressor
@@ -18,16 +21,19 @@ from tabwright.streaming import score
 TEXT_FEATURES = ["words", "lines", "digits", "capitals", "stops", "word_length"]
 
 
+ROWS_PER_TASK = 20_000  # counted texts
+
+
 def texts(spark, sf):
-    """(doc_id, quality, n_chars and simple counts over the whole text) of the labelled documents."""
+    """(doc_id, quality, n_chars and simple counts over the whole text) of the labelled documents.
+
+    A file is read by as many tasks as it has row groups; the counts are dealt out again where those are few for the rows.
+    """
     d = load_table(spark, sf, "documents")
-    t = F.col("text")
-    counted = d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-                       F.size(F.split(t, r"\s+")).cast("double").alias("words"),
-                       F.size(F.split(t, "\n")).cast("double").alias("lines"),
-                       F.length(F.regexp_replace(t, "[^0-9]", "")).cast("double").alias("digits"),
-                       F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("capitals"),
-                       F.length(F.regexp_replace(t, "[^.!?]", "")).cast("double").alias("stops"))
+    counted = count_texts(d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "text"))
+    tasks = ceil(d.count() / ROWS_PER_TASK)
+    if tasks > counted.rdd.getNumPartitions():
+        counted = counted.repartition(tasks, "doc_id")
     return counted.withColumn("word_length", F.col("n_chars") / F.col("words"))
 
 
