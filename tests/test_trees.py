@@ -222,3 +222,25 @@ def test_bins_and_empty_tables(spark):
     assert {tuple(r["_bins"]) for r in table} == {(int(np.searchsorted(edges[0], v)), 0) for v in range(7)} and len(edges[1]) == 1
     empty = trees.binned(rows.limit(0), "id", ["a", "b"], "y", edges)
     assert trees.out_of_fold(empty, 2, [(Spec("forest", trees=2), 0)], 4).collect() == []
+
+
+def test_models_stay_small(spark, tmp_path):
+    """A forest comes back in parts and holds what scoring needs: about ten bytes a node, not the sums it was grown by."""
+    import pickle
+
+    rows = spark.range(3_000).select("id", (F.col("id") % 61).cast("double").alias("a"), (F.col("id") * 37 % 101).cast("double").alias("b"),
+                                     (F.xxhash64("id") % 1000).cast("double").alias("y"))
+    spec = Spec("forest", trees=40, depth=12, rows="bootstrap")
+    model = trees.fit_model(rows, "id", ["a", "b"], "y", spec)
+    nodes = sum(len(n.feature) for n, _ in model.grown.steps)
+    assert nodes > 10_000 and len(pickle.dumps(model.grown)) < 16 * nodes
+    data = trees._collected(trees.binned(rows.withColumn("_fold", F.lit(0)), "id", ["a", "b"], "y", model.edges), 2, 64)
+    every = np.arange(len(data.label))
+    out = trees.scores(spec, model.grown, data.bins, every) + model.centre
+    assert np.allclose(out, fit_predict(spec, data, every, every))
+    stage = trees.TreeStage(model, "p")
+    assert not stage.isSet("ensemble")
+    stage.write().save(f"{tmp_path}/stage")
+    again = trees.TreeStage.load(f"{tmp_path}/stage")
+    assert again.uid == stage.uid
+    assert again.transform(rows).select("p").collect() == stage.transform(rows).select("p").collect()
