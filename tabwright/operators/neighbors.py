@@ -4,8 +4,9 @@ The join follows the pivot partitioning of Lu et al., "Efficient Processing of k
 Nearest Neighbor Joins using MapReduce" (VLDB 2012): every vector belongs to the
 cell of its nearest pivot; distances to the pivots bound how far the neighbours
 of a query cell can lie, and a donor travels only to the cells it could serve.
-Equal vectors are joined once. Cells are cut into blocks of bounded size on both
-sides, so that neither a dense cell nor a vector shared by a third of the rows ends
+Equal vectors are joined once. Neighbouring query cells are merged up to a block, so
+that a donor which serves many cells, as in many dimensions, travels once for all of
+them; large cells are cut into blocks of bounded size on both sides, so that neither a dense cell nor a vector shared by a third of the rows ends
 up in one task, and each block pair sends on its best k only.
 """
 
@@ -26,8 +27,10 @@ from tabwright.session import checkpointed, setting
 
 MAX_PIVOTS = 65_536  # of one round; the pivots travel with the task closures
 PIVOTS_PER_GROUP = 512
-QUERY_BLOCK = 4_096  # vectors of one block pair
-DONOR_BLOCK = 16_384
+QUERY_BLOCK = 16_384  # vectors of one block pair
+DONOR_BLOCK = 65_536
+MASKED_BLOCKS = 4_096, 16_384  # the same where values are missing
+AT_ONCE = 4_000_000  # distances in memory at once
 TIE_DIGITS = 12  # squared distances equal to this many significant digits are ties, settled by id
 SLACK = 1e-9  # relative margin of the pruning bounds against rounding
 
@@ -123,12 +126,30 @@ def _bounds(queries: DataFrame, donors: DataFrame, pivots: dict, k: int, p: int)
     return result
 
 
-def _targets(donors: DataFrame, pivots: dict, bounds: dict, p: int) -> DataFrame:
-    """Add ``serves``: the query cells a donor could have a neighbour in."""
+def _merged_cells(queries: DataFrame, pivots: dict, limit: int) -> dict:
+    """Per group, the number of the merged cell that each cell belongs to: neighbouring ones of at most ``limit`` vectors."""
+    load: dict = {}
+    for r in queries.groupBy("group", "cell").agg(F.count("*").alias("n")).collect():  # one row per pivot
+        load.setdefault(r["group"], {})[r["cell"]] = r["n"]
+    result = {}
+    for g, sizes in load.items():
+        cells = np.array(sorted(sizes))
+        result[g] = np.full(len(pivots[g]), -1)
+        for i, part in enumerate(_cell_groups(cells, np.array([sizes[c] for c in cells]), pivots[g], limit)):
+            result[g][part] = i
+    return result
+
+
+def _targets(donors: DataFrame, pivots: dict, bounds: dict, parts: dict, p: int) -> DataFrame:
+    """Add ``serves``: the merged query cells a donor could have a neighbour in."""
     @F.pandas_udf("array<int>")
     def serves(group: pd.Series, features: pd.Series, cell: pd.Series) -> pd.Series:
         out = np.empty(len(group), dtype=object)
         for g, at in _by_group(group):
+            if g not in parts:  # no queries
+                for row in at:
+                    out[row] = np.zeros(0, "int32")
+                continue
             table, (u, theta, between) = pivots[g], bounds[g]
             for start in range(0, len(at), 1024):
                 part = at[start:start + 1024]
@@ -142,17 +163,51 @@ def _targets(donors: DataFrame, pivots: dict, bounds: dict, p: int) -> DataFrame
                         plane = np.where(gap > 0, (d ** 2 - d[np.arange(len(part)), own][:, None] ** 2) / (2 * gap), -np.inf)
                     keep &= plane <= theta[None, :] + margin
                 for row, mask in zip(part, keep):
-                    out[row] = np.flatnonzero(mask).astype("int32")
+                    out[row] = np.unique(parts[g][mask]).astype("int32")
         return pd.Series(out)
     return donors.withColumn("serves", serves("group", "features", "cell"))
 
 
-def _best(distances: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the entries that can be among the k smallest of their row, ties included."""
-    if distances.shape[1] <= k:
+def _best(distances: np.ndarray, k: int, error: np.ndarray | float = 0.0, finite: bool = True) -> np.ndarray:
+    """Mask of the entries that can be among the k smallest of their row, ties included; each may be off by ``error``.
+
+    The least values of many stretches of columns bound the k-th smallest of the row from above, if all are ``finite``.
+    """
+    n = distances.shape[1]
+    if n <= k:
         return np.ones_like(distances, dtype=bool)
-    cut = np.partition(distances, k - 1, axis=1)[:, k - 1]
-    return distances <= (cut + SLACK * (1 + cut))[:, None]
+    stretch = max(1, n // (16 * k)) if finite else 1
+    least = np.minimum.reduceat(distances, np.arange(0, n, stretch), axis=1) if stretch > 1 else distances
+    cut = np.partition(least, k - 1, axis=1)[:, k - 1]
+    return distances <= (cut + 2 * error + SLACK * (1 + np.abs(cut)))[:, None]
+
+
+def _nearest_pairs(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b``, and their squared distance: all pairs that can be among the k nearest of a row of ``a``.
+
+    One matrix product ranks Euclidean distances with a bound of its error; what it leaves open is measured again by coordinates.
+    """
+    centre = b.mean(axis=0)
+    x, y = a - centre, b - centre
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    given = np.column_stack([y, yy]).T
+    error = 1e-15 * (a.shape[1] + 16) * 4 * (xx + yy.max()) + 1e-15 * a.shape[1] * (a * a).max(1, initial=0.0)
+    error += 1e-15 * a.shape[1] * (centre * centre).max(initial=0.0)
+    finite, found, size = bool(np.isfinite(error).all()), [], max(1, AT_ONCE // len(b))
+    for start in range(0, len(a), size):
+        stop = min(len(a), start + size)
+        if p == 1 or not finite:
+            row, col = np.nonzero(_best(_distances(a[start:stop], b, p), k, finite=finite))
+        else:
+            rough = np.column_stack([-2 * x[start:stop], np.ones(stop - start)]) @ given
+            row, col = np.nonzero(_best(rough, k, error[start:stop] + SLACK * xx[start:stop]))
+        found.append((row + start, col))
+    row, col = (np.concatenate(f) for f in zip(*found))
+    exact = np.zeros(len(row))
+    for i in range(a.shape[1]):
+        d = a[row, i] - b[col, i]
+        exact += d * d if p == 2 else np.abs(d)
+    return row, col, exact if p == 2 else exact * exact
 
 
 def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, p: int = 2) -> DataFrame:
@@ -173,11 +228,16 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     query_vectors = checkpointed(_assign(queries.groupBy("group", "features").agg(F.min("id").alias("vid")), pivots, p))
     placed = _assign(donor_vectors, pivots, p)
     bounds = _bounds(query_vectors, placed, pivots, need, p)
-    located = checkpointed(_targets(placed, pivots, bounds, p)).drop("cell", "reach").withColumn(
-        "cell", F.explode("serves")).drop("serves")
-    # blocks of bounded size on both sides of a cell
     spark = queries.sparkSession
     qb, db = setting(spark, "neighbors.queryBlock", QUERY_BLOCK), setting(spark, "neighbors.donorBlock", DONOR_BLOCK)
+    parts = _merged_cells(query_vectors, pivots, qb)
+    located = checkpointed(_targets(placed, pivots, bounds, parts, p)).drop("cell", "reach").withColumn(
+        "cell", F.explode("serves")).drop("serves")
+    group_type = dict(queries.dtypes)["group"]
+    members = spark.createDataFrame([(g, int(c), int(of[c])) for g, of in parts.items() for c in np.flatnonzero(of >= 0)],
+                                    f"group {group_type}, cell int, _part int")  # one row per pivot
+    query_vectors = query_vectors.join(F.broadcast(members), ["group", "cell"]).drop("cell").withColumnRenamed("_part", "cell")
+    # blocks of bounded size on both sides of a merged cell
     load = query_vectors.groupBy("group", "cell").agg(F.count("*").alias("nq")).join(
         located.groupBy("group", "cell").agg(F.count("*").alias("nd")), ["group", "cell"])
     blocks = load.select("group", "cell", F.ceil(F.col("nq") / qb).cast("int").alias("qs"),
@@ -193,24 +253,18 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     left = cut(query_vectors.drop("reach"), "qs", "ds")
     right = cut(located, "ds", "qs")
     id_type = dict(queries.dtypes)["id"]
-    group_type = dict(queries.dtypes)["group"]
 
     def nearest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"at": [], "donor_id": [], "d2": []})]
+        best = pd.DataFrame({"at": [], "donor_id": [], "d2": []})
         if len(q) and len(d):
-            qf, df_ = _stack(q["features"]), _stack(d["features"])
             copies = d["ids"].map(len).to_numpy()
             starts, ids = np.cumsum(copies) - copies, np.concatenate(d["ids"].to_numpy())
-            for start in range(0, len(q), 256):
-                part = _distances(qf[start:start + 256], df_, p)
-                row, col = np.nonzero(_best(part, need))
-                n = copies[col]
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hits = pd.DataFrame({"at": np.repeat(row, n) + start, "donor_id": ids[np.repeat(starts[col], n) + within],
-                                     "d2": np.repeat(part[row, col], n)})
-                hits["tie"] = significant(hits["d2"].to_numpy(float))
-                found.append(hits.sort_values(["at", "tie", "donor_id"]).groupby("at").head(need)[["at", "donor_id", "d2"]])
-        best = pd.concat(found[1:] or found)
+            row, col, d2 = _nearest_pairs(_stack(q["features"]), _stack(d["features"]), need, p)
+            n = copies[col]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            hits = pd.DataFrame({"at": np.repeat(row, n), "donor_id": ids[np.repeat(starts[col], n) + within], "d2": np.repeat(d2, n)})
+            hits["tie"] = significant(hits["d2"].to_numpy(float))
+            best = hits.sort_values(["at", "tie", "donor_id"]).groupby("at").head(need)
         at = best["at"].to_numpy(dtype=int)
         return pd.DataFrame({"group": q["group"].to_numpy()[at], "vid": q["vid"].to_numpy()[at],
                              "donor_id": best["donor_id"].to_numpy(), "d2": best["d2"].to_numpy()})
@@ -393,8 +447,8 @@ def _masked_neighbours(points: DataFrame, width: int, means: Sequence[float], k:
     placed = checkpointed(_assign(filled, pivots, 2).select("cell", "v", "ids"))
     # fresh column identities, since the two sides are joined
     incomplete = placed.where(F.exists("v", F.isnull)).select(*[F.col(c).alias(c) for c in ("cell", "v")])
-    asked = _Side(incomplete, width, pivots[0], setting(spark, "neighbors.queryBlock", QUERY_BLOCK))
-    given = _Side(placed, width, pivots[0], setting(spark, "neighbors.donorBlock", DONOR_BLOCK))
+    asked = _Side(incomplete, width, pivots[0], setting(spark, "neighbors.queryBlock", MASKED_BLOCKS[0]))
+    given = _Side(placed, width, pivots[0], setting(spark, "neighbors.donorBlock", MASKED_BLOCKS[1]))
     if not len(asked.count):
         return None
     least = _least_masked(asked, given)
