@@ -244,3 +244,16 @@ def test_models_stay_small(spark, tmp_path):
     again = trees.TreeStage.load(f"{tmp_path}/stage")
     assert again.uid == stage.uid
     assert again.transform(rows).select("p").collect() == stage.transform(rows).select("p").collect()
+
+
+@pytest.mark.parametrize("random_cuts", [False, True])
+def test_levels_of_many_rows_go_by_nodes(monkeypatch, random_cuts):
+    """The cells of a level are never all in memory; the trees are the same."""
+    data, seen = some_data(2_000), []
+    spec = Spec("forest", trees=3, depth=9, rows="bootstrap", random_cuts=random_cuts)
+    whole = fit_predict(spec, data, np.arange(1_500), np.arange(1_500, 2_000))
+    most = trees.cells_of
+    monkeypatch.setattr(trees, "ROWS_AT_ONCE", 150)
+    monkeypatch.setattr(trees, "cells_of", lambda bins, rows, place, *more: seen.append((len(rows), place.max())) or most(bins, rows, place, *more))
+    assert np.allclose(fit_predict(spec, data, np.arange(1_500), np.arange(1_500, 2_000)), whole)
+    assert all(n <= 150 or last == 0 for n, last in seen)
