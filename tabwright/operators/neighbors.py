@@ -31,6 +31,7 @@ QUERY_BLOCK = 16_384  # vectors of one block pair
 DONOR_BLOCK = 65_536
 MASKED_BLOCKS = 4_096, 16_384  # the same where values are missing
 AT_ONCE = 4_000_000  # distances in memory at once
+MASKED_AT_ONCE = 500_000  # the same where values are missing; a dozen tables of that size are held
 TIE_DIGITS = 12  # squared distances equal to this many significant digits are ties, settled by id
 SLACK = 1e-9  # relative margin of the pruning bounds against rounding
 
@@ -390,8 +391,9 @@ def _masked_offers(queries: np.ndarray, donors: np.ndarray, ids: Sequence, k: in
     centre = np.where(there, donors, 0.0).sum(0) / np.maximum(there.sum(0), 1)
     dx, dm = np.where(there, donors - centre, 0.0), there.astype(float)
     found: list[tuple] = []
-    for start in range(0, len(queries), 256):
-        q = queries[start:start + 256]
+    size = max(1, MASKED_AT_ONCE // max(1, len(donors)))
+    for start in range(0, len(queries), size):
+        q = queries[start:start + size]
         has = ~np.isnan(q)
         qx, qm = np.where(has, q - centre, 0.0), has.astype(float)
         shared = qm @ dm.T

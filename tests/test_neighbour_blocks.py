@@ -55,3 +55,17 @@ def test_trials_do_not_multiply_neighbours(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("trial" in line for line in plan.splitlines() if "Window [" in line or "Aggregate [" in line)
     assert found.count() == 1800 and found.where(F.col("guess").isNull()).isEmpty()
+
+
+def test_masked_distances_are_held_in_bounded_tables(monkeypatch):
+    rng = np.random.default_rng(3)
+    donors = rng.normal(size=(3_000, 3))
+    queries = donors[:600].copy()
+    queries[:, 0] = np.nan
+    seen, product = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *more, **named: seen.append(x.size) or product(x, *more, **named))
+    whole = neighbors._masked_offers(queries, donors, [[i] for i in range(3_000)], 4)
+    assert seen and max(seen) <= neighbors.MASKED_AT_ONCE
+    monkeypatch.setattr(neighbors, "MASKED_AT_ONCE", 1)
+    one = neighbors._masked_offers(queries, donors, [[i] for i in range(3_000)], 4)
+    assert all(np.array_equal(whole[n], one[n]) for n in whole)
