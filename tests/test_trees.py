@@ -257,3 +257,62 @@ def test_levels_of_many_rows_go_by_nodes(monkeypatch, random_cuts):
     monkeypatch.setattr(trees, "cells_of", lambda bins, rows, place, *more: seen.append((len(rows), place.max())) or most(bins, rows, place, *more))
     assert np.allclose(fit_predict(spec, data, np.arange(1_500), np.arange(1_500, 2_000)), whole)
     assert all(n <= 150 or last == 0 for n, last in seen)
+
+
+def test_a_level_sums_up_drawn_features_only(monkeypatch):
+    """Of eight features a node draws two; only these are counted while one of them splits."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 16, (4_000, 8)).astype(np.uint8)
+    y = x.sum(1) + rng.normal(size=4_000)
+    spec, counted, whole = Spec("forest", depth=5, features="sqrt"), [], trees.Sums.cells
+    monkeypatch.setattr(trees.Sums, "cells", lambda self, key, *more: counted.append(len(key)) or whole(self, key, *more))
+    stats = trees.forest_stats(spec, y, np.ones(4_000), np.ones(1))
+    nodes = grow(spec, x, 16, np.arange(4_000), np.zeros(4_000, np.int64), stats, np.array([0]))
+    assert len(nodes.feature) == 63
+    assert sum(counted) <= 4_000 * (1 + 5 * 3)  # the root; two features and the sides of each level
+
+
+@pytest.mark.parametrize("spec", [
+    Spec("forest", depth=7, rows="bootstrap"), Spec("forest", 3, depth=7, impurity="gini", rows="bootstrap"),
+    Spec("forest", 3, depth=7, impurity="entropy", balanced=True, features="sqrt"), Spec("forest", depth=7, random_cuts=True, min_leaf=4),
+    Spec("boost", depth=5, impurity="second", tree_features=0.5, min_child=3)])
+def test_sums_in_memory_and_of_cells_choose_alike(spec):
+    """The grower's own sums and ``best_splits`` of the cells of a job per level; weights and leaves come out right."""
+    data = some_data(600, spec.classes, seed=4)
+    weight = trees.row_weights(spec, data.row, 0)
+    rows = np.flatnonzero(weight)
+    if spec.impurity == "second":
+        stats = np.stack([-data.label, np.ones(600), np.ones(600)], 1)[rows]
+    else:
+        by_class = trees.class_weights(spec, np.bincount(data.label.astype(int)) if spec.classes else None)
+        stats = trees.forest_stats(spec, data.label[rows], weight[rows], by_class)
+    leaf = np.zeros(len(rows), np.int64)
+    nodes = grow(spec, data.bins, 16, rows, np.zeros(len(rows), np.int64), stats, np.array([3]), leaf)
+    assert (leaf == nodes.route(data.bins, rows, np.zeros(len(rows), np.int64))).all()
+    at, seen = np.zeros(len(rows), np.int64), 0
+    for _ in range(spec.depth):
+        for n in np.unique(at):
+            own = at == n
+            assert np.allclose(nodes.stats[n], stats[own].sum(0))
+            if own.sum() >= max(2, 2 * spec.min_leaf):
+                cells = trees.cells_of(data.bins, rows[own], np.zeros(own.sum(), np.int64), stats[own], 1, 16)
+                feature, cut, *_ = trees.best_splits(spec, *cells, nodes.tree[[n]], nodes.path[[n]], 4, 16)
+                if nodes.feature[n] >= 0 or nodes.path[n] < 2 ** (spec.depth - 1):
+                    assert feature[0] == nodes.feature[n] and (feature[0] < 0 or cut[0] == nodes.cut[n])
+                    seen += feature[0] >= 0
+        inner = nodes.feature[at] >= 0
+        at = np.where(inner, nodes.child[at] + (data.bins[rows, np.maximum(nodes.feature[at], 0)] > nodes.cut[at]), at)
+    assert seen > 10
+
+
+def test_reweighting_merges_rows_alike(monkeypatch):
+    """Rows of the same bins and class are one entry with their weight: the same trees as with each row for itself."""
+    data = some_data(900, 3, bins=3)
+    train, rest = np.flatnonzero(data.fold), np.flatnonzero(data.fold == 0)
+    spec, entries, one = Spec("ada", 3, trees=12, depth=2, impurity="gini"), [], trees.grow
+    monkeypatch.setattr(trees, "grow", lambda spec, bins, n, rows, *more: entries.append(len(rows)) or one(spec, bins, n, rows, *more))
+    found = fit_predict(spec, data, train, rest)
+    assert max(entries) <= 3 ** 4 * 3
+    monkeypatch.setattr(trees, "alike", lambda data, rows: (rows, np.ones(len(rows))))
+    assert np.allclose(found, fit_predict(spec, data, train, rest))
+    assert max(entries) == len(train)
