@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from tabwright.operators.models import cells
 from tabwright.operators.models.classify import MAX_TREE_DEPTH, direct
 from tabwright.operators.models.kernels import fourier_stages
 from tabwright.operators.models.recipe import FEATURES, LABEL, Fit, Task, projection, scaled_names, sql_number
@@ -52,16 +53,32 @@ def decision_tree(depth: int = 8, min_split: int = 2, min_leaf: int = 1) -> Fit:
 
 def random_forest(trees: int = 100, depth: int = 15, max_features: str = "0.75", samples: float = 0.5, seed: int = 3,
                   min_leaf: int = 1) -> Fit:
-    return direct(lambda rows, task: RandomForestRegressor(
+    """Each row counts a Poisson number of times in a tree, ``samples`` on average; one pass where few cells of bins occur."""
+    plain = direct(lambda rows, task: RandomForestRegressor(
         **COLUMNS, numTrees=trees, maxDepth=min(depth, MAX_TREE_DEPTH), featureSubsetStrategy=max_features,
         subsamplingRate=samples, minInstancesPerNode=min_leaf, seed=seed))
 
+    def fit(data: DataFrame, task: Task) -> list[Transformer]:
+        bins = cells.bins_of(data, task) if min_leaf <= 1 and trees > 1 else None
+        stage = bins and cells.forest(data, task, bins, trees, min(depth, MAX_TREE_DEPTH), max_features, samples, seed)
+        return [stage] if stage else plain(data, task)
+    return fit
+
 
 def gradient_boosting(trees: int = 100, rate: float = 0.1, depth: int = 3, max_features: str = "0.75",
                       subsample: float = 1.0, min_leaf: int = 1) -> Fit:
-    return direct(lambda rows, task: GBTRegressor(
-        **COLUMNS, maxIter=trees, stepSize=rate, maxDepth=depth, featureSubsetStrategy=max_features,
-        subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=task.seed))
+    """Rows in the same bins are merged first, unless rows are drawn or counted: their gradients add up."""
+    def learner(**columns) -> GBTRegressor:
+        return GBTRegressor(**columns, maxIter=trees, stepSize=rate, maxDepth=depth, featureSubsetStrategy=max_features,
+                            subsamplingRate=subsample, minInstancesPerNode=min_leaf)
+
+    def fit(data: DataFrame, task: Task) -> list[Transformer]:
+        bins = cells.bins_of(data, task) if min_leaf <= 1 and subsample >= 1 else None
+        if bins is None:
+            return [learner(**COLUMNS).setSeed(task.seed).fit(data)]
+        stages, rows = cells.merged(data, bins)
+        return [*stages, learner(**{**COLUMNS, "featuresCol": "_bins"}, weightCol="_weight").setSeed(task.seed).fit(rows)]
+    return fit
 
 
 def boosted_trees(trees: int = 100, depth: int = 3, rate: float = 0.1, subsample: float = 1.0, colsample: str = "all",
