@@ -165,3 +165,21 @@ def test_support_vector_regression(table, kernel, floor):
     assert r2_mae(found, "_y", "_p").first()["r2"] > floor
     with pytest.raises(ValueError):
         lines.out_of_fold(split, ["a"], "y", [Line(0, kernel="sigmoid")], 4)
+
+
+def test_support_vector_jobs_share_their_mapped_features():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(300, 4)), rng.normal(size=300)
+    tables = lines.sketch_tables(4, 3, 128, 1)
+    direct, waves = lines.tensor_sketch(x, *tables, 128), lines.sketch_spectrum(x, *tables, 128)
+    assert waves.shape == direct.shape and np.abs(waves @ waves.T - direct @ direct.T).max() < 1e-9
+    odd = lines.sketch_tables(4, 3, 33, 1)
+    assert np.abs(lines.sketch_spectrum(x, *odd, 33) @ lines.sketch_spectrum(x, *odd, 33).T
+                  - lines.tensor_sketch(x, *odd, 33) @ lines.tensor_sketch(x, *odd, 33).T).max() < 1e-9
+    assert np.abs(lines.cosine(50 * x) - np.cos(50 * x)).max() < 1e-13
+    jobs = [lines.Job(Line(0, epsilon=e, kernel="poly"), f, x.mean(0), x.std(0), 300, np.ones(1), 0.1, 2.0, 0.3, tables)
+            for f in (0, 1) for e in (0.01, 0.5)]
+    assert lines._maps(jobs) == [[0, 1], [2, 3]]
+    z, at = jobs[0].features(x), [rng.normal(size=jobs[0].width()) for _ in range(2)]
+    for job, w, found in zip(jobs[:2], at, lines._tube_sums(jobs[:2], z, y, at)):
+        assert np.allclose(found, job.sums(z, y, w[:, None]), rtol=1e-10, atol=1e-10)
