@@ -13,6 +13,7 @@ up in one task, and each block pair sends on its best k only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, sqrt
 
 import numpy as np
@@ -27,6 +28,8 @@ from tabwright.session import checkpointed, setting
 
 MAX_PIVOTS = 65_536  # of one round; the pivots travel with the task closures
 PIVOTS_PER_GROUP = 512
+FINE_PIVOTS = 8_192  # of all groups of few columns, at most 2 048 each: cells then shrink as rows grow
+PATTERNS = 8  # of gaps, up to which each pair of patterns is searched by the columns that both have
 QUERY_BLOCK = 16_384  # vectors of one block pair
 DONOR_BLOCK = 65_536
 MASKED_BLOCKS = 4_096, 16_384  # the same where values are missing
@@ -60,14 +63,14 @@ def _distinct_vectors(points: DataFrame, keep: int) -> DataFrame:
     return first.groupBy("group", "features").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _pivot_tables(vectors: DataFrame) -> dict | None:
+def _pivot_tables(vectors: DataFrame, most: int | None = None) -> dict | None:
     """Per group, vectors chosen by hash: a number that grows with the square root of the group; None if one round is too small."""
     spark = vectors.sparkSession
     limit = setting(spark, "neighbors.maxPivots", MAX_PIVOTS)
     sizes = {r["group"]: r["n"] for r in vectors.groupBy("group").agg(F.count("*").alias("n")).limit(limit + 1).collect()}
     if len(sizes) > limit:
         return None
-    share = max(1, min(setting(spark, "neighbors.pivotsPerGroup", PIVOTS_PER_GROUP), limit // max(1, len(sizes))))
+    share = max(1, min(setting(spark, "neighbors.pivotsPerGroup", most or PIVOTS_PER_GROUP), limit // max(1, len(sizes))))
     wanted = {g: max(1, min(share, ceil(sqrt(n) / 2))) for g, n in sizes.items()}
     order = Window.partitionBy("group").orderBy(F.xxhash64("features"), "features")
     rows = vectors.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= share)
@@ -211,7 +214,8 @@ def _nearest_pairs(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.nda
     return row, col, exact if p == 2 else exact * exact
 
 
-def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, p: int = 2) -> DataFrame:
+def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, p: int = 2,
+             pivots_per_group: int | None = None) -> DataFrame:
     """The exact ``k`` nearest donors of every query inside its group.
 
     Both sides have (group, id, features array<double>); the result is
@@ -223,7 +227,7 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     queries, donors = (side.select(*[F.col(c).alias(c) for c in ("group", "id", "features")])
                        for side in (queries, donors))
     donor_vectors = checkpointed(_distinct_vectors(donors, need))
-    pivots = _pivot_tables(donor_vectors)
+    pivots = _pivot_tables(donor_vectors, pivots_per_group)
     if pivots is None:
         return _in_rounds(queries, donors, donor_vectors, k, exclude_self, p)
     query_vectors = checkpointed(_assign(queries.groupBy("group", "features").agg(F.min("id").alias("vid")), pivots, p))
@@ -499,13 +503,55 @@ def _masked_neighbours(points: DataFrame, width: int, means: Sequence[float], k:
     return ranked(best.drop("rank").unionByName(offers(more))) if more.any() else best
 
 
+def _pattern_neighbours(points: DataFrame, width: int, k: int) -> DataFrame | None:
+    """``_masked_neighbours`` where rows have few patterns of gaps; None where they have more than ``PATTERNS``.
+
+    All queries of one pattern share the same columns with all donors of another: each pair of patterns is a group of one
+    join over just these columns, whose cells lie as close in them as the rows do. The best of all groups count.
+    """
+    spark, full = points.sparkSession, (1 << width) - 1
+    if width > 60:
+        return None
+    mask = reduce(lambda a, b: a + b, [F.when(F.col("v")[i].isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(width)])
+    points = points.withColumn("_mask", mask)
+    most = setting(spark, "neighbors.patterns", PATTERNS)
+    masks = [r["_mask"] for r in points.select("_mask").distinct().limit(most + 1).collect()]
+    if len(masks) > most:
+        return None
+    pairs = sorted((q, d) for q in masks for d in masks if q & ~d and full & ~(q | d))
+    if not pairs:
+        return points.select("v", F.lit(0).alias("c"), F.lit(0.0).alias("x")).limit(0)
+    queries = checkpointed(points.where(F.col("_mask").isin([q for q, _ in pairs])).select("v", "_mask").distinct().withColumn(
+        "_q", F.monotonically_increasing_id()))
+    # ids may repeat: a row's place in their order is its own
+    donors = checkpointed(row_positions(points.where(F.col("_mask").isin([d for _, d in pairs]) & F.col("id").isNotNull()),
+                                        ["id", "v"], name="_n").select("_n", "v", "_mask"))
+
+    def grouped(rows: DataFrame, own: int, id_col: str) -> DataFrame:
+        parts = [F.when(F.col("_mask") == pair[own], F.struct(F.lit(g).alias("group"), F.array(*[
+            F.col("v")[i] for i in range(width) if not (pair[0] | pair[1]) >> i & 1]).alias("features"))) for g, pair in enumerate(pairs)]
+        return rows.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*parts))).alias("s")).select("s.group", "id", "s.features")
+    near = knn_join(grouped(queries, 0, "_q"), grouped(donors, 1, "_n"), k,
+                    pivots_per_group=max(PIVOTS_PER_GROUP, min(2_048, FINE_PIVOTS // len(pairs))))
+    table = [(g, width / (full & ~(q | d)).bit_count(), [i for i in range(width) if (q & ~d) >> i & 1]) for g, (q, d) in enumerate(pairs)]
+    table = F.broadcast(spark.createDataFrame(table, "group int, _scale double, _gaps array<int>"))  # one row per pair of patterns
+    found = near.join(table, "group").select("query_id", "donor_id", (F.col("distance") * F.col("distance") * F.col("_scale")).alias("d2"),
+                                             F.explode("_gaps").alias("c"))
+    order = Window.partitionBy("query_id", "c").orderBy(significant_column("d2"), "donor_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    given = donors.select(F.col("_n").alias("donor_id"), F.col("v").alias("_v"))
+    filled = best.join(given, "donor_id").select("query_id", "c", F.get("_v", "c").alias("x"))
+    return filled.join(queries.select(F.col("_q").alias("query_id"), "v"), "query_id").select("v", "c", "x")
+
+
 def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str], k: int = 5) -> DataFrame:
     """Fill with the mean of the ``k`` nearest rows that have the value.
 
     Distances use the given columns that both rows have, scaled up by the share
     that is missing. Rows without any common value fall back to the column mean.
-    There is no limit on columns or on the combinations of gaps. Where the boxes of
-    the cells exclude little, as in many dimensions, all blocks of rows meet.
+    There is no limit on columns or on the combinations of gaps. Few combinations
+    are joined pair by pair, more by boxes around cells; where these exclude little,
+    as in many dimensions, all blocks of rows meet.
     """
     id_col = id_col if isinstance(id_col, str) else id_col[0]
     total = aggregate_once(df, {f"{k_}{i}": e for i, c in enumerate(columns) for k_, e in (
@@ -515,8 +561,10 @@ def impute_knn(df: DataFrame, columns: Sequence[str], id_col: str | Sequence[str
     if not columns_used:
         return df
     vector = F.transform(F.array(*[quoted(c).cast("double") for c in columns_used]), lambda x: F.nullif(x, F.lit(float("nan"))))
-    near = _masked_neighbours(df.select(quoted(id_col).alias("id"), vector.alias("v")), len(columns_used),
-                              [means[c] for c in columns_used], k)
+    points = df.select(quoted(id_col).alias("id"), vector.alias("v"))
+    near = _pattern_neighbours(points, len(columns_used), k)
+    if near is None:
+        near = _masked_neighbours(points, len(columns_used), [means[c] for c in columns_used], k)
     joined = df
     if near is not None:
         best = near.groupBy(F.col("v").alias("_v")).agg(*[

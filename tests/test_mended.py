@@ -136,3 +136,14 @@ def test_filled_type_does_not_hang_on_the_mean(spark):
     for values in [(1, 3, None), (1, 2, None)]:
         filled = impute_mean(spark.createDataFrame([(v,) for v in values], "x int"), ["x"])
         assert dict(filled.dtypes) == {"x": "double"} and filled.where("x is null").isEmpty()
+
+
+def test_few_patterns_of_gaps_are_joined_by_shared_columns(spark, monkeypatch):
+    def boxes(*_):
+        raise AssertionError("rows of all patterns would meet in blocks")
+    monkeypatch.setattr(neighbors, "_masked_neighbours", boxes)
+    rows = [(1, 0.0, 5.0, 1.0), (1, 9.0, 5.0, 2.0), (2, 1.0, None, 3.0), (3, None, 5.0, 2.0), (4, None, None, None), (5, None, 7.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")  # an id twice, with other values
+    got = {(r["id"], r["c"]): r for r in neighbors.impute_knn(df, ["a", "b", "c"], "id", 1).collect()}
+    assert got[3, 2.0]["a"] == 9.0 and got[2, 3.0]["b"] == 5.0 and got[5, 1.0]["a"] == 0.0
+    assert got[4, 2.0]["a"] == 10 / 3 and got[4, 2.0]["b"] == 5.5
