@@ -113,3 +113,49 @@ def test_sampler_respects_the_space():
     draws = search.sample_params(space, 50, 1)
     assert draws == search.sample_params(space, 50, 1)
     assert all(d["a"] in (2, 4, 6, 8, 10) and 0.01 <= d["b"] <= 1 and d["c"] == "x" and d["d"] in (0, 0.25, 0.5, 0.75, 1) for d in draws)
+
+
+def test_extra_trees_and_class_forests_grow_in_few_passes(spark, monkeypatch):
+    from tabwright.operators.models import cells, classify, regress, trees
+    from tabwright.operators.models.recipe import Task, fit_classifier, fit_regressor
+
+    def spark_learner(**_):
+        raise AssertionError("a pass over the rows per level and tree")
+    monkeypatch.setattr(regress, "DecisionTreeRegressor", spark_learner)
+    monkeypatch.setattr(classify, "RandomForestClassifier", spark_learner)
+    rows = spark.range(400).selectExpr("id", "double(id % 20) AS a", "double((id * 7) % 13) AS b", "double(id % 20) * 3 + 1 AS y",
+                                       "if((id * 7) % 13 < 6, 'low', 'high') AS kind").repartition(3)
+    model = fit_regressor(rows.select("id", "a", "b", "y"), Task("id", ("a", "b"), "y"), regress.extra_trees(trees=20, max_features=1.0))
+    worst = model.transform(rows).selectExpr("max(abs(prediction - y)) AS d").first()["d"]
+    assert worst < 2.0
+    model = fit_classifier(rows.select("id", "a", "b", "kind"), Task("id", ("a", "b"), "kind"), classify.random_forest(trees=15, max_features="all"))
+    assert model.transform(rows).where("prediction = kind").count() == 400
+
+
+def test_a_tree_of_own_cuts_is_the_tree_of_its_bins(spark):
+    from tabwright.operators.models import cells, trees
+    rng = np.random.default_rng(2)
+    x, y = np.round(rng.normal(size=(300, 2)), 1), rng.normal(size=300)
+    cuts = [[(0, np.array([-0.5, 0.0, 0.7])), (1, np.array([0.1, 0.2, 0.9]))], [(1, np.array([-1.0, 0.3, 0.4]))]]
+    data = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(x, y)], "a double, b double, _label double").repartition(3)
+    got = [r["_prediction"] for r in cells.cut_forest(data, ["a", "b"], cuts, 1, float(y.mean()), 1).transform(data).orderBy("a", "b").collect()]
+    total = np.zeros(300)
+    for cut in cuts:
+        sides = [(np.searchsorted(p, x[:, i], "right") > j) for i, p in cut for j in range(len(p))]
+        best = min((s for s in sides if 0 < s.sum() < 300), key=lambda s: y[s].var() * s.sum() + y[~s].var() * (~s).sum())
+        total += np.where(best, y[best].mean(), y[~best].mean())
+    order = np.lexsort((x[:, 1], x[:, 0]))
+    assert np.allclose(got, (total / 2)[order])
+    spark.conf.set("tabwright.trees.cutCells", "3")
+    try:
+        assert cells.cut_forest(data, ["a", "b"], cuts, 1, 0.0, 1) is None
+    finally:
+        spark.conf.unset("tabwright.trees.cutCells")
+
+
+def test_cells_of_many_rows_grow():
+    from tabwright.operators.models.trees import EXACT, Spec, grow
+    bins = np.array([[0], [1], [2]], np.uint8)
+    weight, label = np.array([EXACT, 2.0, 4.0]), np.array([EXACT, 6.0, 20.0])  # rows of each cell, sums of their labels
+    nodes = grow(Spec("forest", depth=4), bins, 3, np.arange(3), np.zeros(3, np.int64), np.stack([weight, label, np.ones(3)], 1), np.array([0]))
+    assert sorted((nodes.stats[:, 1] / nodes.stats[:, 0])[nodes.feature < 0]) == [1.0, 3.0, 5.0]
