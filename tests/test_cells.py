@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators.models import cells, regress, trees
+from tabwright.operators.models import cells, recipe, regress, trees
 from tabwright.operators.models.recipe import Task, fit_regressor, train_regressor
+from tabwright.operators.split import split_tables
 
 TASK = Task("id", ("a", "b"), "y")
 
@@ -74,3 +75,27 @@ def test_a_forest_of_cells_predicts_and_is_saved(table, tmp_path):
 
 def test_drawn_features_round_as_before():
     assert [cells.drawn_features(s, 3) for s in ("0.75", "all", "auto", "sqrt", "log2", "2")] == [3, 3, 1, 2, 2, 2]
+
+
+def test_merged_rows_are_counted_by_batches(spark, table, monkeypatch):
+    """The rows meet as arrays, whose cells are summed before they leave a task, and are the same as by expressions."""
+    scaled = table.select(F.col("a").alias("_features_0"), F.col("b").alias("_features_1"), F.col("y").alias("_label"))
+    bins = cells.bins_of(scaled, Task("id", ("a", "b"), "y"))
+    found = cells.cell_sums(scaled.repartition(3), bins)
+    assert found.count() <= 3 * 84
+    want = {r[0]: r[1:] for r in bins.cell(scaled).groupBy("_cell").agg(F.count("*"), F.sum("_label")).collect()}
+    got = {r[0]: r[1:] for r in found.groupBy("_cell").agg(F.sum("n"), F.sum("y")).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    monkeypatch.setattr(cells, "HELD_CELLS", 40)  # sent on early
+    again = {r[0]: r[1:] for r in cells.cell_sums(scaled, bins).groupBy("_cell").agg(F.sum("n"), F.sum("y")).collect()}
+    assert all(np.allclose(again[k], want[k]) for k in want)
+
+
+def test_the_parts_of_a_table_are_told_once(table):
+    """No pass over the training rows digests the keys again."""
+    train, test = recipe.cached_parts(recipe.prepare(table, TASK, False), TASK)
+    want = split_tables(recipe.prepare(table, TASK, False), "id")
+    for mine, theirs in zip((train, test), want):
+        assert mine.columns == theirs.columns and sorted(mine.collect()) == sorted(theirs.collect())
+        plan = mine._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" not in plan.split("InMemoryRelation")[0]

@@ -77,6 +77,27 @@ def test_ranks_with_gaps_and_nan(spark, tight):
     assert got["none"] == (0, {})
 
 
+@pytest.mark.parametrize("held", [100, 1_000_000])
+def test_many_ranks_are_searched_by_batches(spark, tight, monkeypatch, held):
+    """More cuts than are spelled out: arrays of values are searched, counted by task, and give the same ranks."""
+    monkeypatch.setattr(ranks, "HELD", held)
+    seen, right = [], ranks._summed_cells
+    monkeypatch.setattr(ranks, "_summed_cells", lambda *a: seen.append(a[-1]) or right(*a))
+    rng = np.random.default_rng(6)
+    n = 20_000
+    pdf = pd.DataFrame({"normal": rng.normal(size=n), "whole": rng.integers(-50, 50, n).astype(float),
+                        "odd": rng.choice([np.inf, -np.inf, 0.0, -0.0, 2.5], n)})
+    df = spark.createDataFrame(pdf).selectExpr("*", "CAST(whole AS DECIMAL(9, 2)) AS exact", "CAST(whole AS INT) AS number",
+                                               "IF(whole > 20, NULL, IF(whole > 0, DOUBLE('nan'), normal)) AS gaps")
+    gaps = pdf["normal"].where(pdf["whole"] <= 0)[pdf["whole"] <= 20].to_numpy()
+    got = ranks.values_at(df, df.columns, lambda total: [int(x) for x in np.linspace(0, total - 1, 100)])
+    for c, values in {**pdf, "exact": pdf["whole"], "number": pdf["whole"], "gaps": gaps}.items():
+        wanted = [int(x) for x in np.linspace(0, len(values) - 1, 100)]
+        assert got[c][0] == len(values)
+        np.testing.assert_array_equal([got[c][1][w] for w in wanted], np.sort(values)[wanted])
+    assert {True, False} == set(seen)  # counted values, and sketches of values
+
+
 def test_a_wrong_sketch_costs_a_pass_only(skewed, monkeypatch, tight):
     df, pdf = skewed
     right, calls = ranks._sketch, []
