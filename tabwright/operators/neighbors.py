@@ -34,6 +34,7 @@ QUERY_BLOCK = 16_384  # vectors of one block pair
 DONOR_BLOCK = 65_536
 MASKED_BLOCKS = 4_096, 16_384  # the same where values are missing
 AT_ONCE = 4_000_000  # distances in memory at once
+HITS_AT_ONCE = 65_536  # neighbours wanted at once
 MASKED_AT_ONCE = 500_000  # the same where values are missing; a dozen tables of that size are held
 TIE_DIGITS = 12  # squared distances equal to this many significant digits are ties, settled by id
 SLACK = 1e-9  # relative margin of the pruning bounds against rounding
@@ -214,6 +215,20 @@ def _nearest_pairs(a: np.ndarray, b: np.ndarray, k: int, p: int) -> tuple[np.nda
     return row, col, exact if p == 2 else exact * exact
 
 
+def _needed(row: np.ndarray, col: np.ndarray, d2: np.ndarray, copies: np.ndarray, need: int) -> tuple[np.ndarray, ...]:
+    """The pairs, by row and distance, and their distances for ties: without vectors behind ``need`` ids of nearer ones."""
+    tie = significant(d2)
+    order = np.lexsort((tie, row))
+    row, col, d2, tie = row[order], col[order], d2[order], tie[order]
+    nearer = np.cumsum(copies[col]) - copies[col]
+    at = np.arange(len(row))
+    other = np.concatenate([[True], row[1:] != row[:-1]])
+    own = np.maximum.accumulate(np.where(other, at, 0))
+    equal = np.maximum.accumulate(np.where(other | np.concatenate([[True], tie[1:] != tie[:-1]]), at, 0))
+    kept = nearer[equal] - nearer[own] < need
+    return row[kept], col[kept], d2[kept], tie[kept]
+
+
 def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool = False, p: int = 2,
              pivots_per_group: int | None = None) -> DataFrame:
     """The exact ``k`` nearest donors of every query inside its group.
@@ -260,16 +275,20 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
     id_type = dict(queries.dtypes)["id"]
 
     def nearest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        best = pd.DataFrame({"at": [], "donor_id": [], "d2": []})
+        found = [pd.DataFrame({"at": [], "donor_id": [], "d2": []})]
         if len(q) and len(d):
             copies = d["ids"].map(len).to_numpy()
             starts, ids = np.cumsum(copies) - copies, np.concatenate(d["ids"].to_numpy())
-            row, col, d2 = _nearest_pairs(_stack(q["features"]), _stack(d["features"]), need, p)
-            n = copies[col]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hits = pd.DataFrame({"at": np.repeat(row, n), "donor_id": ids[np.repeat(starts[col], n) + within], "d2": np.repeat(d2, n)})
-            hits["tie"] = significant(hits["d2"].to_numpy(float))
-            best = hits.sort_values(["at", "tie", "donor_id"]).groupby("at").head(need)
+            asked, given, size = _stack(q["features"]), _stack(d["features"]), max(1, HITS_AT_ONCE // need)
+            for start in range(0, len(asked), size):
+                row, col, d2 = _nearest_pairs(asked[start:start + size], given, need, p)
+                row, col, d2, tie = _needed(row, col, d2, copies, need)
+                n = copies[col]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                hits = pd.DataFrame({"at": np.repeat(row + start, n), "donor_id": ids[np.repeat(starts[col], n) + within],
+                                     "d2": np.repeat(d2, n), "tie": np.repeat(tie, n)})
+                found.append(hits.sort_values(["at", "tie", "donor_id"]).groupby("at").head(need).drop(columns="tie"))
+        best = pd.concat(found[1:] or found, ignore_index=True)
         at = best["at"].to_numpy(dtype=int)
         return pd.DataFrame({"group": q["group"].to_numpy()[at], "vid": q["vid"].to_numpy()[at],
                              "donor_id": best["donor_id"].to_numpy(), "d2": best["d2"].to_numpy()})
@@ -282,13 +301,30 @@ def knn_join(queries: DataFrame, donors: DataFrame, k: int, exclude_self: bool =
         order = Window.partitionBy("group", owner).orderBy(significant_column("d2"), "donor_id")
         return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
-    best = ranked(partial, "vid", need).drop("rank")
+    best = ranked(partial, "vid", need)
     named = queries.join(query_vectors.select("group", "features", "vid"), ["group", "features"]).select(
         "group", F.col("id").alias("query_id"), "vid")
-    found = named.join(best, ["group", "vid"])
-    if exclude_self:
-        found = found.where(F.col("query_id") != F.col("donor_id"))
-    return ranked(found, "query_id", k).select("group", "query_id", "donor_id", F.sqrt("d2").alias("distance"), "rank")
+
+    def of_rows(named: DataFrame) -> DataFrame:
+        """The neighbours of equal vectors stay together in one array, which rows take their own id out of."""
+        lists = best.groupBy("group", "vid").agg(F.array_sort(F.collect_list(F.struct("rank", "donor_id", "d2"))).alias("_near"))  # ``need``
+        near = F.col("_near")
+        if exclude_self:
+            near = F.slice(F.filter(near, lambda x: x["donor_id"] != F.col("query_id")), 1, k)
+        return named.join(lists, ["group", "vid"]).select("group", "query_id", F.posexplode(near).alias("_at", "_n")).select(
+            "group", "query_id", "_n.donor_id", F.sqrt("_n.d2").alias("distance"), (F.col("_at") + 1).alias("rank"))
+
+    def of_ids(named: DataFrame) -> DataFrame:
+        """The rows of an id share its neighbours."""
+        found = named.join(best.drop("rank"), ["group", "vid"])
+        if exclude_self:
+            found = found.where(F.col("query_id") != F.col("donor_id"))
+        return ranked(found, "query_id", k).select("group", "query_id", "donor_id", F.sqrt("d2").alias("distance"), "rank")
+    repeated = checkpointed(queries.groupBy(F.col("group").alias("_g"), F.col("id").alias("_i")).agg(F.count("*").alias("n")).where("n > 1"))
+    if repeated.isEmpty():
+        return of_rows(named)
+    again = F.col("group").eqNullSafe(F.col("_g")) & F.col("query_id").eqNullSafe(F.col("_i"))
+    return of_rows(named.join(repeated, again, "left_anti")).unionByName(of_ids(named.join(repeated, again, "left_semi")))
 
 
 def _in_rounds(queries: DataFrame, donors: DataFrame, donor_vectors: DataFrame, k: int, exclude_self: bool, p: int) -> DataFrame:

@@ -69,3 +69,38 @@ def test_masked_distances_are_held_in_bounded_tables(monkeypatch):
     monkeypatch.setattr(neighbors, "MASKED_AT_ONCE", 1)
     one = neighbors._masked_offers(queries, donors, [[i] for i in range(3_000)], 4)
     assert all(np.array_equal(whole[n], one[n]) for n in whole)
+
+
+def test_vectors_behind_enough_nearer_copies_are_not_copied():
+    """A block of many vectors of many copies each would take gigabytes otherwise."""
+    rng = np.random.default_rng(2)
+    a, b, copies = rng.normal(size=(50, 2)), rng.integers(-9, 9, (400, 2)) / 4.0, rng.integers(1, 22, 400)
+    row, col, d2 = neighbors._nearest_pairs(a, b, 21, 2)
+    kept = neighbors._needed(row, col, d2, copies, 21)
+    taken = np.bincount(kept[0], copies[kept[1]], 50)
+    assert copies[col].sum() > 5 * taken.sum()
+    for i in range(50):
+        d = ((a[i] - b) ** 2).sum(1)
+        order = np.argsort(d, kind="stable")
+        last = np.searchsorted(np.cumsum(copies[order]), 21)
+        wanted = set(np.flatnonzero(d <= d[order[last]] * (1 + 1e-13)))
+        assert set(kept[1][kept[0] == i]) == wanted
+
+
+def test_many_copies_give_their_smallest_other_ids(spark):
+    rows = [(0, 10 * i + c, [float(i % 40), float(i % 7)]) for i in range(60) for c in range(10)]
+    points = spark.createDataFrame(rows, "group int, id long, features array<double>")
+    found = {}
+    for r in neighbors.knn_join(points, points, 12, exclude_self=True).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["donor_id"], round(r["distance"], 9), r["rank"]))
+    x, ids = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    for i, q in enumerate(ids.tolist()):
+        d = np.round(((x - x[i]) ** 2).sum(1), 9)
+        order = [j for j in np.lexsort((ids, d)) if ids[j] != q][:12]
+        assert found[q] == [(int(ids[j]), round(float(np.sqrt(d[j])), 9), n + 1) for n, j in enumerate(order)]
+
+
+def test_rows_of_an_id_share_its_neighbours(spark):
+    points = spark.createDataFrame([(0, i, [float(x)]) for i, x in ((1, 0), (1, 0), (2, 1), (3, 3), (4, 7))], "group int, id long, features array<double>")
+    found = neighbors.knn_join(points, points, 2, exclude_self=True).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["donor_id"], r["rank"]) for r in found] == [(1, 2, 1), (1, 2, 2), (2, 1, 1), (2, 1, 2), (3, 2, 1), (3, 1, 2), (4, 3, 1), (4, 2, 2)]
