@@ -316,3 +316,26 @@ def test_reweighting_merges_rows_alike(monkeypatch):
     monkeypatch.setattr(trees, "alike", lambda data, rows: (rows, np.ones(len(rows))))
     assert np.allclose(found, fit_predict(spec, data, train, rest))
     assert max(entries) == len(train)
+
+
+@pytest.mark.parametrize("spec", [Spec("forest", trees=3, depth=6, min_split=5, min_leaf=3, rows="bootstrap"),
+                                  Spec("forest", classes=2, trees=3, depth=6, min_leaf=2, rows="bootstrap", impurity="gini", balanced=True),
+                                  Spec("boost", trees=4, depth=3, min_split=6, min_leaf=4, rows=0.7), Spec("boost", classes=2, trees=4, depth=3, rows=0.7),
+                                  Spec("boost", classes=3, trees=4, depth=3, min_leaf=3),
+                                  Spec("boost", trees=4, depth=4, impurity="second", l2=1.0, min_child=3.0, rows=0.8)])
+def test_rows_of_the_same_bins_grow_as_one(spec, monkeypatch):
+    """A tree gets an entry per combination of bins, and gives what an entry per row gives."""
+    data, seen = some_data(400, spec.classes, bins=4), []
+    every, whole = np.arange(400), trees.grow
+
+    def counted(spec, bins, n_bins, rows, tree, *more, **named):
+        seen.append(np.bincount(tree).max())
+        return whole(spec, bins, n_bins, rows, tree, *more, **named)
+    monkeypatch.setattr(trees, "grow", counted)
+    found = fit_predict(spec, data, every, every)
+    assert max(seen) <= 4 ** 4 * max(1, spec.classes if spec.kind == "forest" else spec.classes if spec.classes > 2 else 1)
+    assert max(seen) < 390
+    monkeypatch.setattr(trees.Data, "distinct", lambda self, rows: (rows, np.arange(len(rows))))
+    assert np.allclose(found, fit_predict(spec, data, every, every))
+    monkeypatch.setattr(trees, "SPARSE", 0)
+    assert np.allclose(found, fit_predict(spec, data, every, every))
